@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,6 +144,18 @@ def _inverse(n: int) -> np.uint64:
     return U64(pow(pow(_P, -1, 1 << 64), n, 1 << 64))
 
 
+def sliced(batch, column: str = "text", limit: int = 2 << 20):
+    """Stretches of a batch with about so many bytes of text, a row at least: what is worked out from texts is held for no more at once."""
+    texts = batch.column(column)
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    lo = 0
+    while lo < batch.num_rows:
+        before = size[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, before + limit, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def row_of(offsets: np.ndarray) -> np.ndarray:
     """The row number of each item, from the rows' offsets."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -191,6 +204,29 @@ def binary(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([np.ascontiguousarray(x).tobytes() for x in parts], pa.binary())
 
 
+def groups(batches, n_keys: int):
+    """(key, table) of each group of a stream sorted by its first n_keys columns; no more than a group and a batch are held."""
+    held, key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(i) for i in range(n_keys)]
+        change = np.zeros(b.num_rows, bool)
+        for c in columns:
+            x = c.to_numpy(zero_copy_only=False)
+            change[1:] |= x[1:] != x[:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            at = tuple(c[lo].as_py() for c in columns)
+            if at != key and held:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = at
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
 # ---------------------------------------------------------------- union-find
 
 

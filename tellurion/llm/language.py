@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import text_bytes
+from .common import sliced, text_bytes
 
 MAX_ORDER = 4
 #: About as many documents a language are learnt from at most, chosen by the hash of their ids.
@@ -56,7 +56,7 @@ def _grams(b: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
 
 def count_grams(batches):
     """(lang, order, gram, n) partial counts of each batch."""
-    for b in batches:
+    for b in (x for whole in batches for x in sliced(whole, limit=1 << 20)):
         langs = b.column("lang").to_pylist()
         for lang in sorted(set(langs)):
             bytes_, at = fold(*text_bytes(b.column("text").filter(pa.array([x == lang for x in langs]))))
@@ -181,7 +181,7 @@ def predict(documents: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
 
     def predicted(batches):
         model = shared.value
-        for b in batches:
+        for b in (x for whole in batches for x in sliced(whole)):
             bits, n = model.lengths(b.column("text"))
             if model.langs:
                 best = bits.argmin(1)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import U64, mix, row_of, word_hashes
+from .common import U64, mix, row_of, sliced, word_hashes
 
 BITS = 22
 #: No more labelled documents than this are learnt from: those whose id hashes lowest.
@@ -73,7 +73,7 @@ def fit_ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, e
 
 
 def _examples(batches):
-    for b in batches:
+    for b in (x for whole in batches for x in sliced(whole)):
         row, index = features(b.column("text"))
         key = np.unique(row.astype(np.int64) << 32 | index)
         ends = np.searchsorted(key >> 32, np.arange(b.num_rows + 1))
@@ -86,7 +86,9 @@ def _train(batches):
     for b in batches:
         y += b.column("y").to_pylist()
         x += [np.frombuffer(v, np.int32) for v in b.column("x").to_pylist()]
-    rows = np.bincount(np.concatenate(x), minlength=1 << BITS) if x else np.zeros(0)
+    rows = np.zeros(1 << BITS, np.int32)
+    for v in x:
+        rows[v] += 1
     x = [v[rows[v] >= MIN_ROWS] for v in x]
     order = sorted(range(len(y)), key=lambda i: (len(x[i]), x[i].tobytes(), y[i]))  # rows come in no order of their own
     index, weight, bias = fit_ftrl([x[i] for i in order], np.array([y[i] for i in order], float)) if y else (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
@@ -103,7 +105,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     chosen = chosen.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(train_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     shaped = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text").mapInArrow(_examples, "y int, x binary")
-    best = shaped.coalesce(1).mapInArrow(_train, "index binary, weight binary, bias double").first()
+    best = shaped.repartition(1).mapInArrow(_train, "index binary, weight binary, bias double").first()
     return (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0) if best is None else (np.frombuffer(best["index"], np.int32), np.frombuffer(best["weight"], np.float32), best["bias"])
 
 
@@ -116,14 +118,12 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], kee
         dense = np.zeros(1 << bits, np.float32)
         at, value = shared.value
         dense[at] = value
-        for b in batches:
+        for b in (x for whole in batches for x in sliced(whole)):
             total = np.full(b.num_rows, bias)
-            step = 512  # rows at a time, so that the features of a batch aren't all held
-            for lo in range(0, b.num_rows, step):
-                row, ix = features(b.column("text").slice(lo, step))
-                hit = np.flatnonzero(dense[ix])
-                key = np.unique(row[hit].astype(np.int64) << bits | ix[hit])
-                np.add.at(total, (key >> bits) + lo, dense[key & ((1 << bits) - 1)].astype(float))
+            row, ix = features(b.column("text"))
+            hit = np.flatnonzero(dense[ix])
+            key = np.unique(row[hit].astype(np.int64) << bits | ix[hit])
+            np.add.at(total, key >> bits, dense[key & ((1 << bits) - 1)].astype(float))
             p = 1 / (1 + np.exp(-np.clip(total, -700, 700)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
