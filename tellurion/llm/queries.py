@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, ngram_join, packing, sentencepiece_codec, toxicity, warc
+from . import fingerprints, language, neighbours, ngram_join, packing, sentencepiece_codec, toxicity, warc
 from .common import crc_mod, read
 
 #: The vocabulary of the packing and language-model queries: the path is a parameter of the operators.
@@ -78,6 +78,14 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(read(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score): the 10 nearest found of each vector whose id is divisible by 100, among all others.
+
+    Vectors null, empty, zero or with null or non-finite components take no part; ties go to the smaller id.
+    """
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
