@@ -227,6 +227,30 @@ def groups(batches, n_keys: int):
         yield key, pa.Table.from_batches(held)
 
 
+def overlap_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> np.ndarray:
+    """How many elements each set of left has in common with each of right. same: left is right, and only i < j is needed."""
+    counts = np.zeros((len(left), len(right)), np.int32)
+    if len(left) <= 6 and len(right) <= 6:
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                if not same or i < j:
+                    counts[i, j] = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        return counts
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    at, row = at[n[at] > 1], row[n[at] > 1]
+    seen, at = np.unique(at, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    step = 4096
+    for lo in range(0, len(seen), step):
+        s, e = np.searchsorted(at, [lo, lo + step])
+        have = np.zeros((len(sets), min(step, len(seen) - lo)), np.float32)
+        have[row[s:e], at[s:e] - lo] = 1
+        counts += (have[left] @ have[right].T).astype(np.int32)
+    return counts
+
+
 # ---------------------------------------------------------------- union-find
 
 
@@ -282,7 +306,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stash(edges.mapInArrow(_contract, "u long, v long"))  # v < u in each
 
     def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = mark(edges)
     while before[0]:

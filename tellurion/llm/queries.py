@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, neighbours, ngram_join, packing, sentencepiece_codec, toxicity, warc
+from . import fingerprints, language, line_dedup, neighbours, ngram_join, packing, sentencepiece_codec, toxicity, warc
 from .common import crc_mod, read
 
 #: The vocabulary of the packing and language-model queries: the path is a parameter of the operators.
@@ -78,6 +78,14 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(read(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_kept, removed_lines) of every document: the places of the lines that repeat or resemble one before them.
+
+    Blank lines stay; a null or empty text has one blank line; rows of one doc_id are one document.
+    """
+    return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_kept", "removed_lines")
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, rank, vec_id, score): the 10 nearest found of each vector whose id is divisible by 100, among all others.
 
