@@ -8,6 +8,7 @@ runs' slices by a loser tree, so the ranges one after another are the whole orde
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -53,11 +54,11 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
     )
     # the writer ends each row with a line feed, the last byte of the record
     record = rows.withColumn("block", block).withColumn("n", F.octet_length("block")).select(F.concat(head, "block", F.lit("\r\n\r")).alias("value"))
-    record.write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\n").text(folder)
+    record.write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\n").option("compression", "gzip").text(folder)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers by lower-case name, block) of each record of an archive."""
+    """(offset, length, headers by lower-case name, block) of each record of an archive, unpacked; offsets are in the unpacked archive."""
     at = 0
     while at < len(data):
         body = data.index(b"\r\n\r\n", at) + 4
@@ -98,7 +99,7 @@ def _runs(batches):
     for b in batches:
         for path, content in zip(b.column("path"), b.column("content"), strict=True):
             run, name = [], path.as_py().rpartition("/")[2]
-            for at, length, h, block in parse_records(content.as_py()):
+            for at, length, h, block in parse_records(gzip.decompress(content.as_py())):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 digest = h["warc-payload-digest"].removeprefix("sha1:")
                 revisit = h["warc-type"] == "revisit"
@@ -113,7 +114,7 @@ def _runs(batches):
 
 def capture_runs(spark: SparkSession, folder: str) -> DataFrame:
     """The index entries of the archives in folder, each archive's in order."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", "content").mapInArrow(_runs, INDEX)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(folder).select("path", "content").mapInArrow(_runs, INDEX)
 
 
 class LoserTree:
