@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, line_dedup, neighbours, ngram_join, packing, sentencepiece_codec, toxicity, warc
+from . import fingerprints, language, line_dedup, lm_score, neighbours, ngram_join, packing, sentencepiece_codec, toxicity, warc
 from .common import crc_mod, read
 
 #: The vocabulary of the packing and language-model queries: the path is a parameter of the operators.
@@ -86,6 +86,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_kept", "removed_lines")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; ids whose crc32 leaves 1 modulo 5 teach nothing.
+
+    A null or empty text is its end alone; a repeated row counts and is scored as often as it comes.
+    """
+    return lm_score.score(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, rank, vec_id, score): the 10 nearest found of each vector whose id is divisible by 100, among all others.
 
