@@ -8,8 +8,10 @@ cut into windows of falling powers of two: no padding at all.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right, insort
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,11 @@ TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 #: Tokens of the sequences that make up one step.
 STEP_TOKENS = 8 * CONTEXT
-CACHE_WORDS = 300_000
+#: Words remembered by a worker process at most, about 250 MB; the half met first, which holds the common ones, outlives a full table.
+CACHE_WORDS = 1_200_000
+
+
+_encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
@@ -36,26 +42,37 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
         self.table: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        self.pool, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.pool, self.bounds = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            self.pool = self.pool.astype(np.uint32)
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """The encoder of this process: tasks that follow one another share what was learnt."""
+        if path not in _encoders:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker is one core's
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
+    def _shrink(self) -> None:
+        keep = CACHE_WORDS // 2
+        self.table = dict(islice(self.table.items(), keep))
+        self.bounds = self.bounds[: len(self.table) + 1].copy()
+        self.pool = self.pool[: self.bounds[-1]].copy()
 
     def _learn(self, words: list[bytes]) -> None:
         new = list(dict.fromkeys(w for w in words if w not in self.table))
         if not new:
             return
-        if len(self.table) + len(new) > CACHE_WORDS and self.table:
-            self.clear()
-            return self._learn(words)
+        if len(self.table) + len(new) > CACHE_WORDS and len(self.table) > CACHE_WORDS // 2:
+            self._shrink()
+            new = list(dict.fromkeys(w for w in words if w not in self.table))
         got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
         base = len(self.table)
         self.table.update(zip(new, range(base, base + len(new)), strict=True))
-        self.pool = np.concatenate([self.pool, np.fromiter((i for g in got for i in g), np.uint32)])
+        self.pool = np.concatenate([self.pool, np.fromiter((i for g in got for i in g), self.pool.dtype)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(g) for g in got])])
-        return None
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows end to end, each row's followed by END_ID, and the rows' n + 1 offsets."""
@@ -154,7 +171,7 @@ def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", context: int
     """
 
     def packed(batches):
-        encoder, first = WordEncoder(tokenizer), TaskContext.get().partitionId() << 33
+        encoder, first = WordEncoder.of(tokenizer), TaskContext.get().partitionId() << 33
         steps, number = Steps(), 0
         held: dict[int, tuple] = {}  # documents not wholly packed: number to (key, ids)
         packer = Packer(context, tiers)
