@@ -6,10 +6,12 @@ the model. Parity with the reference implementation of the format is checked for
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,10 @@ from pyspark.sql import DataFrame
 from .common import sliced, text_bytes
 
 MARK = "▁"
-CACHE_WORDS = 300_000
+#: Words remembered by a worker process at most; the half met first, which holds the common ones, outlives a full table.
+CACHE_WORDS = 900_000
+#: Threads that encode a batch.
+THREADS = 2
 # fixed values of the format: kinds of pieces, and the numbers of its fields
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PIECE, TRAINER, NORMALIZER = 1, 2, 3
@@ -115,6 +120,9 @@ def build(model: Model, whole: bool = True):
     return out
 
 
+_codecs: dict[str, Codec] = {}
+
+
 class Codec:
     """Encodes and decodes whole texts. Where no piece goes on past a word into the next space, words are encoded once and remembered."""
 
@@ -124,28 +132,44 @@ class Codec:
         m = self.model
         self.by_word = not m.charsmap and not m.trim and m.dummy_prefix and m.escape and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, k in m.pieces if k in (NORMAL, USER_DEFINED))
         self.words = build(self.model, whole=False) if self.by_word else None
-        self.clear()
-
-    def clear(self) -> None:
         self.table: dict[bytes, int] = {}
         self.pool, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.faithful = np.zeros(0, bool)  # whether a word's ids decode to it
+
+    @classmethod
+    def of(cls, path: str) -> Codec:
+        """The codec of this process: tasks that follow one another share what was learnt."""
+        if path not in _codecs:
+            os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+            with open(path, "rb") as f:
+                _codecs[path] = cls(f.read())
+        return _codecs[path]
 
     def _learn(self, words: list[bytes]) -> None:
         new = list(dict.fromkeys(w for w in words if w not in self.table))
-        if len(self.table) + len(new) > CACHE_WORDS and self.table:
-            self.clear()
-            new = list(dict.fromkeys(words))
+        if len(self.table) + len(new) > CACHE_WORDS and len(self.table) > CACHE_WORDS // 2:
+            self.table = dict(islice(self.table.items(), CACHE_WORDS // 2))
+            self.bounds = self.bounds[: len(self.table) + 1].copy()
+            self.pool, self.faithful = self.pool[: self.bounds[-1]].copy(), self.faithful[: len(self.table)].copy()
+            new = list(dict.fromkeys(w for w in words if w not in self.table))
         if new:
             got = [e.ids for e in self.words.encode_batch_fast([w.decode("utf-8").replace(" ", MARK) for w in new], add_special_tokens=False)]
             base = len(self.table)
             self.table.update(zip(new, range(base, base + len(new)), strict=True))
             self.pool = np.concatenate([self.pool, np.fromiter((i for g in got for i in g), np.int32)])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(g) for g in got])])
+            back = self.tokenizer.decode_batch(got, skip_special_tokens=False)  # the decoder takes the space before a text away
+            self.faithful = np.concatenate([self.faithful, np.array([b.encode() == w[1:] for b, w in zip(back, new, strict=True)], bool)])
+
+    def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """int32 ids of each text (UTF-8), and whether they decode to it. An empty text has none.
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """int32 ids of each text (UTF-8). An empty text has none."""
+        A text's words decode one by one: no character's bytes, and no piece, are in two of them.
+        """
         if not self.by_word:
-            return [np.array(e.ids, np.int32) if t else np.zeros(0, np.int32) for t, e in zip(texts, self.tokenizer.encode_batch([t.decode("utf-8") for t in texts], add_special_tokens=False), strict=True)]
+            plain = [t.decode("utf-8") for t in texts]
+            ids = [np.array(e.ids, np.int32) if t else np.zeros(0, np.int32) for t, e in zip(texts, self.tokenizer.encode_batch(plain, add_special_tokens=False), strict=True)]
+            return ids, np.array([d == p.replace(MARK, " ") for d, p in zip(self.decode(ids), plain, strict=True)], bool)
         mark = MARK.encode()
         rows = [re.findall(rb" +[^ ]*", b" " + t.replace(mark, b" ")) if t else [] for t in texts]
         words = [w for r in rows for w in r]
@@ -155,7 +179,9 @@ class Codec:
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = self.pool[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)]
         at = ends[np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)]
-        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        good = np.ones(len(texts), bool)
+        good[np.repeat(np.arange(len(rows)), [len(r) for r in rows])[~self.faithful[index]]] = False
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], good
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
@@ -170,21 +196,20 @@ def encode(documents: DataFrame, path: str, key: str = "doc_id", with_ids: bool
     def encoded(batches):
         import sentencepiece
 
-        codec, judge = Codec(open(path, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=path)
+        codec, judge = Codec.of(path), sentencepiece.SentencePieceProcessor(model_file=path)
         for b in batches:
             for part in sliced(b, limit=1 << 20):
                 raw, at = text_bytes(part.column("text"))
                 texts = [raw[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)]
-                ids = codec.encode(texts)
-                decoded = codec.decode(ids)
+                ids, good = codec.encode(texts)
                 plain = [t.decode("utf-8") for t in texts]
                 other = judge.encode(plain, num_threads=1)
                 columns = [
                     part.column(key), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()),
-                    pa.array([d == p.replace(MARK, " ") for d, p in zip(decoded, plain, strict=True)]), pa.array([np.array_equal(x, np.array(y, np.int32)) for x, y in zip(ids, other, strict=True)]),
+                    pa.array(good), pa.array([np.array_equal(x, np.array(y, np.int32)) for x, y in zip(ids, other, strict=True)]),
                 ]
                 if with_ids:
-                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(codec.decode(ids), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = [key, "n_tokens", "ids_crc32", "round_trip", "parity"] + ["ids", "decoded"] * with_ids
