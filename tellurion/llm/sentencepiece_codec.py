@@ -11,7 +11,7 @@ import re
 import struct
 import zlib
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +120,13 @@ def build(model: Model, whole: bool = True):
     return out
 
 
+def _words(text: bytes) -> list[bytes]:
+    """The words of a text with a space put before it, each with the spaces before it but one."""
+    if b"  " in text or text[:1] == b" " or text[-1:] == b" ":
+        return [w[1:] for w in re.findall(rb" +[^ ]*", b" " + text)]
+    return text.split(b" ") if text else []
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -145,21 +152,27 @@ class Codec:
                 _codecs[path] = cls(f.read())
         return _codecs[path]
 
-    def _learn(self, words: list[bytes]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.table))
+    def _find(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word in the table, which learns those that it lacks."""
+        found = np.fromiter(map(self.table.get, words, repeat(-1)), np.int64, len(words))
+        lacking = np.flatnonzero(found < 0)
+        if not len(lacking):
+            return found
+        new = list(dict.fromkeys(words[i] for i in lacking.tolist()))
         if len(self.table) + len(new) > CACHE_WORDS and len(self.table) > CACHE_WORDS // 2:
             self.table = dict(islice(self.table.items(), CACHE_WORDS // 2))
             self.bounds = self.bounds[: len(self.table) + 1].copy()
             self.pool, self.faithful = self.pool[: self.bounds[-1]].copy(), self.faithful[: len(self.table)].copy()
-            new = list(dict.fromkeys(w for w in words if w not in self.table))
-        if new:
-            got = [e.ids for e in self.words.encode_batch_fast([w.decode("utf-8").replace(" ", MARK) for w in new], add_special_tokens=False)]
-            base = len(self.table)
-            self.table.update(zip(new, range(base, base + len(new)), strict=True))
-            self.pool = np.concatenate([self.pool, np.fromiter((i for g in got for i in g), np.int32)])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(g) for g in got])])
-            back = self.tokenizer.decode_batch(got, skip_special_tokens=False)  # the decoder takes the space before a text away
-            self.faithful = np.concatenate([self.faithful, np.array([b.encode() == w[1:] for b, w in zip(back, new, strict=True)], bool)])
+            return self._find(words)
+        got = [e.ids for e in self.words.encode_batch_fast([MARK + w.decode("utf-8").replace(" ", MARK) for w in new], add_special_tokens=False)]
+        base = len(self.table)
+        self.table.update(zip(new, range(base, base + len(new)), strict=True))
+        self.pool = np.concatenate([self.pool, np.fromiter((i for g in got for i in g), np.int32)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(g) for g in got])])
+        back = self.tokenizer.decode_batch(got, skip_special_tokens=False)  # the decoder takes the space before a text away
+        self.faithful = np.concatenate([self.faithful, np.array([b.encode() == w for b, w in zip(back, new, strict=True)], bool)])
+        found[lacking] = [self.table[words[i]] for i in lacking.tolist()]
+        return found
 
     def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
         """int32 ids of each text (UTF-8), and whether they decode to it. An empty text has none.
@@ -171,10 +184,8 @@ class Codec:
             ids = [np.array(e.ids, np.int32) if t else np.zeros(0, np.int32) for t, e in zip(texts, self.tokenizer.encode_batch(plain, add_special_tokens=False), strict=True)]
             return ids, np.array([d == p.replace(MARK, " ") for d, p in zip(self.decode(ids), plain, strict=True)], bool)
         mark = MARK.encode()
-        rows = [re.findall(rb" +[^ ]*", b" " + t.replace(mark, b" ")) if t else [] for t in texts]
-        words = [w for r in rows for w in r]
-        self._learn(words)
-        index = np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))
+        rows = [_words(t.replace(mark, b" ")) for t in texts]
+        index = self._find([w for r in rows for w in r])
         start, size = self.bounds[index], self.bounds[index + 1] - self.bounds[index]
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = self.pool[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)]
@@ -206,7 +217,7 @@ def encode(documents: DataFrame, path: str, key: str = "doc_id", with_ids: bool
                 other = judge.encode(plain, num_threads=1)
                 columns = [
                     part.column(key), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()),
-                    pa.array(good), pa.array([np.array_equal(x, np.array(y, np.int32)) for x, y in zip(ids, other, strict=True)]),
+                    pa.array(good), pa.array([x.tolist() == y for x, y in zip(ids, other, strict=True)]),
                 ]
                 if with_ids:
                     columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(codec.decode(ids), pa.string())]
