@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, components, forest, groups, mix, overlap_counts, sliced, stash, text_bytes
+from .common import U64, binary, components, forest, mix, overlap_counts, sliced, stash, text_bytes
 
 SHINGLE = 6
 PERCENT = 80
@@ -86,16 +86,16 @@ def band_keys(texts: list[bytes]) -> np.ndarray:
     bins = ((h >> U64(32)) * U64(_BINS) >> U64(32)).astype(np.int64)
     np.minimum.at(sig, row * _BINS + bins, np.minimum(h & U64(0xFFFFFFFF), U64(0xFFFFFFFE)).astype(np.uint32))
     sig = sig.reshape(-1, _BINS)
-    gaps = np.flatnonzero((sig == empty).any(1))
-    if len(gaps):
-        own = sig[gaps]
-        filled = own.copy()
-        for pick in _PICK:
-            todo = filled == empty
-            if not todo.any():
-                break
-            filled = np.where(todo, own[:, pick], filled)
-        sig[gaps] = filled
+    own, filled = sig, sig.copy()
+    rows = np.flatnonzero((sig == empty).any(1))
+    for pick in _PICK:  # rows that have no gap left drop out
+        if not len(rows):
+            break
+        part = filled[rows]
+        part = np.where(part == empty, own[rows][:, pick], part)
+        filled[rows] = part
+        rows = rows[(part == empty).any(1)]
+    sig = filled
     key = np.zeros((len(texts), BANDS), U64)
     parts = sig.reshape(-1, BANDS, ROWS).astype(U64)
     for r in range(ROWS):
@@ -173,25 +173,84 @@ def _bitmap(spark, members: DataFrame) -> np.ndarray:
     return out
 
 
+def _links(texts: list[bytes], group: np.ndarray, side: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of lines (by place, of one group, not both of one side unless the group has one) that are alike enough.
+
+    Groups stand one after another. Those of a few lines are compared together, by runs of equal shingles; others each by a product of matrices.
+    """
+    row, h = shingles(texts)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    row, h = row[new], h[new]
+    size = np.bincount(row, minlength=len(texts))
+    members = np.bincount(group)
+    small = members[group] <= 8
+    keep = small[row]
+    r, k = row[keep], h[keep]
+    order = np.lexsort((r, k, group[r]))
+    r, k = r[order], k[order]
+    pairs, counts = [], []
+    for d in range(1, 8):
+        if len(r) <= d:
+            break
+        hit = (k[d:] == k[:-d]) & (group[r[d:]] == group[r[:-d]])
+        if not hit.any():
+            break
+        pair, n = np.unique(r[:-d][hit].astype(np.int64) * len(texts) + r[d:][hit], return_counts=True)
+        pairs.append(pair)
+        counts.append(n)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    if pairs:
+        pair, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        common = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+        u, v = pair // len(texts), pair % len(texts)
+        good = (100 * common >= PERCENT * (size[u] + size[v] - common)) & (same[u] | (side[u] != side[v]))
+        out.append((u[good], v[good]))
+    ends = np.cumsum(members)
+    for g in np.flatnonzero(members > 8):
+        lo, hi = ends[g] - members[g], ends[g]
+        s, e = np.searchsorted(row, [lo, hi])
+        sets = np.split(h[s:e], np.searchsorted(row[s:e], np.arange(lo + 1, hi)))
+        one = bool(same[lo])
+        left = np.flatnonzero(side[lo:hi] <= 0)
+        right = left if one else np.flatnonzero(side[lo:hi] > 0)
+        common = overlap_counts(sets, left, right, one).astype(np.int64)
+        linked = 100 * common >= PERCENT * (size[lo + left][:, None] + size[lo + right][None, :] - common)
+        i, j = np.nonzero(np.triu(linked, 1) if one else linked)
+        out.append((lo + left[i], lo + right[j]))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
 def _compare(batches):
-    """Links between the lines of two blocks, as a forest: rows of (cluster, a, b, side, id, text)."""
-    for (_, a, b), t in groups(batches, 3):
-        side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
-        texts = t.column("text").to_pylist()
-        row, h = shingles(texts)
-        order = np.lexsort((h, row))
-        row, h = row[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        row, h = row[new], h[new]
-        sets = np.split(h, np.searchsorted(row, np.arange(1, len(texts))))
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0) if a != b else np.flatnonzero(side <= 0)
-        size = np.array([len(s) for s in sets])
-        common = overlap_counts(sets, left, right, a == b).astype(np.int64)
-        linked = 100 * common >= PERCENT * (size[left][:, None] + size[right][None, :] - common)
-        i, j = np.nonzero(np.triu(linked, 1) if a == b else linked)
-        u, v = forest(ids[left[i]], ids[right[j]])
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    """Links between the lines of two blocks, as a forest: sorted rows of (cluster, a, b, side, id, text)."""
+
+    def linked(t: pa.Table):
+        keys = [t.column(i).to_numpy() for i in range(3)]
+        change = np.ones(t.num_rows, bool)
+        change[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])
+        ids = t.column("id").to_numpy()
+        u, v = _links(t.column("text").to_pylist(), np.cumsum(change) - 1, t.column("side").to_numpy(), keys[1] == keys[2])
+        u, v = forest(ids[u], ids[v])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for b in (x for whole in batches for x in sliced(whole, limit=1 << 20)):
+        # rows up to the last change of group are whole groups
+        tail = tuple(b.column(i)[b.num_rows - 1].as_py() for i in range(3))
+        same = np.logical_and.reduce([b.column(i).to_numpy(zero_copy_only=False) == tail[i] for i in range(3)])
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if not cut and held and tuple(held[-1].column(i)[held[-1].num_rows - 1].as_py() for i in range(3)) == tail:
+            held.append(b)
+            continue
+        if cut:
+            held.append(b.slice(0, cut))
+        if held:
+            yield linked(pa.Table.from_batches(held))
+        held = [b.slice(cut)]
+    if held:
+        yield linked(pa.Table.from_batches(held))
 
 
 def _texts(bitmap):
@@ -239,6 +298,19 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     return out.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "hash")).alias("removed"))
 
 
+def _gone(hashes: Column) -> Column:
+    """The removed places that have the hash they were removed for: it tells the texts of one doc_id apart."""
+    gone = F.filter("removed", lambda r: F.get(hashes, r["line_no"]) == r["hash"])
+    return F.when(F.col("removed").isNull(), F.array().cast("array<int>")).otherwise(F.sort_array(F.transform(gone, lambda r: r["line_no"])))
+
+
+def report(documents: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_kept, removed_lines array<int> of every row, as dedup has them; no text is moved."""
+    rows = documents.select("doc_id", F.transform(lines(F.col("text")), line_hash).alias("hashes")).join(removed_lines(documents), "doc_id", "left")
+    out = rows.select("doc_id", F.size("hashes").alias("n_lines"), _gone(F.col("hashes")).alias("removed_lines"))
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("removed_lines")).alias("n_kept"), "removed_lines")
+
+
 def dedup(documents: DataFrame) -> DataFrame:
     """documents with text less the lines removed, and n_lines, n_kept, removed_lines array<int>.
 
@@ -248,9 +320,7 @@ def dedup(documents: DataFrame) -> DataFrame:
     """
     rows = documents.join(removed_lines(documents), "doc_id", "left")
     all_lines = lines(F.col("text"))
-    # the hash tells the texts of one doc_id apart
-    gone = F.filter("removed", lambda r: r["hash"] == line_hash(F.get(all_lines, r["line_no"])))
-    gone = F.when(F.col("removed").isNull(), F.array().cast("array<int>")).otherwise(F.sort_array(F.transform(gone, lambda r: r["line_no"])))
+    gone = _gone(F.transform(all_lines, line_hash))
     out = rows.withColumn("n_lines", F.size(all_lines)).withColumn("removed_lines", gone)
     kept = F.filter(all_lines, lambda _, i: ~F.array_contains("removed_lines", i))
     text = F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))

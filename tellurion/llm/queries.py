@@ -83,7 +83,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Blank lines stay; a null or empty text has one blank line; rows of one doc_id are one document.
     """
-    return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_kept", "removed_lines")
+    return line_dedup.report(read(spark, sf_dir, "documents"))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
