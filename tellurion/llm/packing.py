@@ -25,8 +25,8 @@ TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 #: Tokens of the sequences that make up one step.
 STEP_TOKENS = 8 * CONTEXT
-#: Words remembered by a worker process at most, about 250 MB; the half met first, which holds the common ones, outlives a full table.
-CACHE_WORDS = 1_200_000
+#: Words remembered by a worker process at most, about 200 MB; the half met first, which holds the common ones, outlives a full table.
+CACHE_WORDS = 1_000_000
 
 
 def lower(text: bytes) -> bytes:

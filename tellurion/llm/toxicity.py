@@ -15,7 +15,7 @@ from .common import U64, mix, row_of, sliced, word_hashes
 
 BITS = 22
 #: No more labelled documents than this are learnt from: those whose id hashes lowest.
-TRAIN_ROWS = 16_000
+TRAIN_ROWS = 10_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.2
 #: Features of fewer of the documents learnt from than this aren't learnt: L1 would leave most of them at 0.
@@ -54,7 +54,7 @@ def features(column, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
 def fit_ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of binary features: (indices, values, bias). The bias has no L1."""
     size = 1 << bits
-    z, n = np.zeros(size), np.zeros(size)
+    z, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
     zb = nb = 0.0
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(examples)):
@@ -86,10 +86,11 @@ def _train(batches):
     for b in batches:
         y += b.column("y").to_pylist()
         x += [np.frombuffer(v, np.int32) for v in b.column("x").to_pylist()]
-    rows = np.zeros(1 << BITS, np.int32)
+    rows = np.zeros(1 << BITS, np.int16)  # TRAIN_ROWS at most
     for v in x:
         rows[v] += 1
-    x = [v[rows[v] >= MIN_ROWS] for v in x]
+    for i, v in enumerate(x):  # in place, so that what is left out is freed
+        x[i] = v[rows[v] >= MIN_ROWS]
     order = sorted(range(len(y)), key=lambda i: (len(x[i]), x[i].tobytes(), y[i]))  # rows come in no order of their own
     index, weight, bias = fit_ftrl([x[i] for i in order], np.array([y[i] for i in order], float)) if y else (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
     yield pa.RecordBatch.from_arrays([pa.array([index.tobytes()]), pa.array([weight.tobytes()]), pa.array([bias])], names=["index", "weight", "bias"])
