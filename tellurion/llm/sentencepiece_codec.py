@@ -15,15 +15,14 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import sliced, text_bytes
 
 MARK = "▁"
 #: Words remembered by a worker process at most; the half met first, which holds the common ones, outlives a full table.
-CACHE_WORDS = 900_000
-#: Threads that encode a batch.
-THREADS = 2
+CACHE_WORDS = 1_600_000
 # fixed values of the format: kinds of pieces, and the numbers of its fields
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PIECE, TRAINER, NORMALIZER = 1, 2, 3
@@ -144,10 +143,10 @@ class Codec:
         self.faithful = np.zeros(0, bool)  # whether a word's ids decode to it
 
     @classmethod
-    def of(cls, path: str) -> Codec:
-        """The codec of this process: tasks that follow one another share what was learnt."""
+    def of(cls, path: str, threads: int = 1) -> Codec:
+        """The codec of this process: tasks that follow one another share what was learnt. Batches are encoded by so many threads."""
         if path not in _codecs:
-            os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+            os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
             with open(path, "rb") as f:
                 _codecs[path] = cls(f.read())
         return _codecs[path]
@@ -207,14 +206,15 @@ def encode(documents: DataFrame, path: str, key: str = "doc_id", with_ids: bool
     def encoded(batches):
         import sentencepiece
 
-        codec, judge = Codec.of(path), sentencepiece.SentencePieceProcessor(model_file=path)
+        threads = TaskContext.get().cpus()  # as many as the cluster gives a task
+        codec, judge = Codec.of(path, threads), sentencepiece.SentencePieceProcessor(model_file=path)
         for b in batches:
             for part in sliced(b, limit=1 << 20):
                 raw, at = text_bytes(part.column("text"))
                 texts = [raw[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)]
                 ids, good = codec.encode(texts)
                 plain = [t.decode("utf-8") for t in texts]
-                other = judge.encode(plain, num_threads=1)
+                other = judge.encode(plain, num_threads=threads)
                 columns = [
                     part.column(key), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()),
                     pa.array(good), pa.array([x.tolist() == y for x, y in zip(ids, other, strict=True)]),
