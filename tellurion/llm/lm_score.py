@@ -23,7 +23,7 @@ from .packing import END_ID, WordEncoder
 
 #: The attention's weights are fitted on the ids of about so many training documents, those whose ids hash lowest; all counts are over all of them.
 FIT_ROWS = 2_000
-DIM, CLASSES, SPAN, STRIDE = 16, 256, 16, 32
+DIM, CLASSES, SPAN, STRIDE = 16, 128, 16, 32
 #: Ids with rows of their own in the model's tables; the others share SHARED rows by number.
 OWN, SHARED = 4096, 256
 EPOCHS, RATE, WINDOWS = 3, 0.02, 128
@@ -193,8 +193,7 @@ def _ids_counted(tokenizer: str, size: int):
     def run(batches):
         encoder, total = WordEncoder.of(tokenizer), np.zeros(size, np.int64)
         for b in (x for whole in batches for x in sliced(whole)):
-            ids, _ = encoder.encode(b.column("text"))
-            total += np.bincount(ids, minlength=size)
+            total += encoder.count(b.column("text"), size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
 
@@ -237,7 +236,8 @@ def _is_held(doc_ids: list) -> np.ndarray:
     return np.array([d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d in doc_ids], bool)
 
 
-_ENTRY = "part int, words binary, trained binary, keys binary, docs binary, held binary, scores binary, word_of binary, doc_of binary, times binary"
+_ENTRY = "part int, base long, words binary, trained binary, docs_of binary, rows binary, times binary, info binary"
+_ROWS = 65_000
 
 
 def _dealt(model, tokenizer: str, bits: int):
@@ -246,33 +246,35 @@ def _dealt(model, tokenizer: str, bits: int):
     def run(batches):
         net, encoder = model.value, WordEncoder.of(tokenizer)
         number = TaskContext.get().partitionId() << 36
-        for b in (x for whole in batches for x in sliced(whole, limit=3 << 20)):
+        for b in (y.slice(lo, _ROWS) for whole in batches for y in sliced(whole, limit=6 << 20) for lo in range(0, y.num_rows, _ROWS)):
             doc_ids = b.column("doc_id").to_pylist()
             held = _is_held(doc_ids)
-            keys = number + np.arange(len(doc_ids))
+            base = number
             number += len(doc_ids)
-            score = np.zeros(len(doc_ids))
-            for s in sliced(b, limit=1 << 19):
-                lo = s.column("text").offset - b.column("text").offset
-                score[lo : lo + s.num_rows] = net.score(*encoder.encode(s.column("text")))
+            score = np.concatenate([net.score(*encoder.encode(s.column("text"))) for s in sliced(b, limit=1 << 19)])
             h, at = word_hashes(b.column("text"))
             row = np.concatenate([row_of(at), np.arange(len(doc_ids))])
-            h = np.concatenate([h, np.full(len(doc_ids), _END_WORD)])
-            words, of = np.unique(h, return_inverse=True)
-            pair, times = np.unique(of.astype(np.int64) * len(doc_ids) + row, return_counts=True)
-            of, row = pair // len(doc_ids), pair % len(doc_ids)
-            trained = np.bincount(of, times * ~held[row], minlength=len(words)).astype(np.int64)
+            words, of = np.unique(np.concatenate([h, np.full(len(doc_ids), _END_WORD)]), return_inverse=True)
+            pair, times = np.unique(of.astype(np.int64) << 16 | row, return_counts=True)
+            of, row = pair >> 16, pair & 0xFFFF
+            trained = np.bincount(of, times * ~held[row], minlength=len(words)).astype(np.uint32)
+            docs_of = np.bincount(of, minlength=len(words)).astype(np.uint32)
             edges = np.searchsorted(words, np.arange(1 << bits, dtype=U64) << U64(64 - bits))
             ends = np.append(edges[1:], len(words))
-            cut, stop = np.searchsorted(of, edges), np.searchsorted(of, ends)
-            columns: list[list] = [[] for _ in range(10)]
+            some = np.flatnonzero(ends > edges)
+            cut = np.append(0, np.cumsum(docs_of.astype(np.int64)))
+            row, times = row.astype(np.uint16), times.astype(np.uint32)
             names = np.array([0 if d is None else d for d in doc_ids], np.int64)
-            null = np.array([d is None for d in doc_ids], np.int8)
-            for k in np.flatnonzero(ends > edges):
-                docs, doc_of = np.unique(row[cut[k] : stop[k]], return_inverse=True)
-                for c, x in zip(columns, (k, words[edges[k] : ends[k]], trained[edges[k] : ends[k]], keys[docs], names[docs], held[docs].astype(np.int8) + 2 * null[docs], score[docs], (of[cut[k] : stop[k]] - edges[k]).astype(np.uint32), doc_of.astype(np.uint32), times[cut[k] : stop[k]].astype(np.uint32)), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(binary(c) for c in columns[1:])], names=[x.split()[0] for x in _ENTRY.split(", ")])
+            flags = held.astype(np.int8) + 2 * np.array([d is None for d in doc_ids], np.int8)
+            # what is known of the documents themselves goes on once, to any part below 0
+            info = names.tobytes() + score.tobytes() + flags.tobytes()
+            nothing = [np.zeros(0, np.uint8)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.append(some, -1 - base % 9973).astype(np.int32)), pa.array(np.full(len(some) + 1, base)), binary([words[edges[k] : ends[k]] for k in some] + nothing), binary([trained[edges[k] : ends[k]] for k in some] + nothing),
+                    binary([docs_of[edges[k] : ends[k]] for k in some] + nothing), binary([row[cut[edges[k]] : cut[ends[k]]] for k in some] + nothing), binary([times[cut[edges[k]] : cut[ends[k]]] for k in some] + nothing), pa.array([b""] * len(some) + [info], pa.binary()),
+                ], names=[x.split()[0] for x in _ENTRY.split(", ")],
+            )
 
     return run
 
@@ -282,40 +284,51 @@ def _summed(parts: int):
 
     def run(batches):
         by: dict[int, list] = {}
+        got: list[list[np.ndarray]] = [[] for _ in range(7)]
+
+        def keep(*columns):
+            for g, x in zip(got, columns, strict=True):
+                g.append(x)
+
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                by.setdefault(r[0], []).append(r[1:])
-        got: list[list[np.ndarray]] = [[] for _ in range(7)]
+                if r[0] >= 0:
+                    by.setdefault(r[0], []).append(r[1:7])
+                else:
+                    n = len(r[7]) // 17
+                    zero = np.zeros(n)
+                    keep(r[1] + np.arange(n), np.frombuffer(r[7], np.int64, n), np.frombuffer(r[7], np.int8, n, 16 * n), np.frombuffer(r[7], np.float64, n, 8 * n), zero, zero, zero)
         distinct = tokens = 0
         for part in sorted(by):
             blocks = by.pop(part)
-            words = [np.frombuffer(x[0], U64) for x in blocks]
+            words = [np.frombuffer(x[1], U64) for x in blocks]
             every, of = np.unique(np.concatenate(words), return_inverse=True)
-            count = np.bincount(of, np.concatenate([np.frombuffer(x[1], np.int64) for x in blocks]), minlength=len(every))
+            count = np.bincount(of, np.concatenate([np.frombuffer(x[2], np.uint32) for x in blocks]), minlength=len(every))
             distinct += int((count > 0).sum())
             tokens += int(count.sum())
             c = count[of]
             lo = 0
             for block, w in zip(blocks, words, strict=True):
-                own = c[lo : lo + len(w)]
+                here = np.repeat(c[lo : lo + len(w)], np.frombuffer(block[3], np.uint32))
                 lo += len(w)
-                word_of, doc_of, times = (np.frombuffer(x, np.uint32) for x in block[6:9])
-                keys = np.frombuffer(block[2], np.int64)
-                here = own[word_of]
-                for g, x in zip(got, (keys, np.frombuffer(block[3], np.int64), np.frombuffer(block[4], np.int8), np.frombuffer(block[5], np.float64), np.bincount(doc_of, times, minlength=len(keys)), np.bincount(doc_of, times * (here > 0), minlength=len(keys)), np.bincount(doc_of, times * np.log10(here + 0.5), minlength=len(keys))), strict=True):
-                    g.append(x)
+                row, times = np.frombuffer(block[4], np.uint16), np.frombuffer(block[5], np.uint32).astype(float)
+                n = np.bincount(row, times)
+                docs = np.flatnonzero(n)
+                zero = np.zeros(len(docs))
+                keep(block[0] + docs, zero.astype(np.int64), zero.astype(np.int8), zero, n[docs], np.bincount(row, times * (here > 0))[docs], np.bincount(row, times * np.log10(here + 0.5))[docs])
         if not got[0]:
             return
         keys, docs, held, score, n, known, base = map(np.concatenate, got)
         order = np.argsort(keys, kind="stable")
         first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-        one = order[first]
-        totals = [np.add.reduceat(x[order], first) for x in (n, known, base)]
-        bucket = (mix(keys[one].view(U64)) % U64(parts)).astype(np.int64)
+        # a document's id, flag and score are 0 but in the one place that has them
+        totals = [np.add.reduceat(x[order], first, dtype=x.dtype) for x in (docs, held, score, n, known, base)]
+        keys = keys[order[first]]
+        bucket = (mix(keys.view(U64)) % U64(parts)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(parts + 1))
         some = np.flatnonzero(np.diff(edges))
-        cols = [x[one][order] for x in (keys, docs, held, score)] + [x[order] for x in totals]
+        cols = [x[order] for x in (keys, *totals)]
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(binary([c[edges[k] : edges[k + 1]] for k in some]) for c in cols), *(pa.array(np.where(np.arange(len(some)) == 0, x, 0).astype(np.int64)) for x in (distinct, tokens))], names=[x.split()[0] for x in _PARTIAL.split(", ")])
 
     return run
@@ -331,10 +344,9 @@ def _joined(batches):
         keys = read("keys", np.int64)
         order = np.argsort(keys, kind="stable")
         first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-        one = order[first]
-        flag = read("held", np.int8)[one]
-        n, known, base = (np.add.reduceat(read(c, np.float64)[order], first) for c in ("n", "known", "base"))
-        yield pa.RecordBatch.from_arrays([pa.array(read("docs", np.int64)[one], mask=flag >= 2), pa.array(flag % 2 == 1), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(read("scores", np.float64)[one])], names=[x.split()[0] for x in _OUT.split(", ")])
+        total = lambda c, kind: np.add.reduceat(read(c, kind)[order], first, dtype=kind)  # noqa: B023, E731
+        flag = total("held", np.int8)
+        yield pa.RecordBatch.from_arrays([pa.array(total("docs", np.int64), mask=flag >= 2), pa.array(flag % 2 == 1), pa.array(total("n", np.float64).astype(np.int64)), pa.array(total("known", np.float64).astype(np.int64)), pa.array(total("base", np.float64)), pa.array(total("scores", np.float64))], names=[x.split()[0] for x in _OUT.split(", ")])
 
 
 def score(documents: DataFrame, tokenizer: str) -> DataFrame:

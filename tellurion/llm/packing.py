@@ -84,6 +84,15 @@ class WordEncoder:
         found[lacking] = [self.table[words[i]] for i in lacking.tolist()]
         return found
 
+    def count(self, column, size: int) -> np.ndarray:
+        """How often each of size ids stands in the rows and their ends: by way of how often each word does."""
+        raw, at = text_bytes(column)
+        found = self._find([w for i in range(len(at) - 1) for w in lower(raw[at[i] : at[i + 1]].tobytes()).split()])
+        words = np.bincount(found, minlength=len(self.table))
+        out = np.bincount(self.pool, np.repeat(words, np.diff(self.bounds)), minlength=size).astype(np.int64)
+        out[END_ID] += len(at) - 1
+        return out
+
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows end to end, each row's followed by END_ID, and the rows' n + 1 offsets."""
         raw, at = text_bytes(column)
