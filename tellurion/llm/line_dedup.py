@@ -255,9 +255,10 @@ def _compare(batches):
 
 def _texts(bitmap):
     def run(batches):
-        table = np.unpackbits(bitmap.value).view(bool)
+        table = bitmap.value
         for h, texts in _distinct(batches):
-            hit = np.flatnonzero(table[(h >> U64(64 - CELL_BITS)).astype(np.int64)])
+            cell = (h >> U64(64 - CELL_BITS)).astype(np.int64)
+            hit = np.flatnonzero(table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
             yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array([texts[i] for i in hit], pa.binary())], names=["id", "text"])
 
     return run

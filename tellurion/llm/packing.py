@@ -43,9 +43,10 @@ class WordEncoder:
     For vocabularies that lower case, drop white space and merge nothing across it: the ids of a text are those of its words, one after another.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.table: dict[bytes, int] = {}
         self.pool, self.bounds = np.zeros(0, np.uint16), np.zeros(1, np.int64)
@@ -61,7 +62,7 @@ class WordEncoder:
         return _encoders[path]
 
     def _shrink(self) -> None:
-        keep = CACHE_WORDS // 2
+        keep = self.most // 2
         self.table = dict(islice(self.table.items(), keep))
         self.bounds = self.bounds[: len(self.table) + 1].copy()
         self.pool = self.pool[: self.bounds[-1]].copy()
@@ -73,7 +74,7 @@ class WordEncoder:
         if not len(lacking):
             return found
         new = list(dict.fromkeys(words[i] for i in lacking.tolist()))
-        if len(self.table) + len(new) > CACHE_WORDS and len(self.table) > CACHE_WORDS // 2:
+        if len(self.table) + len(new) > self.most and len(self.table) > self.most // 2:
             self._shrink()
             return self._find(words)
         got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
@@ -180,15 +181,16 @@ class Steps:
         return out
 
 
-def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", context: int = CONTEXT, tiers: tuple[int, ...] = TIERS, with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", context: int = CONTEXT, tiers: tuple[int, ...] = TIERS, with_ids: bool = False, remember: int | None = None) -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group (and ids, if asked for).
 
     Each task packs the documents of its own partition, so nothing is shuffled, and a task that runs again packs alike. Null and empty texts
-    are one token, the end. Repeated rows are packed as often as they come; a null key stays null.
+    are one token, the end. Repeated rows are packed as often as they come; a null key stays null. With remember, a task remembers so many words for itself
+    alone, and less memory is held; else a process's tasks share CACHE_WORDS.
     """
 
     def packed(batches):
-        encoder, first = WordEncoder.of(tokenizer), TaskContext.get().partitionId() << 33
+        encoder, first = WordEncoder(tokenizer, remember) if remember else WordEncoder.of(tokenizer), TaskContext.get().partitionId() << 33
         steps, number = Steps(), 0
         held: dict[int, tuple] = {}  # documents not wholly packed: number to (key, ids)
         packer = Packer(context, tiers)
