@@ -180,7 +180,7 @@ def shingle_sets(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nd
     if len(short):
         ones = np.array([_whole(hashes[offsets[i] : offsets[i + 1]]) for i in short], U64)
         k, row = np.concatenate([k, ones]), np.concatenate([row, short])
-    order = np.lexsort((k, row)) if len(short) else None
+    order = order_by(k, row) if len(short) else None
     if order is None:  # rows are in order: sort within each
         bounds = np.concatenate([[0], np.cumsum(count)])
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -200,6 +200,13 @@ def _whole(h: np.ndarray) -> int:
     return out
 
 
+def order_by(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The order by row, then hash: two sorts of one key each, the second of small numbers, are much faster than one of two."""
+    order = np.argsort(hashes)
+    small = rows.astype(np.uint16) if not len(rows) or rows.max() < 1 << 16 else rows
+    return order[np.argsort(small[order], kind="stable")]
+
+
 def binary(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([np.ascontiguousarray(x).tobytes() for x in parts], pa.binary())
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, row_of, sliced, word_hashes
+from .common import U64, mix, order_by, row_of, sliced, word_hashes
 
 SAMPLES = 64
 #: Draws come from a table of so many (as a power of two), picked by hash.
@@ -62,7 +62,7 @@ def _sign(h: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
         return
     r, log_c, b, keys = _draws()
     row = row_of(offsets)
-    order = np.lexsort((h, row))
+    order = order_by(h, row)
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])

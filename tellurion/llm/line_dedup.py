@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, components, forest, mix, overlap_counts, sliced, stash, text_bytes
+from .common import U64, binary, components, forest, mix, order_by, overlap_counts, sliced, stash, text_bytes
 
 SHINGLE = 6
 PERCENT = 80
 #: Recall of a pair of similarity 0.8: 1 - (1 - 0.8**5)**16 = 0.998.
 BANDS, ROWS = 16, 5
-BLOCK = 256
+BLOCK = 1024
 #: The candidates' table has 2**CELL_BITS bits: 8 MB.
 CELL_BITS = 26
 _TRIM = " \t\r\x0b\x0c"
@@ -179,7 +179,7 @@ def _links(texts: list[bytes], group: np.ndarray, side: np.ndarray, same: np.nda
     Groups stand one after another. Those of a few lines are compared together, by runs of equal shingles; others each by a product of matrices.
     """
     row, h = shingles(texts)
-    order = np.lexsort((h, row))
+    order = order_by(h, row)
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
@@ -189,7 +189,7 @@ def _links(texts: list[bytes], group: np.ndarray, side: np.ndarray, same: np.nda
     small = members[group] <= 8
     keep = small[row]
     r, k = row[keep], h[keep]
-    order = np.lexsort((r, k, group[r]))
+    order = order_by(k, group[r])
     r, k = r[order], k[order]
     pairs, counts = [], []
     for d in range(1, 8):
@@ -198,7 +198,8 @@ def _links(texts: list[bytes], group: np.ndarray, side: np.ndarray, same: np.nda
         hit = (k[d:] == k[:-d]) & (group[r[d:]] == group[r[:-d]])
         if not hit.any():
             break
-        pair, n = np.unique(r[:-d][hit].astype(np.int64) * len(texts) + r[d:][hit], return_counts=True)
+        a, b = r[:-d][hit].astype(np.int64), r[d:][hit]
+        pair, n = np.unique(np.minimum(a, b) * len(texts) + np.maximum(a, b), return_counts=True)
         pairs.append(pair)
         counts.append(n)
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
