@@ -79,10 +79,11 @@ class WordEncoder:
             return self._find(words)
         got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
         base = len(self.table)
-        self.table.update(zip(new, range(base, base + len(new)), strict=True))
+        fresh = dict(zip(new, range(base, base + len(new)), strict=True))
+        self.table.update(fresh)
         self.pool = np.concatenate([self.pool, np.fromiter((i for g in got for i in g), self.pool.dtype)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(g) for g in got])])
-        found[lacking] = [self.table[words[i]] for i in lacking.tolist()]
+        found[lacking] = [fresh[words[i]] for i in lacking.tolist()]
         return found
 
     def count(self, column, size: int) -> np.ndarray:
@@ -105,7 +106,9 @@ class WordEncoder:
             index = self._find([w for r in rows for w in r])
             start, size = self.bounds[index], self.bounds[index + 1] - self.bounds[index]
             ends = np.concatenate([[0], np.cumsum(size)])
-            flat = self.pool[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)]
+            place = np.repeat((start - ends[:-1]).astype(np.int32), size)  # a stretch of text has far fewer ids than 2**31
+            place += np.arange(len(place), dtype=np.int32)
+            flat = self.pool[place]
             row_end = ends[np.cumsum([len(r) for r in rows])]
             parts.append(np.insert(flat, row_end, END_ID))
             counts.append(np.diff(np.concatenate([[0], row_end])) + 1)

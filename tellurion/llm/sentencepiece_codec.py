@@ -165,12 +165,13 @@ class Codec:
             return self._find(words)
         got = [e.ids for e in self.words.encode_batch_fast([MARK + w.decode("utf-8").replace(" ", MARK) for w in new], add_special_tokens=False)]
         base = len(self.table)
-        self.table.update(zip(new, range(base, base + len(new)), strict=True))
+        fresh = dict(zip(new, range(base, base + len(new)), strict=True))
+        self.table.update(fresh)
         self.pool = np.concatenate([self.pool, np.fromiter((i for g in got for i in g), np.int32)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(g) for g in got])])
         back = self.tokenizer.decode_batch(got, skip_special_tokens=False)  # the decoder takes the space before a text away
         self.faithful = np.concatenate([self.faithful, np.array([b.encode() == w for b, w in zip(back, new, strict=True)], bool)])
-        found[lacking] = [self.table[words[i]] for i in lacking.tolist()]
+        found[lacking] = [fresh[words[i]] for i in lacking.tolist()]
         return found
 
     def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
