@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: an iteration's lineage ends there, and a lost executor costs one step."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tellurion-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tellurion-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tellurion.sources.shared import stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step is a min by node and an equi-join; it ends after a step that changes nothing.
     """
-    e = _written(edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u <> v").distinct())
+    e = stash(edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = _written(large.join(m, "u").select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct())
+        e = stash(large.join(m, "u").select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
@@ -46,10 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, depth: int = 50) -> DataFrame:
     """(node, level) of an acyclic graph of edges u -> v: the length of the longest path to it. A path over depth raises, as a cycle has one."""
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    front = _written(nodes.join(edges.select(F.col("v").alias("node")), "node", "left_anti").select("node", F.lit(0).alias("level")))
+    front = stash(nodes.join(edges.select(F.col("v").alias("node")), "node", "left_anti").select("node", F.lit(0).alias("level")))
     out = front
     for i in range(1, depth + 2):
-        front = _written(front.join(edges, front["node"] == edges["u"]).select(F.col("v").alias("node")).distinct().select("node", F.lit(i).alias("level")))
+        front = stash(front.join(edges, front["node"] == edges["u"]).select(F.col("v").alias("node")).distinct().select("node", F.lit(i).alias("level")))
         if front.isEmpty():
             return out.groupBy("node").agg(F.max("level").alias("level"))
         out = out.unionByName(front)
@@ -64,7 +51,7 @@ def descendants(edges: DataFrame, roots: DataFrame, depth: int = 50) -> DataFram
         step = front.join(edges, front["node"] == edges["u"]).select("root", F.col("v").alias("node")).distinct()
         if seen is not None:
             step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        front = _written(step)
+        front = stash(step)
         if front.isEmpty():
             break
         found = front.withColumn("distance", F.lit(i))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tellurion.functions.base import rounded
 from tellurion.sources import catalog as sources
+from tellurion.sources.shared import new_path
 from tellurion.streaming import windows
 
 from .fixtures import px_static, table
@@ -62,8 +60,7 @@ def mode_changes(spark, d):
 @query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by 1")
 def stream_available_now(spark, d):
     """The events through Structured Streaming once, de-duplicated by id, then summed from the sink."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tellurion-")
-    folder = f"{base.rstrip('/')}/tellurion-stream-{uuid.uuid4().hex}"
+    folder = new_path(spark, "stream")
     events = table(spark, d, "events")
     out = windows.run_available(spark, f"{d}/events.parquet*", events.schema, lambda s: s.select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"]), f"{folder}/out", f"{folder}/state")
     return out.groupBy("event_type").agg(F.count("*").alias("n"), r("total", F.sum("value"), 4))
@@ -72,8 +69,7 @@ def stream_available_now(spark, d):
 @query("select row, col, elev from px_static where row // 8 = 1 and col // 8 between 0 and 2", "px_static")
 def tile_window_read(spark, d):
     """A window of a raster written as a partitioned tile table and read back: only the partitions it touches are scanned."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tellurion-")
-    path = f"{base.rstrip('/')}/tellurion-tiles-{uuid.uuid4().hex}"
+    path = new_path(spark, "tiles")
     sources.write_tiles(px_static(spark, d).select("row", "col", "elev"), path, 8)
     return sources.read_window(spark, path, 8, 8, 16, 0, 24).select("row", "col", "elev")
 
