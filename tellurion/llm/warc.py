@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import uuid
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -19,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stash
+from tellurion.sources.shared import new_path
+
+from .common import stash
 
 MIN_REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 1000
@@ -199,6 +200,6 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 def archive(pages: DataFrame) -> DataFrame:
     """Writes pages to archives in the shared folder, reads them back and returns their merged index."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/tellurion-warc-{uuid.uuid4().hex}"
+    folder = new_path(spark, "warc")
     write_archives(pages, folder)
     return merge_runs(capture_runs(spark, folder))
