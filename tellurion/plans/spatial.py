@@ -22,10 +22,10 @@ def _window(value, k, source, aggs):
     return f"select a.row, a.col, {aggs} from {source} a join {source} b on b.row between a.row - {h} and a.row + {h} and b.col between a.col - {h} and a.col + {h} group by a.row, a.col"
 
 
-@query("with " + "w as (" + _window("elev", 5, "px_static", "avg(b.elev) as m, var_pop(b.elev) as v, min(b.elev) as lo, max(b.elev) as hi, count(b.elev) as n") + ") select row, col, n, round(m, 6) as mean, round(v, 5) + 0.0 as variance, lo as low, hi as high, round(case when m <> 0 then sqrt(greatest(v, 0)) / m end, 5) + 0.0 as cv from w", "px_static")
+@query("with " + "w as (" + _window("elev", 5, "px_static", "avg(b.elev) as m, var_pop(b.elev) as v, min(b.elev) as lo, max(b.elev) as hi, count(b.elev) as n") + ") select row, col, n, round(m, 6) as mean, round(v, 8) + 0.0 as variance, lo as low, hi as high, round(case when m <> 0 then sqrt(greatest(v, 0)) / m end, 5) + 0.0 as cv from w", "px_static")
 def focal_statistics(spark, d):
     s = focal.local_statistics(px_static(spark, d), "elev", 5, "none")
-    return s.select(*CELL, F.col("n_").cast("bigint").alias("n"), r("mean", F.col("mean_")), r("variance", F.col("var_"), 5), F.col("low_").alias("low"), F.col("high_").alias("high"), r("cv", F.when(F.col("mean_") != 0, F.sqrt("var_") / F.col("mean_")), 5))
+    return s.select(*CELL, F.col("n_").cast("bigint").alias("n"), r("mean", F.col("mean_")), r("variance", F.col("var_"), 8), F.col("low_").alias("low"), F.col("high_").alias("high"), r("cv", F.when(F.col("mean_") != 0, F.sqrt("var_") / F.col("mean_")), 5))
 
 
 _MIRROR = "e as (select max(row) as mr, max(col) as mc from px_static), p as (select unnest(list_distinct([row, -row, 2 * mr - row])) as row, col, elev, mc from px_static cross join e), q as (select row, unnest(list_distinct([col, -col, 2 * mc - col])) as col, elev from p)"

@@ -1,5 +1,7 @@
 """Every registered query of the engine against its SQL, on the smallest tables."""
 
+import math
+
 import duckdb
 import pytest
 
@@ -20,7 +22,14 @@ def duck():
 
 
 def rows(records, columns):
-    return sorted(tuple("" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in (r[c] for c in columns)) for r in records)
+    """Rows in an order that the last digits of numbers don't bear on."""
+    plain = [tuple(None if r[c] is None or r[c] != r[c] else r[c] for c in columns) for r in records]
+    return sorted(plain, key=lambda r: [(v is not None, f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r])
+
+
+def same(a, b):
+    """Numbers may differ by one in the last digit that was rounded to."""
+    return math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-5) if isinstance(a, float) and isinstance(b, float) else str(a) == str(b)
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
@@ -36,7 +45,9 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     assert columns == sorted(rel.columns)
     kinds = dict(zip(rel.columns, map(str, rel.types), strict=True))
     assert {c: KINDS.get(k, kinds[c]) for c, k in df.dtypes} == kinds
-    assert rows(got, columns) == rows([dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()], columns)
+    ours, theirs = rows(got, columns), rows([dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()], columns)
+    assert len(ours) == len(theirs)
+    assert not [(a, b) for a, b in zip(ours, theirs, strict=True) if not all(map(same, a, b))][:3]
 
 
 def test_most_queries_have_sql():
