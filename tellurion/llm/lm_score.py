@@ -18,8 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, crc_mod, groups, mix, row_of, sliced, stash, word_hashes
-from .packing import END_ID, WordEncoder
+from .common import U64, binary, crc_mod, groups, mix, row_of, sliced, stash, text_bytes, word_hashes
 
 #: The attention's weights are fitted on the ids of about so many training documents, those whose ids hash lowest; all counts are over all of them.
 FIT_ROWS = 2_000
@@ -27,6 +26,38 @@ DIM, CLASSES, SPAN, STRIDE = 16, 128, 16, 32
 #: Ids with rows of their own in the model's tables; the others share SHARED rows by number.
 OWN, SHARED = 4096, 256
 EPOCHS, RATE, WINDOWS = 3, 0.02, 128
+_encoders: dict[str, Subwords] = {}
+
+
+class Subwords:
+    """Ids of whole texts, A-Z in lower case, by a vocabulary of byte-pair ranks; the number after its last is the end of a text."""
+
+    def __init__(self, path: str):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.end = len(ranks)
+        self.encoding = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @classmethod
+    def of(cls, path: str) -> Subwords:
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows end to end, each row's followed by the end, and the rows' n + 1 offsets."""
+        raw, at = text_bytes(column)
+        rows = [self.encoding.encode_ordinary(raw[a:b].tobytes().lower().decode("utf-8")) for a, b in zip(at[:-1], at[1:], strict=True)]
+        for r in rows:
+            r.append(self.end)
+        return np.array([i for r in rows for i in r], np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+
+
 _END_WORD = U64(0x5DEECE66D1234567)
 
 
@@ -188,12 +219,12 @@ class Model:
 
 
 def _ids_counted(tokenizer: str, size: int):
-    """(id, n): how often each id stands in the texts of a task; a word's ids are looked up once for all its places."""
+    """(id, n): how often each id stands in the texts of a task."""
 
     def run(batches):
-        encoder, total = WordEncoder.of(tokenizer), np.zeros(size, np.int64)
+        encoder, total = Subwords.of(tokenizer), np.zeros(size, np.int64)
         for b in (x for whole in batches for x in sliced(whole)):
-            total += encoder.count(b.column("text"), size)
+            total += np.bincount(encoder.encode(b.column("text"))[0], minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
 
@@ -202,17 +233,17 @@ def _ids_counted(tokenizer: str, size: int):
 
 def fit(training: DataFrame, tokenizer: str) -> Model:
     """The model of training's (doc_id, text) rows: counts of all; attention fitted on about FIT_ROWS documents, in one task."""
-    size = WordEncoder.of(tokenizer).tokenizer.get_vocab_size() + 1
+    end = Subwords.of(tokenizer).end
+    size = end + 1
     counts = np.zeros(size, np.int64)
-    n_rows = 0
     for r in training.select("text").mapInArrow(_ids_counted(tokenizer, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a vocabulary's worth
         counts[r["id"]] = r["n"]
-    n_rows = int(counts[END_ID])
+    n_rows = int(counts[end])
     rate = min(1.0, FIT_ROWS / max(1, n_rows))
     sample = training.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).select("doc_id", "text")
 
     def encoded(batches):
-        encoder = WordEncoder.of(tokenizer)
+        encoder = Subwords.of(tokenizer)
         for b in (x for whole in batches for x in sliced(whole)):
             ids, at = encoder.encode(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), binary([ids[s:e].astype(np.int32) for s, e in zip(at[:-1], at[1:], strict=True)])], names=["doc_id", "ids"])
@@ -244,7 +275,7 @@ def _dealt(model, tokenizer: str, bits: int):
     """Blocks of a range's words: distinct hashes, their training counts, and which word stands how often in which document."""
 
     def run(batches):
-        net, encoder = model.value, WordEncoder.of(tokenizer)
+        net, encoder = model.value, Subwords.of(tokenizer)
         number = TaskContext.get().partitionId() << 36
         for b in (y.slice(lo, _ROWS) for whole in batches for y in sliced(whole, limit=6 << 20) for lo in range(0, y.num_rows, _ROWS)):
             doc_ids = b.column("doc_id").to_pylist()

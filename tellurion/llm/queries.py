@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from . import fingerprints, language, line_dedup, lm_score, neighbours, ngram_join, packing, sentencepiece_codec, toxicity, warc
 from .common import crc_mod, read
 
-#: The vocabulary of the packing and language-model queries: the path is a parameter of the operators.
+#: The vocabularies of the packing, language-model and SentencePiece queries: a path is a parameter of each operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -91,7 +92,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A null or empty text is its end alone; a repeated row counts and is scored as often as it comes.
     """
-    return lm_score.score(read(spark, sf_dir, "documents"), TOKENIZER)
+    return lm_score.score(read(spark, sf_dir, "documents"), RANKS)
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
