@@ -33,6 +33,25 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+def tidy(f):
+    """f, a function over the Arrow batches of a task, giving free memory back when the task ends: idle workers share a machine with busy ones."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 # ---------------------------------------------------------------- words
 
 
@@ -219,17 +238,35 @@ def overlap_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
                 if not same or i < j:
                     counts[i, j] = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
         return counts
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    at, row = at[n[at] > 1], row[n[at] > 1]
-    seen, at = np.unique(at, return_inverse=True)
-    order = np.argsort(at, kind="stable")
+    size = len(sets)
+    row = np.repeat(np.arange(size), [len(s) for s in sets])
+    at = np.concatenate(sets)
+    order = order_by(at, np.zeros(len(at), np.uint16))
     at, row = at[order], row[order]
-    step = 4096
-    for lo in range(0, len(seen), step):
-        s, e = np.searchsorted(at, [lo, lo + step])
-        have = np.zeros((len(sets), min(step, len(seen) - lo)), np.float32)
-        have[row[s:e], at[s:e] - lo] = 1
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    n = np.diff(np.append(first, len(at)))
+    of, many = np.repeat(np.arange(len(n)), n), np.repeat(n, n)
+    full = np.zeros(size * size, np.int32)
+    # elements of few sets: the pairs of each
+    few = (many > 1) & (many <= 32)
+    r, o = row[few], of[few]
+    for d in range(1, 32):
+        hit = o[d:] == o[:-d]
+        if not hit.any():
+            break
+        a, b = r[:-d][hit], r[d:][hit]
+        np.add.at(full, np.minimum(a, b) * size + np.maximum(a, b), 1)
+    full = full.reshape(size, size)
+    full = full + full.T
+    counts += full[np.ix_(left, right)]
+    # elements of many: a product of matrices
+    r, o = row[many > 32], of[many > 32]
+    _, o = np.unique(o, return_inverse=True)
+    step = 2048
+    for lo in range(0, int(o[-1]) + 1 if len(o) else 0, step):
+        s, e = np.searchsorted(o, [lo, lo + step])
+        have = np.zeros((size, step), np.float32)
+        have[r[s:e], o[s:e] - lo] = 1
         counts += (have[left] @ have[right].T).astype(np.int32)
     return counts
 
@@ -286,7 +323,7 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder, so a lost executor costs one step. It ends after a step that changes nothing.
     """
     edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    edges = stash(edges.mapInArrow(_contract, "u long, v long"))  # v < u in each
+    edges = stash(edges.mapInArrow(tidy(_contract), "u long, v long"))  # v < u in each
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import sliced, text_bytes
+from .common import sliced, text_bytes, tidy
 
 MAX_ORDER = 4
 #: About as many documents a language are learnt from at most, chosen by the hash of their ids.
@@ -162,7 +162,7 @@ def fit(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
         return Trees([], [])
     rate = F.create_map(*[F.lit(x) for r in share for x in (r["lang"], min(1.0, train_rows / r["count"]))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30))
-    grams = sample.select("lang", "text").mapInArrow(count_grams, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    grams = sample.select("lang", "text").mapInArrow(tidy(count_grams), "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     table = grams.where("n > 1 or order < 2").toPandas()
     langs = sorted(r["lang"] for r in share)
     out = []
@@ -195,7 +195,7 @@ def predict(documents: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, least / np.maximum(1, n), 0.0))], names=[*keep, "lang_pred", "score", "bits_per_byte"])
 
     source = documents.select(*dict.fromkeys([*keep, "text"]))
-    return source.mapInArrow(predicted, StructType([*(source.schema[c] for c in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())]))
+    return source.mapInArrow(tidy(predicted), StructType([*(source.schema[c] for c in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_byte", DoubleType())]))
 
 
 def _has_letter(column) -> np.ndarray:

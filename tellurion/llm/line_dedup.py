@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, components, forest, mix, order_by, overlap_counts, sliced, stash, text_bytes
+from .common import U64, binary, components, forest, mix, order_by, overlap_counts, sliced, stash, text_bytes, tidy
 
 SHINGLE = 6
 PERCENT = 80
@@ -22,6 +22,8 @@ BANDS, ROWS = 16, 5
 BLOCK = 1024
 #: The candidates' table has 2**CELL_BITS bits: 8 MB.
 CELL_BITS = 26
+#: A name that no table has.
+_REMOVED = "tellurion removed"
 _TRIM = " \t\r\x0b\x0c"
 _BINS = BANDS * ROWS
 _PICK = np.random.default_rng(11).integers(0, _BINS, (400, _BINS))
@@ -168,7 +170,7 @@ def _bitmap(spark, members: DataFrame) -> np.ndarray:
 
     cell = F.expr(f"cast(shiftrightunsigned(node, {64 - 6}) as int)")
     out = np.zeros((1 << CELL_BITS) // 8, np.uint8)
-    for r in members.select("node").repartition(parts, cell).mapInArrow(run, "part int, bits binary").toLocalIterator():
+    for r in members.select("node").repartition(parts, cell).mapInArrow(tidy(run), "part int, bits binary").toLocalIterator():
         out[r["part"] * width // 8 : (r["part"] + 1) * width // 8] |= np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -271,11 +273,11 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(6, (4 * parts - 1).bit_length())
     texts = documents.select("text")
-    met = texts.mapInArrow(_band_blocks(bits), "part int, keys binary, lines binary").repartition(parts, "part").mapInArrow(_meetings, "u long, v long")
+    met = texts.mapInArrow(tidy(_band_blocks(bits)), "part int, keys binary, lines binary").repartition(parts, "part").mapInArrow(tidy(_meetings), "u long, v long")
     clusters = components(met)
     members = stash(clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct()))
     bitmap = spark.sparkContext.broadcast(_bitmap(spark, members))
-    found = texts.mapInArrow(_texts(bitmap), "id long, text binary").groupBy("id").agg(F.first("text").alias("text"))
+    found = texts.mapInArrow(tidy(_texts(bitmap)), "id long, text binary").groupBy("id").agg(F.first("text").alias("text"))
     blocks = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = members.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = found.join(placed, found["id"] == placed["node"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -283,11 +285,11 @@ def similar_lines(documents: DataFrame) -> DataFrame:
         F.col("component").alias("cluster"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).alias("side"), "id", "text",
     ).repartition(parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "side", "id")
-    return components(rows.mapInArrow(_compare, "u long, v long"))
+    return components(rows.mapInArrow(tidy(_compare), "u long, v long"))
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, removed array<struct<line_no, hash>>): the lines of each document that repeat or resemble one before them, by doc_id and place."""
+    """(doc_id, array<struct<line_no, hash>>): the lines of each document that repeat or resemble one before them, by doc_id and place."""
     places = documents.where("doc_id is not null").select(F.col("doc_id"), F.posexplode(lines(F.col("text"))).alias("line_no", "line"))
     places = stash(places.select("doc_id", "line_no", line_hash(F.col("line")).alias("hash")).where("hash is not null"))
     first = places.groupBy("hash").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("doc_id", "line_no")).alias("last"))
@@ -297,13 +299,13 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     grouped = first.join(roots, "class", "left_semi").groupBy("class").agg(F.min("first").alias("keep"))
     doubled = first.join(grouped, "class", "left").select("hash", F.coalesce("keep", "first").alias("keep"), "last").where("keep <> last").select("hash", "keep")
     out = places.join(doubled, "hash").where(F.struct("doc_id", "line_no") != F.col("keep"))
-    return out.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "hash")).alias("removed"))
+    return out.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "hash")).alias(_REMOVED))
 
 
 def _gone(hashes: Column) -> Column:
     """The removed places that have the hash they were removed for: it tells the texts of one doc_id apart."""
-    gone = F.filter("removed", lambda r: F.get(hashes, r["line_no"]) == r["hash"])
-    return F.when(F.col("removed").isNull(), F.array().cast("array<int>")).otherwise(F.sort_array(F.transform(gone, lambda r: r["line_no"])))
+    gone = F.filter(_REMOVED, lambda r: F.get(hashes, r["line_no"]) == r["hash"])
+    return F.when(F.col(_REMOVED).isNull(), F.array().cast("array<int>")).otherwise(F.sort_array(F.transform(gone, lambda r: r["line_no"])))
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -318,12 +320,14 @@ def dedup(documents: DataFrame) -> DataFrame:
 
     Of lines that are equal once trimmed, or whose sets of 6-character shingles have a Jaccard similarity of 0.8 or more, directly or by way of others,
     the first by doc_id and place stays. Blank lines stay, as do the lines of a row without doc_id; a null text stays null. Rows of one doc_id count as
-    one document: a line at the same place in several of them stays in all or in none.
+    one document: a line at the same place in several of them stays in all or in none. Columns of documents called like the new ones are replaced.
     """
-    rows = documents.join(removed_lines(documents), "doc_id", "left")
+    new = ("n_lines", "n_kept", "removed_lines")
+    kept_columns = [c for c in documents.columns if c not in new]
+    rows = documents.select(*kept_columns).join(removed_lines(documents.select("doc_id", "text")), "doc_id", "left")
     all_lines = lines(F.col("text"))
     gone = _gone(F.transform(all_lines, line_hash))
     out = rows.withColumn("n_lines", F.size(all_lines)).withColumn("removed_lines", gone)
     kept = F.filter(all_lines, lambda _, i: ~F.array_contains("removed_lines", i))
     text = F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.withColumn("text", text).withColumn("n_kept", F.col("n_lines") - F.size("removed_lines")).select(*documents.columns, "n_lines", "n_kept", "removed_lines")
+    return out.withColumn("text", text).withColumn("n_kept", F.col("n_lines") - F.size("removed_lines")).select(*kept_columns, *new)

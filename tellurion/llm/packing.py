@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import sliced, text_bytes
+from .common import sliced, text_bytes, tidy
 
 CONTEXT = 4096
 TIERS = (512, 1024, 2048, 4096)
@@ -34,7 +34,7 @@ def lower(text: bytes) -> bytes:
     return text if b"<|" in text else text.lower()
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 class WordEncoder:
@@ -54,12 +54,12 @@ class WordEncoder:
             self.pool = self.pool.astype(np.uint32)
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
+    def of(cls, path: str, most: int = CACHE_WORDS) -> WordEncoder:
         """The encoder of this process: tasks that follow one another share what was learnt."""
-        if path not in _encoders:
+        if (path, most) not in _encoders:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker is one core's
-            _encoders[path] = cls(path)
-        return _encoders[path]
+            _encoders[path, most] = cls(path, most)
+        return _encoders[path, most]
 
     def _shrink(self) -> None:
         keep = self.most // 2
@@ -86,15 +86,6 @@ class WordEncoder:
         found[lacking] = [fresh[words[i]] for i in lacking.tolist()]
         return found
 
-    def count(self, column, size: int) -> np.ndarray:
-        """How often each of size ids stands in the rows and their ends: by way of how often each word does."""
-        raw, at = text_bytes(column)
-        found = self._find([w for i in range(len(at) - 1) for w in lower(raw[at[i] : at[i + 1]].tobytes()).split()])
-        words = np.bincount(found, minlength=len(self.table))
-        out = np.bincount(self.pool, np.repeat(words, np.diff(self.bounds)), minlength=size).astype(np.int64)
-        out[END_ID] += len(at) - 1
-        return out
-
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows end to end, each row's followed by END_ID, and the rows' n + 1 offsets."""
         raw, at = text_bytes(column)
@@ -184,16 +175,16 @@ class Steps:
         return out
 
 
-def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", context: int = CONTEXT, tiers: tuple[int, ...] = TIERS, with_ids: bool = False, remember: int | None = None) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", context: int = CONTEXT, tiers: tuple[int, ...] = TIERS, with_ids: bool = False, remember: int = CACHE_WORDS) -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group (and ids, if asked for).
 
     Each task packs the documents of its own partition, so nothing is shuffled, and a task that runs again packs alike. Null and empty texts
-    are one token, the end. Repeated rows are packed as often as they come; a null key stays null. With remember, a task remembers so many words for itself
-    alone, and less memory is held; else a process's tasks share CACHE_WORDS.
+    are one token, the end. Repeated rows are packed as often as they come; a null key stays null. A worker process remembers so many words
+    for its tasks.
     """
 
     def packed(batches):
-        encoder, first = WordEncoder(tokenizer, remember) if remember else WordEncoder.of(tokenizer), TaskContext.get().partitionId() << 33
+        encoder, first = WordEncoder.of(tokenizer, remember), TaskContext.get().partitionId() << 33
         steps, number = Steps(), 0
         held: dict[int, tuple] = {}  # documents not wholly packed: number to (key, ids)
         packer = Packer(context, tiers)
@@ -237,4 +228,4 @@ def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", context: int
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"] + ["ids"] * with_ids
     kind = documents.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, " + ", ".join(f"`{x}` long" for x in names[1:9]) + (", ids array<int>" if with_ids else "")
-    return documents.select(key, "text").mapInArrow(packed, schema)
+    return documents.select(key, "text").mapInArrow(tidy(packed), schema)

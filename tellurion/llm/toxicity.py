@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import U64, mix, row_of, sliced, word_hashes
+from .common import U64, mix, row_of, sliced, tidy, word_hashes
 
 BITS = 22
 #: No more labelled documents than this are learnt from: those whose id hashes lowest.
@@ -85,7 +85,9 @@ def _train(batches):
     y, x = [], []
     for b in batches:
         y += b.column("y").to_pylist()
-        x += [np.frombuffer(v, np.int32) for v in b.column("x").to_pylist()]
+        _, offsets, data = b.column("x").buffers()  # read in place
+        at = np.frombuffer(offsets, np.int32)[b.column("x").offset : b.column("x").offset + b.num_rows + 1]
+        x += [np.frombuffer(data, np.int32, (e - s) // 4, s) if e > s else np.zeros(0, np.int32) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     rows = np.zeros(1 << BITS, np.int16)  # TRAIN_ROWS at most
     for v in x:
         rows[v] += 1
@@ -105,8 +107,8 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(train_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    shaped = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text").mapInArrow(_examples, "y int, x binary")
-    best = shaped.repartition(1).mapInArrow(_train, "index binary, weight binary, bias double").first()
+    shaped = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text").mapInArrow(tidy(_examples), "y int, x binary")
+    best = shaped.repartition(1).mapInArrow(tidy(_train), "index binary, weight binary, bias double").first()
     return (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0) if best is None else (np.frombuffer(best["index"], np.int32), np.frombuffer(best["weight"], np.float32), best["bias"])
 
 
@@ -130,4 +132,4 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], kee
 
     source = documents.select(*dict.fromkeys([*keep, "text"]))
     fields = [source.schema[c] for c in keep]
-    return source.mapInArrow(scored, StructType([*fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return source.mapInArrow(tidy(scored), StructType([*fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
