@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import U64, binary, crc_mod, groups, mix, row_of, sliced, stash, text_bytes, word_hashes
 
-#: The attention's weights are fitted on the ids of about so many training documents, those whose ids hash lowest; all counts are over all of them.
+#: The attention starts from about so many training documents, those whose ids hash lowest, and then learns from all of them in ROUNDS rounds, each
+#: document in one; in a round every part of the documents learns by itself, and the parts' weights are averaged.
 FIT_ROWS = 2_000
+ROUNDS, ROUND_RATE = 8, 0.005
 DIM, CLASSES, SPAN, STRIDE = 16, 128, 16, 32
-#: Ids with rows of their own in the model's tables; the others share SHARED rows by number.
+#: Ids with rows of their own in the model's tables; the others share SHARED rows by class.
 OWN, SHARED = 4096, 256
+SKETCH, SKETCH_BITS = 24, 24
 EPOCHS, RATE, WINDOWS = 3, 0.02, 128
 _encoders: dict[str, Subwords] = {}
 
@@ -64,16 +67,16 @@ _END_WORD = U64(0x5DEECE66D1234567)
 class Model:
     """tables of inputs, queries, keys, values by row; bias by distance; output weights; row, class and log10 share of class by id."""
 
-    def __init__(self, counts: np.ndarray, ids: np.ndarray, at: np.ndarray, seed: int = 5):
-        """counts: of every id over the training documents. ids, at: those of the documents to fit on, and their offsets."""
+    def __init__(self, counts: np.ndarray, ids: np.ndarray, at: np.ndarray, seed: int = 5, sums: np.ndarray | None = None):
+        """counts: of every id over the training documents. ids, at: those of the documents to start on, and their offsets. sums: those of the
+        sketches over all training documents; without, over ids."""
         rng = np.random.default_rng(seed)
-        size = len(counts)
-        order = np.argsort(-counts, kind="stable")
-        self.row = (OWN + 2 + np.arange(size) % SHARED).astype(np.int32)
-        self.row[order[:OWN]] = np.arange(min(OWN, size))
+        self.row = _rows(counts)
         self.begin, self.pad = OWN, OWN + 1  # rows of the begin of a text and of nothing
         rows = OWN + 2 + SHARED
-        self.kind = self._classes(counts, ids, at, rows, rng)
+        self.kind = self._classes(counts, _sketched(ids, at, self.row, _sketches(counts)) if sums is None else sums)
+        rest = self.row > self.pad
+        self.row[rest] = OWN + 2 + self.kind[rest] % SHARED
         smooth = counts + 0.5
         mass = np.bincount(self.kind, smooth, minlength=CLASSES)
         self.share = np.log10(smooth / mass[self.kind]).astype(np.float32)
@@ -84,32 +87,35 @@ class Model:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         if len(ids):
-            self._fit(ids, at, rng)
+            self.learn(ids, at, rng, EPOCHS, RATE, 0)
 
-    def _classes(self, counts, ids, at, rows, rng) -> np.ndarray:
-        """Classes of ids that follow alike ids: k-means over the ids before them."""
+    def _classes(self, counts, sums) -> np.ndarray:
+        """Classes of ids that follow alike ids: k-means over the sketches of the ids before them."""
         kind = (np.arange(len(counts)) % CLASSES).astype(np.int32)
-        if len(ids) < 2 * CLASSES:
+        size = np.linalg.norm(sums, axis=1)
+        seen = np.flatnonzero(size > 0)
+        if len(seen) < 2 * CLASSES:
             return kind
-        before = np.concatenate([[self.begin], self.row[ids[:-1]]])
-        before[at[:-1][at[:-1] < len(ids)]] = self.begin
-        sketch = rng.normal(0, 1, (rows, 24))
-        freq = np.bincount(before, minlength=rows) + 1.0
-        sketch /= np.sqrt(freq)[:, None]
-        sums = np.stack([np.bincount(ids, sketch[before, j], minlength=len(counts)) for j in range(24)], 1)
-        seen = np.flatnonzero(np.bincount(ids, minlength=len(counts)))
-        x = sums[seen] / (np.linalg.norm(sums[seen], axis=1)[:, None] + 1e-9)
-        w = np.bincount(ids, minlength=len(counts))[seen]
+        x = (sums[seen] / size[seen][:, None]).astype(np.float32)
+        w = counts[seen]
         centre = x[np.argsort(-w, kind="stable")[:CLASSES]].copy()
         for _ in range(12):
             near = (x @ centre.T).argmax(1)
-            for c in range(CLASSES):
-                if (near == c).any():
-                    m = (x[near == c] * np.sqrt(w[near == c])[:, None]).sum(0)
-                    centre[c] = m / (np.linalg.norm(m) + 1e-9)
+            weighted = x * np.sqrt(w)[:, None]
+            m = np.stack([np.bincount(near, weighted[:, j], minlength=CLASSES) for j in range(SKETCH)], 1)
+            some = np.bincount(near, minlength=CLASSES) > 0
+            centre[some] = (m / (np.linalg.norm(m, axis=1)[:, None] + 1e-9))[some]
         kind[seen] = near
         return kind
 
+    def copy(self, weights: np.ndarray | None = None) -> Model:
+        """The model with weights of its own: the same, or those given end to end."""
+        out = object.__new__(Model)
+        out.__dict__ |= self.__dict__
+        ends = np.cumsum([self.p[k].size for k in _NAMES])
+        out.p = {k: (self.p[k].copy() if weights is None else weights[e - self.p[k].size : e].reshape(self.p[k].shape).astype(np.float32)) for k, e in zip(_NAMES, ends, strict=True)}
+        return out
+
     def windows(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows before each place with SPAN more in front, ids to predict with -1 for none, document) of every window of STRIDE."""
         size = np.diff(at)
@@ -171,18 +177,19 @@ class Model:
             np.add.at(out, doc[lo : lo + WINDOWS], got.reshape(-1, STRIDE).sum(1, dtype=np.float64))
         return out
 
-    def _fit(self, ids, at, rng) -> None:
+    def learn(self, ids, at, rng, epochs: int, high: float, low: float) -> None:
+        """Steps down the gradient over ids, at a rate that falls from high to low."""
         rows, target, _ = self.windows(ids, at)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
-        for epoch in range(EPOCHS):
+        for epoch in range(epochs):
             order = rng.permutation(len(rows))
             for lo in range(0, len(order), WINDOWS):
                 step += 1
                 pick = order[lo : lo + WINDOWS]
                 grad = self._gradient(rows[pick], target[pick])
-                rate = RATE * (1 - (epoch * len(order) + lo) / (EPOCHS * len(order) + 1))
+                rate = high - (high - low) * (epoch * len(order) + lo) / (epochs * len(order) + 1)
                 for k, g in grad.items():
                     m[k] += 0.1 * (g - m[k])
                     s[k] += 0.01 * (g * g - s[k])
@@ -198,10 +205,10 @@ class Model:
         ok = t >= 0
         z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
-        dz = z / z.sum(1, keepdims=True)
-        dz[np.arange(len(t)), self.kind[np.where(ok, t, 0)]] -= 1
-        dz[~ok] = 0
-        dz /= max(1, ok.sum())
+        n = max(1, ok.sum())
+        z *= (ok / (n * z.sum(1))).astype(z.dtype)[:, None]
+        dz = z
+        dz[np.arange(len(t)), self.kind[np.where(ok, t, 0)]] -= ok.astype(z.dtype) / n
         g = {"o": h.T @ dz, "b": dz.sum(0)}
         dh = (dz @ p["o"].T).reshape(*here.shape, DIM)
         dw = np.matmul(dh, v.transpose(0, 2, 1))
@@ -212,55 +219,175 @@ class Model:
         dk = np.matmul(da.transpose(0, 2, 1), q)
         dv = np.matmul(w.transpose(0, 2, 1), dh)
         for name, at, d in (("x", here, dh), ("q", here, dq), ("k", rows, dk), ("v", rows, dv)):
-            full = np.zeros_like(p[name])
-            np.add.at(full, at.reshape(-1), d.reshape(-1, DIM))
-            g[name] = full
+            flat = at.reshape(-1, 1) * DIM + np.arange(DIM)
+            g[name] = np.bincount(flat.reshape(-1), d.reshape(-1), minlength=p[name].size).reshape(p[name].shape).astype(p[name].dtype)
         return g
 
 
-def _ids_counted(tokenizer: str, size: int):
-    """(id, n): how often each id stands in the texts of a task."""
+def _rows(counts: np.ndarray) -> np.ndarray:
+    """The row of each id: its own for the OWN commonest, one of the SHARED by number for the others."""
+    row = (OWN + 2 + np.arange(len(counts)) % SHARED).astype(np.int32)
+    row[np.argsort(-counts, kind="stable")[:OWN]] = np.arange(min(OWN, len(counts)))
+    return row
+
+
+def _sketches(counts: np.ndarray) -> np.ndarray:
+    """Random integers of each row, smaller for common ones: ids' sums of them are exact in any order, and alike for ids that follow alike ids."""
+    rows = OWN + 2 + SHARED
+    freq = np.bincount(_rows(counts), counts, minlength=rows) + 1.0
+    freq[OWN] += counts[-1]  # as many begins as ends
+    return np.rint(np.random.default_rng(7).normal(0, 1 << SKETCH_BITS, (rows, SKETCH)) / np.sqrt(freq)[:, None])
+
+
+def _sketched(ids: np.ndarray, at: np.ndarray, row: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Of each id, the sum of the sketches of the rows before it."""
+    before = np.concatenate([[OWN], row[ids[:-1]]]) if len(ids) else np.zeros(0, np.int32)
+    before[at[:-1][at[:-1] < len(ids)]] = OWN
+    return np.stack([np.bincount(ids, sketch[before, j], minlength=len(row)) for j in range(SKETCH)], 1)
+
+
+_IDS = "part int, round int, pick int, place long, ids binary"
+
+
+def _encoded(tokenizer: str):
+    """The ids of each text, two bytes each where the vocabulary allows."""
 
     def run(batches):
-        encoder, total = Subwords.of(tokenizer), np.zeros(size, np.int64)
+        encoder = Subwords.of(tokenizer)
+        kind = _kind(encoder.end + 1)
         for b in (x for whole in batches for x in sliced(whole)):
-            total += np.bincount(encoder.encode(b.column("text"))[0], minlength=size)
+            ids, at = encoder.encode(b.column("text"))
+            ids = ids.astype(kind)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), binary([ids[s:e] for s, e in zip(at[:-1], at[1:], strict=True)])], names=[x.split()[0] for x in _IDS.split(", ")])
+
+    return run
+
+
+def _kind(size: int):
+    return np.uint16 if size <= 1 << 16 else np.int32
+
+
+def _joint(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of encoded texts end to end, and their offsets."""
+    kind = _kind(size)
+    ids = np.frombuffer(b"".join(texts), kind).astype(np.int32)
+    return ids, np.concatenate([[0], np.cumsum([len(x) // kind().itemsize for x in texts])]).astype(np.int64)
+
+
+def _ids_counted(size: int):
+    """(id, n): how often each id stands in the texts of a task."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            total += np.bincount(_joint(b.column("ids").to_pylist(), size)[0], minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
 
     return run
 
 
+_BUCKETS = 16
+
+
+def _sketches_dealt(counts):
+    """Blocks of ids and their sums of sketches over a task's texts."""
+
+    def run(batches):
+        size = len(counts.value)
+        row, sketch = _rows(counts.value), _sketches(counts.value)
+        total = np.zeros((size, SKETCH))
+        for b in batches:
+            total += _sketched(*_joint(b.column("ids").to_pylist(), size), row, sketch)
+        some = np.flatnonzero(total.any(1))
+        dealt = [some[some % _BUCKETS == k] for k in range(_BUCKETS)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BUCKETS), pa.int32()), binary([x.astype(np.int32) for x in dealt]), binary([total[x].astype(np.int64) for x in dealt])], names=["bucket", "ids", "sums"])
+
+    return run
+
+
+def _sketches_summed(batches):
+    for _, t in groups(batches, 1):
+        ids = [np.frombuffer(x, np.int32) for x in t.column("ids").to_pylist()]
+        every, of = np.unique(np.concatenate(ids), return_inverse=True)
+        total, lo = np.zeros((len(every), SKETCH), np.int64), 0
+        for x, sums in zip(ids, t.column("sums").to_pylist(), strict=True):
+            total[of[lo : lo + len(x)]] += np.frombuffer(sums, np.int64).reshape(-1, SKETCH)
+            lo += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), binary([every]), binary([total])], names=["bucket", "ids", "sums"])
+
+
+_NAMES = ("x", "q", "k", "v", "d", "o", "b")
+_WEIGHTS = "part int, n long, weights binary"
+
+
+def _learnt(model, size: int, high: float, low: float):
+    """Each part's weights after it has learnt from its texts of the round, times the number of their ids."""
+
+    def run(batches):
+        start = model.value
+        for (part,), t in groups(batches, 1):
+            ids, at = _joint(t.column("ids").to_pylist(), size)
+            net = start.copy()
+            net.learn(ids, at, np.random.default_rng(part), 1, high, low)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(ids)]), binary([np.concatenate([net.p[k].reshape(-1) for k in _NAMES]).astype(np.float64) * len(ids)])], names=["part", "n", "weights"])
+
+    return run
+
+
+def _added(batches):
+    """The sum of all weights of a task; parts are added in their order, so that the sum doesn't depend on who came first."""
+    rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int32()), pa.array([sum(r[1] for r in rows)]), binary([sum(np.frombuffer(r[2]) for r in rows)])], names=["part", "n", "weights"])
+
+
 def fit(training: DataFrame, tokenizer: str) -> Model:
-    """The model of training's (doc_id, text) rows: counts of all; attention fitted on about FIT_ROWS documents, in one task."""
+    """The model of training's (doc_id, text) rows: counts and classes of all; attention started on about FIT_ROWS documents in one task, then learnt
+    from all of them in rounds, unless these are all."""
+    spark = training.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     end = Subwords.of(tokenizer).end
     size = end + 1
+    place = F.xxhash64("doc_id", "text")
+    keyed = training.select(
+        F.pmod(place, F.lit(parts)).cast("int").alias("part"), F.pmod(F.xxhash64(place), F.lit(ROUNDS)).cast("int").alias("round"),
+        F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)).cast("int").alias("pick"), place.alias("place"), "text",
+    )
+    texts = stash(keyed.mapInArrow(_encoded(tokenizer), _IDS).repartitionById(parts, "part").sortWithinPartitions("round", "place"))
     counts = np.zeros(size, np.int64)
-    for r in training.select("text").mapInArrow(_ids_counted(tokenizer, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a vocabulary's worth
+    for r in texts.select("ids").mapInArrow(_ids_counted(size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a vocabulary's worth
         counts[r["id"]] = r["n"]
     n_rows = int(counts[end])
+    sums = np.zeros((size, SKETCH))
+    blocks = "bucket int, ids binary, sums binary"
+    for r in texts.select("ids").mapInArrow(_sketches_dealt(spark.sparkContext.broadcast(counts)), blocks).repartition(_BUCKETS, "bucket").sortWithinPartitions("bucket").mapInArrow(_sketches_summed, blocks).collect():  # a vocabulary's worth
+        sums[np.frombuffer(r["ids"], np.int32)] = np.frombuffer(r["sums"], np.int64).reshape(-1, SKETCH)
     rate = min(1.0, FIT_ROWS / max(1, n_rows))
-    sample = training.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).select("doc_id", "text")
-
-    def encoded(batches):
-        encoder = Subwords.of(tokenizer)
-        for b in (x for whole in batches for x in sliced(whole)):
-            ids, at = encoder.encode(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), binary([ids[s:e].astype(np.int32) for s, e in zip(at[:-1], at[1:], strict=True)])], names=["doc_id", "ids"])
+    sample = texts.where(F.col("pick") < int(rate * (1 << 30)) + 1).select("place", "ids")
+    given = spark.sparkContext.broadcast((counts, sums))
 
-    def trained(batches):
+    def started(batches):
         import pickle
 
-        rows = sorted((d if d is not None else -1, x) for b in batches for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        docs = [np.frombuffer(x, np.int32) for _, x in rows]
-        at = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
-        model = Model(counts, np.concatenate(docs) if docs else np.zeros(0, np.int32), at)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model(given.value[0], *_joint([x for _, x in rows], size), sums=given.value[1]))], pa.binary())], names=["model"])
 
     import pickle
 
-    got = sample.mapInArrow(encoded, "doc_id long, ids binary").repartition(1).mapInArrow(trained, "model binary").first()
-    return pickle.loads(got["model"]) if got else Model(counts, np.zeros(0, np.int32), np.zeros(1, np.int64))
+    got = sample.repartition(1).mapInArrow(started, "model binary").collect()
+    model = pickle.loads(got[0]["model"]) if got else Model(counts, np.zeros(0, np.int32), np.zeros(1, np.int64), sums=sums)
+    if rate == 1:
+        return model
+    few = max(1, round(parts**0.5))
+    for k in range(ROUNDS):
+        fall = lambda i: ROUND_RATE * (1 - i / ROUNDS)
+        start = spark.sparkContext.broadcast(model)
+        learnt = texts.where(F.col("round") == k).select("part", "ids").mapInArrow(_learnt(start, size, fall(k), fall(k + 1)), _WEIGHTS)
+        total = learnt.repartitionById(few, F.pmod("part", F.lit(few))).mapInArrow(_added, _WEIGHTS).repartition(1).mapInArrow(_added, _WEIGHTS).collect()  # a model's worth
+        if total:
+            model = model.copy(np.frombuffer(total[0]["weights"]) / total[0]["n"])
+    return model
 
 
 def _is_held(doc_ids: list) -> np.ndarray:

@@ -469,6 +469,25 @@ def test_windows_score_each_id_once_and_sum_to_one(monkeypatch):
     assert sum(10 ** (e - start) for e in ends) == pytest.approx(1, abs=1e-3)
 
 
+def test_the_model_learns_from_documents_outside_its_first_sample(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FIT_ROWS", 20)
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("red", "blue", "north", "salt", "iron", "cold", "high", "deep") for b in ("", " river", " stone", " wind")]
+    words = sorted({w for x in words for w in x.split()})
+    first = lambda d: d.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < int(20 / 600 * (1 << 30)) + 1)
+    few = {r["doc_id"] for r in first(spark.range(600).withColumnRenamed("id", "doc_id")).collect()}
+    texts = [rng.sample(words, len(words)) * 8 for _ in range(600)]
+    ordered = lambda i, t: t if i in few else sorted(t[: len(words)]) * 8
+    models = []
+    for change in (lambda i, t: t, ordered):
+        d = spark.createDataFrame([(i, " " + " ".join(change(i, t))) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+        assert first(d).count() == len(few) < 60
+        models.append(lm_score.fit(d, RANKS))
+    ids, at = lm_score.Subwords.of(RANKS).encode(pa.array([" " + " ".join(sorted(words) * 8)]))
+    assert models[1].score(ids, at)[0] > models[0].score(ids, at)[0] + 0.05 * len(ids)
+    assert (models[0].row == models[1].row).sum() > 0.9 * len(models[0].row)
+
+
 def test_gradient_is_that_of_the_loss():
     counts = np.full(80, 3)
     rng = np.random.default_rng(1)
