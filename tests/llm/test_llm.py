@@ -488,6 +488,12 @@ def test_the_model_learns_from_documents_outside_its_first_sample(spark, monkeyp
     assert (models[0].row == models[1].row).sum() > 0.9 * len(models[0].row)
 
 
+def test_the_model_tells_256_classes_apart():
+    counts = np.full(600, 3)
+    m = lm_score.Model(counts, np.zeros(0, np.int32), np.zeros(1, np.int64))
+    assert len(np.unique(m.kind)) == len(m.p["b"]) == 256
+
+
 def test_gradient_is_that_of_the_loss():
     counts = np.full(80, 3)
     rng = np.random.default_rng(1)
