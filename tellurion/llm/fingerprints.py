@@ -17,31 +17,17 @@ from pyspark.sql import functions as F
 from .common import U64, mix, order_by, row_of, sliced, word_hashes
 
 SAMPLES = 64
-#: Draws come from a table of so many (as a power of two), picked by hash.
-DRAW_BITS = 14
-#: Weights up to this have their keys worked out once a table entry.
-WEIGHTS = 8
+_STEP = U64(0x9E3779B97F4A7C15)
 
-_tables: dict = {}
 
+def _uniform(x: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers in (0, 1) from the top bits of x."""
+    return ((x >> U64(64 - bits)).astype(np.float64) + 0.5) * 2.0**-bits
 
-def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c, b of each draw, and the key of each (weight, draw) as an integer that sorts alike."""
-    if not _tables:
-        rng = np.random.default_rng(20240607)
-        size = 1 << DRAW_BITS
-        r, c, b = rng.gamma(2, 1, size), rng.gamma(2, 1, size), rng.uniform(0, 1, size)
-        log_c = np.log(c)
-        keys = np.zeros((WEIGHTS + 1, size), np.uint32)
-        for w in range(1, WEIGHTS + 1):
-            keys[w] = _sortable(log_c - r * (np.floor(np.log(w) / r + b) - b + 1))
-        _tables["draws"] = r, log_c, b, keys
-    return _tables["draws"]
 
-
-def _sortable(x: np.ndarray) -> np.ndarray:
-    bits = x.astype(np.float32).view(np.uint32)
-    return np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000))
+def _gamma(x: np.ndarray) -> np.ndarray:
+    """Gamma(2, 1) from the two 32-bit halves of x: the sum of two exponentials."""
+    return -np.log(_uniform(x, 32) * _uniform(x << U64(32), 32))
 
 
 def signatures(column) -> np.ndarray:
@@ -60,7 +46,6 @@ def signatures(column) -> np.ndarray:
 def _sign(h: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
     if not len(h):
         return
-    r, log_c, b, keys = _draws()
     row = row_of(offsets)
     order = order_by(h, row)
     h, row = h[order], row[order]
@@ -71,32 +56,17 @@ def _sign(h: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
     term, row = h[first], row[first]
     start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     rows = row[start]
-    heavy = np.flatnonzero(weight > WEIGHTS)
-    log_w = np.log(weight[heavy])
-    base = np.minimum(weight, WEIGHTS).astype(np.int64) << DRAW_BITS
-    flat = keys.reshape(-1)
-    place = np.arange(len(term), dtype=U64)
+    log_w = np.log(weight)
+    size = np.diff(np.append(start, len(term)))
     for k in range(SAMPLES):
-        x = (term ^ U64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * U64(0xD1342543DE82EF95 + 2 * k)
-        d = (x >> U64(64 - DRAW_BITS)).astype(np.int64)
-        key = flat[base + d]
-        if len(heavy):
-            dh = d[heavy]
-            t = np.floor(log_w / r[dh] + b[dh])
-            key[heavy] = _sortable(log_c[dh] - r[dh] * (t - b[dh] + 1))
-        # equal keys of a draw two words share: the hash decides, in every document alike
-        best = np.minimum.reduceat((key.astype(U64) << U64(32)) | ((x >> U64(8)) & U64(0xFFFFFFFF)), start)
-        tie = best & U64(0xFFFFFFFF)
-        at = _argmin(key, x, best, start, place)
-        t = np.floor(np.log(weight[at]) / r[d[at]] + b[d[at]]).astype(np.int64).astype(U64)
-        out[rows, k] = (mix(term[at] ^ (tie << U64(17)) ^ (t * U64(0x9E3779B97F4A7C15)) ^ U64(k)) >> U64(48)).astype(np.uint16)
-
-
-def _argmin(key, x, best, start, place):
-    """The place of each row's least key."""
-    low = (key.astype(U64) << U64(32)) | ((x >> U64(8)) & U64(0xFFFFFFFF))
-    hit = np.flatnonzero(low == np.repeat(best, np.diff(np.append(start, len(key)))))
-    return hit[np.searchsorted(hit, start)]
+        # r, c and b are a word's own for each seed: 64 bits of hash each
+        x = mix(term ^ U64(k * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
+        r, b = _gamma(x), _uniform(mix(x + _STEP), 53)
+        t = np.floor(log_w / r + b)
+        key = np.log(_gamma(mix(x ^ ~_STEP))) - r * (t - b + 1)
+        hit = np.flatnonzero(key == np.repeat(np.minimum.reduceat(key, start), size))
+        at = hit[np.searchsorted(hit, start)]
+        out[rows, k] = (mix(term[at] ^ (t[at].astype(np.int64).astype(U64) * _STEP) ^ U64(k)) >> U64(48)).astype(np.uint16)
 
 
 def as_text(signature: np.ndarray) -> list[str]:

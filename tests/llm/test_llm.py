@@ -374,6 +374,19 @@ def test_collisions_follow_generalised_jaccard():
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.1
 
 
+def test_collisions_of_documents_with_tens_of_thousands_of_words():
+    # 50 common words carry a third of the weight, and a quarter of the rare ones are shared
+    errors = []
+    for trial in range(4):
+        common = [f"c{trial}x{i}" for i in range(50) for _ in range(400)]
+        a = common + [f"r{trial}x{i}" for i in range(40_000)]
+        b = common + [f"r{trial}x{i}" for i in range(24_000, 64_000)]
+        true = 36_000 / 84_000
+        s = fingerprints.signatures(pa.array([" ".join(a), " ".join(b)]))
+        errors.append(float(fingerprints.likeness(s[:1], s[1:])[0]) - true)
+    assert abs(np.mean(errors)) < 0.08
+
+
 # ---------------------------------------------------------------- 8 lines
 
 
