@@ -121,11 +121,11 @@ def row_stripes(spark, d):
 
 # ---------------------------------------------------------------- graphs
 
-_DAG = "dag as (select o_orderkey as v, o_orderkey // 3 as u from orders where o_orderkey between 1 and 300 union select o_orderkey, o_orderkey // 5 from orders where o_orderkey between 5 and 300)"
+_DAG = "dag as (select o_orderkey as v, o_orderkey // 3 as u from orders where o_orderkey >= 1 union select o_orderkey, o_orderkey // 5 from orders where o_orderkey >= 5)"
 
 
 def _dag(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey between 1 and 300").select(F.col("o_orderkey").alias("v"))
+    o = table(spark, d, "orders").where("o_orderkey >= 1").select(F.col("o_orderkey").alias("v"))
     return o.select(F.expr("v div 3").alias("u"), "v").union(o.where("v >= 5").select(F.expr("v div 5").alias("u"), "v")).distinct()
 
 

@@ -82,6 +82,24 @@ def test_levels_refuse_a_cycle_and_closures_bear_one(spark):
     assert values(graph.descendants(e, roots), "node") == [(0, 1, 1), (0, 2, 2)]
 
 
+def test_graph_queries_take_every_order(spark, tmp_path):
+    from tellurion.plans import registry
+
+    keys = list(range(350)) + [900, 4000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    edges = {(k // n, k) for k in keys for n in (3, 5) if k >= (1, 5)[n == 5]}
+    level = {n: 0 for e in edges for n in e}
+    reached = {2}
+    for u, v in sorted(edges, key=lambda e: e[1]):  # a parent is less than its child
+        level[v] = max(level[v], level[u] + 1)
+        if u in reached:
+            reached.add(v)
+    got = {n: f(spark, str(tmp_path)) for n, f in registry.queries().items() if n in ("dag_levels", "lineage_closure")}
+    assert values(got["dag_levels"], "node") == sorted(level.items())
+    assert values(got["lineage_closure"], "node") == [(2, n) for n in sorted(reached - {2})]
+    assert max(reached) > 300
+
+
 def test_window_mirrors_its_edges(spark):
     px = spark.createDataFrame([(0, c, float(v)) for c, v in enumerate((1, 2, 4))], "row int, col int, v double")
     got = focal.local_statistics(px, "v", 3, "mirror").orderBy("col").collect()
