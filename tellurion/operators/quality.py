@@ -97,6 +97,12 @@ def first_available(chain: list[tuple[str, Column, float]]) -> tuple[Column, Col
 
 def assign_reviewers(requests: DataFrame, experts: DataFrame) -> DataFrame:
     """Each request's eligible expert: of its domain first, then the least loaded, then by name."""
-    j = requests.crossJoin(F.broadcast(experts.limit(1000)))  # a staff list
-    best = F.min(F.struct((F.col("domain") != F.col("wants")).cast("int").alias("o1"), "load", "expert"))
-    return j.where((~F.col("critical")) | F.col("priority_access")).groupBy("request").agg(best.alias("b")).select("request", F.col("b.expert").alias("expert"))
+    best = F.min(F.struct("load", "expert"))
+    open_to = F.when(F.col("priority_access"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    able = experts.select("expert", "domain", "load", F.explode(open_to).alias("critical"))
+    own = able.groupBy(F.col("domain").alias("wants"), "critical").agg(best.alias("own"))
+    other = able.groupBy("critical").agg(best.alias("other"))  # two rows at most
+    j = requests.select("request", "wants", F.coalesce("critical", F.lit(True)).alias("critical")).join(own, ["wants", "critical"], "left").join(F.broadcast(other), "critical")
+    found = lambda n, e: F.struct(F.lit(n).alias("o1"), F.col(f"{e}.load").alias("load"), F.col(f"{e}.expert").alias("expert"))
+    pick = F.min(F.when(F.col("own").isNotNull(), found(0, "own")).otherwise(found(1, "other")))
+    return j.groupBy("request").agg(pick.alias("b")).select("request", F.col("b.expert").alias("expert"))

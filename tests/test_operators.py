@@ -100,6 +100,16 @@ def test_graph_queries_take_every_order(spark, tmp_path):
     assert max(reached) > 300
 
 
+def test_reviewers_come_from_all_experts(spark):
+    from tellurion.operators import quality
+
+    staff = [(f"e{i:04}", "flood", 5, False) for i in range(3000)] + [("zoe", "fire", 9, True), ("yan", "storm", 7, True)]
+    experts = spark.createDataFrame(staff, "expert string, domain string, load int, priority_access boolean")
+    asked = spark.createDataFrame([(1, "fire", True), (2, "fire", False), (3, "flood", True), (4, "flood", False), (5, "ice", False), (6, None, None)], "request long, wants string, critical boolean")
+    assert values(quality.assign_reviewers(asked, experts), "request") == [(1, "zoe"), (2, "zoe"), (3, "yan"), (4, "e0000"), (5, "e0000"), (6, "yan")]
+    assert values(quality.assign_reviewers(asked, experts.where("not priority_access")), "request") == [(2, "e0000"), (4, "e0000"), (5, "e0000")]
+
+
 def test_window_mirrors_its_edges(spark):
     px = spark.createDataFrame([(0, c, float(v)) for c, v in enumerate((1, 2, 4))], "row int, col int, v double")
     got = focal.local_statistics(px, "v", 3, "mirror").orderBy("col").collect()
