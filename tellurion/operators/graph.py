@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +45,11 @@ def levels(edges: DataFrame, depth: int = 50) -> DataFrame:
     raise ValueError(f"a path is longer than {depth}: the graph may have a cycle")
 
 
-def descendants(edges: DataFrame, roots: DataFrame, depth: int = 50) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, distance) of all that can be reached from each root, the root itself left out; distance is the shortest. Cycles do no harm."""
     seen = None
     front = roots.select(F.col("node").alias("root"), "node")
-    for i in range(1, depth + 1):
+    for i in count(1):
         step = front.join(edges, front["node"] == edges["u"]).select("root", F.col("v").alias("node")).distinct()
         if seen is not None:
             step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
@@ -56,4 +58,6 @@ def descendants(edges: DataFrame, roots: DataFrame, depth: int = 50) -> DataFram
             break
         found = front.withColumn("distance", F.lit(i))
         seen = found if seen is None else seen.unionByName(found)
+        if i % 4 == 0:  # one table, so that the plan doesn't grow with the distance
+            seen = stash(seen)
     return seen if seen is not None else front.withColumn("distance", F.lit(0))

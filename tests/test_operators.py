@@ -110,6 +110,11 @@ def test_reviewers_come_from_all_experts(spark):
     assert values(quality.assign_reviewers(asked, experts.where("not priority_access")), "request") == [(2, "e0000"), (4, "e0000"), (5, "e0000")]
 
 
+def test_closures_reach_the_end_of_a_long_chain(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(55)], "u long, v long")
+    assert values(graph.descendants(e, spark.createDataFrame([(0,)], "node long")), "node") == [(0, i, i) for i in range(1, 56)]
+
+
 def test_window_mirrors_its_edges(spark):
     px = spark.createDataFrame([(0, c, float(v)) for c, v in enumerate((1, 2, 4))], "row int, col int, v double")
     got = focal.local_statistics(px, "v", 3, "mirror").orderBy("col").collect()
