@@ -1,9 +1,12 @@
 """Fuzzy line de-duplication by MinHash.
 
 A line is known by the hash of its trimmed bytes, so equal lines are one from the start. Its character shingles are hashed once and dealt into
-ROWS * BANDS bins, whose minima are its signature; an empty bin takes that of a bin picked by hash. Lines that share a band fall into clusters,
-whose lines are compared exactly, block by block. Links are joined by union-find, and of each component the first occurrence, by doc_id and
-place, stays.
+ROWS * BANDS bins, whose minima are its signature; an empty bin takes that of a bin picked by hash. Lines that share a band key are a bucket.
+
+Verification is exact, and linear where lines are alike: every line of a bucket is first compared with the bucket's least line, and the links are
+joined by union-find. Only buckets whose lines are then still of several components are looked at again: their lines that aren't of the commonest
+component are compared with all the others, chunk by block. So every two lines that share a bucket end in one component or have been compared.
+Of each component the first occurrence, by doc_id and place, stays.
 """
 
 from __future__ import annotations
@@ -13,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, components, forest, mix, order_by, overlap_counts, sliced, stash, text_bytes, tidy
+from .common import U64, binary, components, forest, groups, mix, sliced, stash, text_bytes, tidy
 
 SHINGLE = 6
 PERCENT = 80
 #: Recall of a pair of similarity 0.8: 1 - (1 - 0.8**5)**16 = 0.998.
 BANDS, ROWS = 16, 5
-BLOCK = 1024
+#: Lines that one is compared with at a time; groups of no more than FEW lines are compared many at once.
+BLOCK, FEW = 1024, 16
 #: The candidates' table has 2**CELL_BITS bits: 8 MB.
 CELL_BITS = 26
 #: A name that no table has.
@@ -44,7 +48,7 @@ def _distinct(batches):
     import xxhash
 
     met: set[int] = set()
-    for b in (x for whole in batches for x in sliced(whole, limit=1 << 20)):
+    for b in (x for whole in batches for x in sliced(whole, limit=1 << 18)):
         raw, at = text_bytes(b.column("text"))
         out: dict[int, bytes] = {}
         for i in range(len(at) - 1):
@@ -132,8 +136,11 @@ def _band_blocks(bits: int):
     return run
 
 
+_MET = "bucket long, node long, least long, n int"
+
+
 def _meetings(batches):
-    """(u, v): each line of a band key's lines with the least of them."""
+    """(bucket, node, least, n) of every line but the least of each bucket of n lines. Buckets with the same lines are one: they ask the same."""
     by: dict[int, list] = {}
     for b in batches:
         for part, keys, names in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -147,10 +154,19 @@ def _meetings(batches):
         k, h = k[shared], h[shared]
         order = np.lexsort((h, k))
         k, h = k[order], h[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])) if len(k) else np.zeros(0, bool)
+        k, h = k[new], h[new]  # a line met by several tasks is there once
         first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, int)
-        least = np.repeat(h[first], np.diff(np.append(first, len(k))))
-        edges = np.unique(np.stack([h, least], 1)[h != least], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
+        size = np.diff(np.append(first, len(k)))
+        some = size > 1
+        bucket = np.add.reduceat(mix(h.view(U64)), first) if len(first) else np.zeros(0, U64)  # a digest of the lines
+        _, at = np.unique(bucket[some], return_index=True)
+        keep = np.zeros(len(first), bool)
+        keep[np.flatnonzero(some)[at]] = True
+        rest = np.repeat(keep, size)
+        rest[first] = False
+        of = np.repeat(np.arange(len(first)), size)[rest]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[of].view(np.int64)), pa.array(h[rest]), pa.array(h[first[of]]), pa.array(size[of].astype(np.int32))], names=[x.split()[0] for x in _MET.split(", ")])
 
 
 def _bitmap(spark, members: DataFrame) -> np.ndarray:
@@ -175,85 +191,136 @@ def _bitmap(spark, members: DataFrame) -> np.ndarray:
     return out
 
 
-def _links(texts: list[bytes], group: np.ndarray, side: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of lines (by place, of one group, not both of one side unless the group has one) that are alike enough.
-
-    Groups stand one after another. Those of a few lines are compared together, by runs of equal shingles; others each by a product of matrices.
-    """
+def _shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys, sizes, bits): the distinct shingles of all lines as ascending numbers, the line above so many bits of the shingle's hash."""
     row, h = shingles(texts)
-    order = order_by(h, row)
-    row, h = row[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    row, h = row[new], h[new]
-    size = np.bincount(row, minlength=len(texts))
-    members = np.bincount(group)
-    small = members[group] <= 8
-    keep = small[row]
-    r, k = row[keep], h[keep]
-    order = order_by(k, group[r])
-    r, k = r[order], k[order]
-    pairs, counts = [], []
-    for d in range(1, 8):
-        if len(r) <= d:
-            break
-        hit = (k[d:] == k[:-d]) & (group[r[d:]] == group[r[:-d]])
-        if not hit.any():
+    bits = 64 - max(1, (len(texts) - 1).bit_length())
+    key = np.sort(row.astype(U64) << U64(bits) | h >> U64(64 - bits))
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    return key, np.bincount((key >> U64(bits)).astype(np.int64), minlength=len(texts)), bits
+
+
+def _alike(common, a, b):
+    return 100 * common >= PERCENT * (a + b - common)
+
+
+def _star_links(texts: list[bytes], centre: np.ndarray) -> np.ndarray:
+    """The places of the lines that are alike enough to the last centre before them."""
+    key, size, bits = _shingle_sets(texts)
+    heads = np.flatnonzero(centre)
+    head = heads[np.cumsum(centre) - 1]  # of each line
+    own = (key >> U64(bits)).astype(np.int64)
+    asked = ~centre[own]
+    of = own[asked]
+    want = key[asked] & U64((1 << bits) - 1) | head[of].astype(U64) << U64(bits)
+    known = key[~asked]
+    at = np.minimum(np.searchsorted(known, want), max(0, len(known) - 1))
+    common = np.bincount(of, known[at] == want if len(known) else None, minlength=len(texts)).astype(np.int64)
+    return np.flatnonzero(~centre & _alike(common, size, size[head]))
+
+
+def _numbered(h: np.ndarray) -> np.ndarray:
+    """Ascending numbers from 0 for the distinct values of the sorted h."""
+    return np.cumsum(np.append(False, h[1:] != h[:-1])) if len(h) else h.astype(np.int64)
+
+
+def _block_links(texts: list[bytes], left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place of left, place of the others) that are alike enough, by products of matrices over some shingles at a time."""
+    key, size, bits = _shingle_sets(texts)
+    row = (key >> U64(bits)).astype(np.int64)
+    h = key & U64((1 << bits) - 1)
+    order = np.argsort(h)
+    row, h = row[order], _numbered(h[order])
+    l, r = np.flatnonzero(left), np.flatnonzero(~left)  # noqa: E741
+    common = np.zeros((len(l), len(r)), np.int64)
+    met = (np.bincount(h, left[row]) > 0) & (np.bincount(h, ~left[row]) > 0)  # the others are in no pair
+    row, h = row[met[h]], _numbered(h[met[h]])
+    step = 2048
+    for lo in range(0, int(h[-1]) + 1 if len(h) else 0, step):
+        s, e = np.searchsorted(h, [lo, lo + step])
+        have = np.zeros((len(texts), min(step, int(h[-1]) + 1 - lo)), np.float32)
+        have[row[s:e], h[s:e] - lo] = 1
+        common += (have[l] @ have[r].T).astype(np.int64)
+    i, j = np.nonzero((common > 0) & _alike(common, size[l][:, None], size[r][None, :]))
+    return l[i], r[j]
+
+
+def _few_links(texts: list[bytes], group: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many groups of a few lines at once, one after another: by runs of equal shingles within a group."""
+    key, size, bits = _shingle_sets(texts)
+    low = 64 - bits  # of the line's place
+    row = (key >> U64(bits)).astype(np.int64)
+    key = np.sort(mix(key & U64((1 << bits) - 1) ^ mix(group[row].astype(U64))) >> U64(low) << U64(low) | row.astype(U64))
+    row, run = (key & U64((1 << low) - 1)).astype(np.int64), key >> U64(low)
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    many = np.diff(np.append(first, len(group)))
+    base = np.cumsum(many * many) - many * many  # a cell for each two lines of a group
+    place = np.arange(len(group)) - first[group]
+    cells = int((many * many).sum())
+    common = np.zeros(cells, np.int64)
+    for d in range(1, int(many.max())):
+        hit = np.flatnonzero(run[d:] == run[:-d])
+        if not len(hit):
             break
-        a, b = r[:-d][hit].astype(np.int64), r[d:][hit]
-        pair, n = np.unique(np.minimum(a, b) * len(texts) + np.maximum(a, b), return_counts=True)
-        pairs.append(pair)
-        counts.append(n)
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    if pairs:
-        pair, at = np.unique(np.concatenate(pairs), return_inverse=True)
-        common = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-        u, v = pair // len(texts), pair % len(texts)
-        good = (100 * common >= PERCENT * (size[u] + size[v] - common)) & (same[u] | (side[u] != side[v]))
-        out.append((u[good], v[good]))
-    ends = np.cumsum(members)
-    for g in np.flatnonzero(members > 8):
-        lo, hi = ends[g] - members[g], ends[g]
-        s, e = np.searchsorted(row, [lo, hi])
-        sets = np.split(h[s:e], np.searchsorted(row[s:e], np.arange(lo + 1, hi)))
-        one = bool(same[lo])
-        left = np.flatnonzero(side[lo:hi] <= 0)
-        right = left if one else np.flatnonzero(side[lo:hi] > 0)
-        common = overlap_counts(sets, left, right, one).astype(np.int64)
-        linked = 100 * common >= PERCENT * (size[lo + left][:, None] + size[lo + right][None, :] - common)
-        i, j = np.nonzero(np.triu(linked, 1) if one else linked)
-        out.append((lo + left[i], lo + right[j]))
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-
-
-def _compare(batches):
-    """Links between the lines of two blocks, as a forest: sorted rows of (cluster, a, b, side, id, text)."""
-
-    def linked(t: pa.Table):
-        keys = [t.column(i).to_numpy() for i in range(3)]
-        change = np.ones(t.num_rows, bool)
-        change[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])
-        ids = t.column("id").to_numpy()
-        u, v = _links(t.column("text").to_pylist(), np.cumsum(change) - 1, t.column("side").to_numpy(), keys[1] == keys[2])
-        u, v = forest(ids[u], ids[v])
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        a, b = row[hit], row[hit + d]  # ascending
+        common += np.bincount(base[group[a]] + place[a] * many[group[a]] + place[b], minlength=cells)
+    at = np.flatnonzero(common)
+    of = np.searchsorted(base, at, side="right") - 1
+    a, b = first[of] + (at - base[of]) // many[of], first[of] + (at - base[of]) % many[of]
+    good = (left[a] != left[b]) & _alike(common[at], size[a], size[b])
+    return a[good], b[good]
+
+
+_ROW = "centre long, block int, head boolean, id long, text binary"
+
 
-    held: list[pa.RecordBatch] = []
+def _star_compare(batches):
+    """Links of lines with their group's centre, from rows of _ROW sorted by centre and block, a group's head first."""
+    last = None  # the head of the group that goes on in the next rows
     for b in (x for whole in batches for x in sliced(whole, limit=1 << 20)):
-        # rows up to the last change of group are whole groups
-        tail = tuple(b.column(i)[b.num_rows - 1].as_py() for i in range(3))
-        same = np.logical_and.reduce([b.column(i).to_numpy(zero_copy_only=False) == tail[i] for i in range(3)])
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if not cut and held and tuple(held[-1].column(i)[held[-1].num_rows - 1].as_py() for i in range(3)) == tail:
-            held.append(b)
+        centre, block = b.column("centre").to_numpy(), b.column("block").to_numpy()
+        ids, texts = b.column("id").to_numpy(), b.column("text").to_pylist()
+        head = b.column("head").to_numpy(zero_copy_only=False)
+        if not head[0]:  # the group's head came before
+            centre, block, ids, head = np.append(last[0], centre), np.append(last[1], block), np.append(last[0], ids), np.append(True, head)
+            texts = [last[2], *texts]
+        at = int(np.flatnonzero(head)[-1])
+        last = centre[at], block[at], texts[at]
+        hit = _star_links(texts, head)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(centre[hit])], names=["u", "v"])
+
+
+_PAIR = "bucket long, chunk int, block int, side int, id long, text binary"
+
+
+def _block_compare(batches):
+    """Links between the lines of a chunk (side 0) and those of a block (side 1), as forests: rows of _PAIR sorted by bucket, chunk, block and side."""
+    held: list[tuple] = []  # small groups wait for others
+    size = 0
+
+    def linked(ids, i, j):
+        u, v = forest(ids[i], ids[j])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def few():
+        ids, left, texts = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [t for x in held for t in x[2]]
+        return linked(ids, *_few_links(texts, np.repeat(np.arange(len(held)), [len(x[2]) for x in held]), left))
+
+    for _, t in groups(batches, 3):
+        ids, left = t.column("id").to_numpy(), t.column("side").to_numpy() == 0
+        if not left.any() or left.all():
+            continue
+        texts = t.column("text").to_pylist()
+        if len(texts) > FEW:
+            yield linked(ids, *_block_links(texts, left))
             continue
-        if cut:
-            held.append(b.slice(0, cut))
-        if held:
-            yield linked(pa.Table.from_batches(held))
-        held = [b.slice(cut)]
+        held.append((ids, left, texts))
+        size += sum(map(len, texts))
+        if size > 1 << 20:
+            yield few()
+            held, size = [], 0
     if held:
-        yield linked(pa.Table.from_batches(held))
+        yield few()
 
 
 def _texts(bitmap):
@@ -273,31 +340,69 @@ def similar_lines(documents: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(6, (4 * parts - 1).bit_length())
     texts = documents.select("text")
-    met = texts.mapInArrow(tidy(_band_blocks(bits)), "part int, keys binary, lines binary").repartition(parts, "part").mapInArrow(tidy(_meetings), "u long, v long")
-    clusters = components(met)
-    members = stash(clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct()))
-    bitmap = spark.sparkContext.broadcast(_bitmap(spark, members))
-    found = texts.mapInArrow(tidy(_texts(bitmap)), "id long, text binary").groupBy("id").agg(F.first("text").alias("text"))
-    blocks = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = members.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = found.join(placed, found["id"] == placed["node"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        F.col("component").alias("cluster"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).alias("side"), "id", "text",
-    ).repartition(parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "side", "id")
-    return components(rows.mapInArrow(tidy(_compare), "u long, v long"))
-
-
-def removed_lines(documents: DataFrame) -> DataFrame:
+    met = stash(texts.mapInArrow(tidy(_band_blocks(bits)), "part int, keys binary, lines binary").repartition(parts, "part").mapInArrow(tidy(_meetings), _MET))
+    # every line with the least of its buckets; a hub's lines are split into blocks that have the hub each
+    pairs = met.groupBy("node", "least").agg(F.lit(1).alias("one")).drop("one")
+    hubs = pairs.groupBy("least").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    heads = hubs.select(F.col("least").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("head"), F.col("least").alias("node"))
+    large = hubs.where("blocks > 1")
+    others = pairs.join(large, "least", "left").select(F.col("least").alias("centre"), F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), F.lit(False).alias("head"), "node")
+    bitmap = spark.sparkContext.broadcast(_bitmap(spark, pairs.select("node").unionByName(hubs.select(F.col("least").alias("node")))))
+    found = stash(texts.mapInArrow(tidy(_texts(bitmap)), "id long, text binary").groupBy("id").agg(F.first("text").alias("text")))
+    rows = heads.unionByName(others).join(found, F.col("node") == F.col("id")).select("centre", "block", "head", "id", "text")
+    stars = stash(rows.repartition(parts, "centre", "block").sortWithinPartitions("centre", "block", F.desc("head"), "id").mapInArrow(tidy(_star_compare), "u long, v long"))
+    return _resolved(met, stars, found, parts)
+
+
+def _resolved(met: DataFrame, links: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """The components of the links, and of those between lines of a bucket of three or more that the links leave in several components."""
+    known = components(links)
+    label = known.select("node", F.col("component").alias("label"))
+    many = met.where("n > 2").select("bucket", "node", "least").distinct()
+    members = many.select("bucket", "node").unionByName(many.select("bucket", F.col("least").alias("node")).distinct())
+    members = members.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = mixed.select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("all") / F.lit(BLOCK)).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / F.lit(BLOCK)).cast("int").alias("chunks"))
+    asked = stash(members.join(mixed, "bucket"))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.where("label <> top").select("bucket", place("chunks").alias("chunk"), upto("blocks").alias("block"), F.lit(0).alias("side"), "node")
+    right = asked.select("bucket", upto("chunks").alias("chunk"), place("blocks").alias("block"), F.lit(1).alias("side"), "node")
+    rows = left.unionByName(right).join(found, F.col("node") == F.col("id")).select("bucket", "chunk", "block", "side", "id", "text")
+    more = rows.repartition(parts, "bucket", "chunk", "block").sortWithinPartitions("bucket", "chunk", "block", "side", "id").mapInArrow(tidy(_block_compare), "u long, v long")
+    return components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+
+
+def _hashed(batches):
+    """(doc_id, hashes): what line_hash gives for each line of each text."""
+    import xxhash
+
+    trim = _TRIM.encode()
+    for b in (x for whole in batches for x in sliced(whole)):
+        raw, at = text_bytes(b.column("text"))
+        rows = [raw[lo:hi].tobytes().split(b"\n") for lo, hi in zip(at[:-1], at[1:], strict=True)]
+        flat = [line.strip(trim) for row in rows for line in row]
+        digests = np.frombuffer(b"".join([xxhash.xxh64_digest(line, 42) for line in flat]), ">i8").astype(np.int64)
+        hashes = pa.array(digests, mask=np.fromiter(map(len, flat), np.int64, len(flat)) == 0)
+        ends = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), hashes)], names=["doc_id", "hashes"])
+
+
+def line_hashes(documents: DataFrame) -> DataFrame:
+    """(doc_id, hashes array<long>) of every row: the hash of each line, null for a blank one."""
+    return documents.select("doc_id", "text").mapInArrow(tidy(_hashed), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, hashes array<bigint>")
+
+
+def removed_lines(documents: DataFrame, hashes: DataFrame) -> DataFrame:
     """(doc_id, array<struct<line_no, hash>>): the lines of each document that repeat or resemble one before them, by doc_id and place."""
-    places = documents.where("doc_id is not null").select(F.col("doc_id"), F.posexplode(lines(F.col("text"))).alias("line_no", "line"))
-    places = stash(places.select("doc_id", "line_no", line_hash(F.col("line")).alias("hash")).where("hash is not null"))
-    first = places.groupBy("hash").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("doc_id", "line_no")).alias("last"))
+    places = hashes.where("doc_id is not null").select("doc_id", F.posexplode("hashes").alias("line_no", "hash")).where("hash is not null")
+    first = places.groupBy("hash").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     alike = stash(similar_lines(documents))
     first = first.join(alike.select(F.col("node").alias("hash"), "component"), "hash", "left").withColumn("class", F.coalesce("component", "hash"))
     roots = alike.select(F.col("component").alias("class")).distinct()
     grouped = first.join(roots, "class", "left_semi").groupBy("class").agg(F.min("first").alias("keep"))
-    doubled = first.join(grouped, "class", "left").select("hash", F.coalesce("keep", "first").alias("keep"), "last").where("keep <> last").select("hash", "keep")
+    doubled = first.join(grouped, "class", "left").select("hash", "first", F.coalesce("keep", "first").alias("keep"), "n").where("n > 1 or keep <> first").select("hash", "keep")
     out = places.join(doubled, "hash").where(F.struct("doc_id", "line_no") != F.col("keep"))
     return out.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "hash")).alias(_REMOVED))
 
@@ -310,7 +415,8 @@ def _gone(hashes: Column) -> Column:
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept, removed_lines array<int> of every row, as dedup has them; no text is moved."""
-    rows = documents.select("doc_id", F.transform(lines(F.col("text")), line_hash).alias("hashes")).join(removed_lines(documents), "doc_id", "left")
+    hashes = stash(line_hashes(documents))
+    rows = hashes.join(removed_lines(documents, hashes), "doc_id", "left")
     out = rows.select("doc_id", F.size("hashes").alias("n_lines"), _gone(F.col("hashes")).alias("removed_lines"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("removed_lines")).alias("n_kept"), "removed_lines")
 
@@ -324,7 +430,7 @@ def dedup(documents: DataFrame) -> DataFrame:
     """
     new = ("n_lines", "n_kept", "removed_lines")
     kept_columns = [c for c in documents.columns if c not in new]
-    rows = documents.select(*kept_columns).join(removed_lines(documents.select("doc_id", "text")), "doc_id", "left")
+    rows = documents.select(*kept_columns).join(removed_lines(documents.select("doc_id", "text"), stash(line_hashes(documents))), "doc_id", "left")
     all_lines = lines(F.col("text"))
     gone = _gone(F.transform(all_lines, line_hash))
     out = rows.withColumn("n_lines", F.size(all_lines)).withColumn("removed_lines", gone)
