@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, components, forest, groups, mix, sliced, stash, text_bytes, tidy
+from .common import U64, binary, components, forest, mix, sliced, stash, text_bytes, tidy
 
 SHINGLE = 6
 PERCENT = 80
@@ -293,34 +293,45 @@ def _star_compare(batches):
 _PAIR = "bucket long, chunk int, block int, side int, id long, text binary"
 
 
+def _whole(batches):
+    """Tables of whole groups, rows with the same first three columns, of about 1 MB of text or a group."""
+    held: list[pa.RecordBatch] = []
+    tail = None  # the group of the last row held
+    for b in (x for whole in batches for x in sliced(whole, limit=1 << 20)):
+        keys = [b.column(i).to_numpy() for i in range(3)]
+        before, tail = tail, tuple(k[-1] for k in keys)
+        other = np.flatnonzero(np.logical_or.reduce([k != t for k, t in zip(keys, tail, strict=True)]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut or before != tail:
+            if held or cut:
+                yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _block_compare(batches):
     """Links between the lines of a chunk (side 0) and those of a block (side 1), as forests: rows of _PAIR sorted by bucket, chunk, block and side."""
-    held: list[tuple] = []  # small groups wait for others
-    size = 0
-
-    def linked(ids, i, j):
+    for t in _whole(batches):
+        ids, left, texts = t.column("id").to_numpy(), t.column("side").to_numpy() == 0, t.column("text").to_pylist()
+        change = np.logical_or.reduce([k[1:] != k[:-1] for k in (t.column(i).to_numpy() for i in range(3))])
+        group = np.cumsum(np.append(False, change))
+        ends = np.cumsum(np.bincount(group))
+        few = (np.bincount(group) <= FEW)[group]
+        links = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        at = np.flatnonzero(few)
+        if len(at):
+            i, j = _few_links([texts[k] for k in at.tolist()], np.unique(group[at], return_inverse=True)[1], left[at])
+            links.append((at[i], at[j]))
+        for g in np.unique(group[~few]).tolist():
+            lo, hi = ends[g - 1] if g else 0, ends[g]
+            if left[lo:hi].any() and not left[lo:hi].all():
+                i, j = _block_links(texts[lo:hi], left[lo:hi])
+                links.append((lo + i, lo + j))
+        i, j = (np.concatenate([x[k] for x in links]) for k in range(2))
         u, v = forest(ids[i], ids[j])
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    def few():
-        ids, left, texts = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [t for x in held for t in x[2]]
-        return linked(ids, *_few_links(texts, np.repeat(np.arange(len(held)), [len(x[2]) for x in held]), left))
-
-    for _, t in groups(batches, 3):
-        ids, left = t.column("id").to_numpy(), t.column("side").to_numpy() == 0
-        if not left.any() or left.all():
-            continue
-        texts = t.column("text").to_pylist()
-        if len(texts) > FEW:
-            yield linked(ids, *_block_links(texts, left))
-            continue
-        held.append((ids, left, texts))
-        size += sum(map(len, texts))
-        if size > 1 << 20:
-            yield few()
-            held, size = [], 0
-    if held:
-        yield few()
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def _texts(bitmap):
