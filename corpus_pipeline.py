@@ -42,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents' tokens in full sequences of up to 4096."""
-    return packing.pack(docs, TOKENIZER, remember=150_000)
+    return packing.pack(docs, TOKENIZER, remember=32 << 20)
 
 
 STAGES = [("toxicity", drop_toxic), ("language", drop_unknown_languages), ("line_dedup", drop_repeated_lines), ("ngram_join", drop_near_copies), ("packing", pack)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import islice, repeat
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -202,6 +205,61 @@ def order_by(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return order[np.argsort(small[order], kind="stable")]
 
 
+#: What a remembered word takes beside its bytes and ids: its object and its places in the tables.
+_ENTRY_BYTES = 120
+
+
+class WordTable:
+    """Ids of the words that a worker process has met, held to so many bytes: of a full table the half met first, which holds the common ones, stays.
+
+    learn gives the ids of new words end to end, how many each has, and a flag each. A word's ids are pool[bounds[k] : bounds[k + 1]], its flag good[k].
+    """
+
+    def __init__(self, learn: Callable, kind, limit: int):
+        self.learn, self.limit = learn, limit
+        self.place: dict[bytes, int] = {}
+        self.pool, self.bounds, self.good = np.zeros(0, kind), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.cost = np.zeros(1, np.int64)  # bytes of the words up to each
+
+    def _shrink(self) -> None:
+        keep = int(np.searchsorted(self.cost, self.limit // 2, side="right")) - 1
+        self.place = dict(islice(self.place.items(), keep))
+        self.bounds, self.cost = self.bounds[: keep + 1].copy(), self.cost[: keep + 1].copy()
+        self.pool, self.good = self.pool[: self.bounds[-1]].copy(), self.good[:keep].copy()
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word in the table, which learns those that it lacks; numbers hold until the next call."""
+        if self.cost[-1] > self.limit:  # the words of one call were too many
+            self._shrink()
+        found = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        lacking = np.flatnonzero(found < 0)
+        if not len(lacking):
+            return found
+        lost = [words[i] for i in lacking.tolist()]
+        new = list(dict.fromkeys(lost))
+        size = np.fromiter(map(len, new), np.int64, len(new)) + _ENTRY_BYTES
+        if self.cost[-1] + size.sum() > self.limit and self.cost[-1] > self.limit // 2:
+            self._shrink()
+            return self.find(words)
+        flat, many, good = self.learn(new)
+        base = len(self.place)
+        self.place.update(zip(new, range(base, base + len(new)), strict=True))
+        self.pool, self.good = np.concatenate([self.pool, flat.astype(self.pool.dtype)]), np.concatenate([self.good, good])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(many)])
+        self.cost = np.concatenate([self.cost, self.cost[-1] + np.cumsum(size + self.pool.itemsize * many)])
+        found[lacking] = np.fromiter(map(self.place.__getitem__, lost), np.int64, len(lost))
+        return found
+
+    def ids(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words of these numbers end to end, and the n + 1 offsets of the words' ids."""
+        start, size = self.bounds[index], self.bounds[index + 1] - self.bounds[index]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        kind = np.int32 if len(self.pool) + ends[-1] < 1 << 31 else np.int64
+        place = np.repeat((start - ends[:-1]).astype(kind), size)
+        place += np.arange(len(place), dtype=kind)
+        return self.pool[place], ends
+
+
 def binary(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([np.ascontiguousarray(x).tobytes() for x in parts], pa.binary())
 

@@ -8,25 +8,27 @@ cut into windows of falling powers of two: no padding at all.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_right, insort
-from itertools import islice, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import sliced, text_bytes, tidy
+from .common import WordTable, sliced, text_bytes, tidy
 
 CONTEXT = 4096
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 #: Tokens of the sequences that make up one step.
 STEP_TOKENS = 8 * CONTEXT
-#: Words remembered by a worker process at most, about 200 MB; the half met first, which holds the common ones, outlives a full table.
-CACHE_WORDS = 1_000_000
+#: Bytes of words and their ids that a worker process remembers, whatever the words' lengths.
+CACHE_BYTES = 192 << 20
 
 
 def lower(text: bytes) -> bytes:
@@ -34,57 +36,45 @@ def lower(text: bytes) -> bytes:
     return text if b"<|" in text else text.lower()
 
 
+def by_word(vocabulary: dict) -> bool:
+    """Whether a vocabulary's own file says that it lower cases, keeps no white space and so merges nothing across it."""
+    steps = lambda part, name: [x for x in [part or {}] for x in x.get(name, [x])]
+    normal = [x.get("type") for x in steps(vocabulary["normalizer"], "normalizers")]
+    split = steps(vocabulary["pre_tokenizer"], "pretokenizers")[0]
+    drops = split.get("type") == "Whitespace" or (split.get("type") == "Split" and (split.get("behavior"), split.get("invert")) == ("Removed", True) and not any(regex.search(split["pattern"]["Regex"], x) for x in " \t\n\r\x0b\x0c"))
+    return "Lowercase" in normal and set(normal) <= {"NFC", "Replace", "Lowercase"} and drops and not any(x["lstrip"] or x["rstrip"] for x in vocabulary["added_tokens"])
+
+
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 class WordEncoder:
     """Token ids of whole texts by way of a bounded table of the words met.
 
-    For vocabularies that lower case, drop white space and merge nothing across it: the ids of a text are those of its words, one after another.
+    For vocabularies that lower case, drop white space and merge nothing across it, which is read from the vocabulary's file: the ids of a text are those
+    of its words, one after another. With any other vocabulary whole texts are encoded.
     """
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
-        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
-        self.table: dict[bytes, int] = {}
-        self.pool, self.bounds = np.zeros(0, np.uint16), np.zeros(1, np.int64)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            self.pool = self.pool.astype(np.uint32)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.by_word = by_word(json.loads(self.tokenizer.to_str()))
+        self.table = WordTable(self._learn, self.kind, limit)
 
     @classmethod
-    def of(cls, path: str, most: int = CACHE_WORDS) -> WordEncoder:
+    def of(cls, path: str, limit: int = CACHE_BYTES) -> WordEncoder:
         """The encoder of this process: tasks that follow one another share what was learnt."""
-        if (path, most) not in _encoders:
+        if (path, limit) not in _encoders:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker is one core's
-            _encoders[path, most] = cls(path, most)
-        return _encoders[path, most]
-
-    def _shrink(self) -> None:
-        keep = self.most // 2
-        self.table = dict(islice(self.table.items(), keep))
-        self.bounds = self.bounds[: len(self.table) + 1].copy()
-        self.pool = self.pool[: self.bounds[-1]].copy()
-
-    def _find(self, words: list[bytes]) -> np.ndarray:
-        """The number of each word in the table, which learns those that it lacks."""
-        found = np.fromiter(map(self.table.get, words, repeat(-1)), np.int64, len(words))
-        lacking = np.flatnonzero(found < 0)
-        if not len(lacking):
-            return found
-        new = list(dict.fromkeys(words[i] for i in lacking.tolist()))
-        if len(self.table) + len(new) > self.most and len(self.table) > self.most // 2:
-            self._shrink()
-            return self._find(words)
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)]
-        base = len(self.table)
-        fresh = dict(zip(new, range(base, base + len(new)), strict=True))
-        self.table.update(fresh)
-        self.pool = np.concatenate([self.pool, np.fromiter((i for g in got for i in g), self.pool.dtype)])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(g) for g in got])])
-        found[lacking] = [fresh[words[i]] for i in lacking.tolist()]
-        return found
+            _encoders[path, limit] = cls(path, limit)
+        return _encoders[path, limit]
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+        many = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), self.kind, int(many.sum())), many, np.ones(len(got), bool)
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows end to end, each row's followed by END_ID, and the rows' n + 1 offsets."""
@@ -93,14 +83,14 @@ class WordEncoder:
         lo, n = 0, len(at) - 1
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20), side="right")) - 1)
-            rows = [lower(raw[at[i] : at[i + 1]].tobytes()).split() for i in range(lo, hi)]
-            index = self._find([w for r in rows for w in r])
-            start, size = self.bounds[index], self.bounds[index + 1] - self.bounds[index]
-            ends = np.concatenate([[0], np.cumsum(size)])
-            place = np.repeat((start - ends[:-1]).astype(np.int32), size)  # a stretch of text has far fewer ids than 2**31
-            place += np.arange(len(place), dtype=np.int32)
-            flat = self.pool[place]
-            row_end = ends[np.cumsum([len(r) for r in rows])]
+            texts = [raw[at[i] : at[i + 1]].tobytes() for i in range(lo, hi)]
+            if self.by_word:
+                rows = [lower(t).split() for t in texts]
+                flat, ends = self.table.ids(self.table.find([w for r in rows for w in r]))
+                row_end = ends[np.cumsum([len(r) for r in rows])]
+            else:
+                flat, many, _ = self._learn(texts)
+                row_end = np.cumsum(many)
             parts.append(np.insert(flat, row_end, END_ID))
             counts.append(np.diff(np.concatenate([[0], row_end])) + 1)
             lo = hi
@@ -175,12 +165,12 @@ class Steps:
         return out
 
 
-def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", context: int = CONTEXT, tiers: tuple[int, ...] = TIERS, with_ids: bool = False, remember: int = CACHE_WORDS) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", context: int = CONTEXT, tiers: tuple[int, ...] = TIERS, with_ids: bool = False, remember: int = CACHE_BYTES) -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group (and ids, if asked for).
 
     Each task packs the documents of its own partition, so nothing is shuffled, and a task that runs again packs alike. Null and empty texts
-    are one token, the end. Repeated rows are packed as often as they come; a null key stays null. A worker process remembers so many words
-    for its tasks.
+    are one token, the end. Repeated rows are packed as often as they come; a null key stays null. A worker process remembers words
+    of so many bytes for its tasks.
     """
 
     def packed(batches):

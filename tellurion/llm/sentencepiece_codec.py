@@ -11,18 +11,20 @@ import re
 import struct
 import zlib
 from dataclasses import dataclass, field
-from itertools import islice, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import sliced, text_bytes
+from .common import WordTable, sliced, text_bytes
 
 MARK = "▁"
-#: Words remembered by a worker process at most; the half met first, which holds the common ones, outlives a full table.
-CACHE_WORDS = 1_600_000
+#: Bytes of words and their ids that a worker process remembers, whatever the words' lengths.
+CACHE_BYTES = 320 << 20
+#: Words encoded as one stretch: no piece goes on from one into the next.
+STRETCH = 128
 # fixed values of the format: kinds of pieces, and the numbers of its fields
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PIECE, TRAINER, NORMALIZER = 1, 2, 3
@@ -136,11 +138,10 @@ class Codec:
         self.model = parse(raw)
         self.tokenizer = build(self.model)
         m = self.model
-        self.by_word = not m.charsmap and not m.trim and m.dummy_prefix and m.escape and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, k in m.pieces if k in (NORMAL, USER_DEFINED))
+        self.by_word = any(p == MARK for p, _, _ in m.pieces) and not m.charsmap and not m.trim and m.dummy_prefix and m.escape and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, k in m.pieces if k in (NORMAL, USER_DEFINED))
         self.words = build(self.model, whole=False) if self.by_word else None
-        self.table: dict[bytes, int] = {}
-        self.pool, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.faithful = np.zeros(0, bool)  # whether a word's ids decode to it
+        self.table = WordTable(self._learn, np.int32, CACHE_BYTES)  # the flag of a word: whether its ids decode to it
+        self.starts = np.array([p.startswith(MARK) for p, _, _ in m.pieces], bool)
 
     @classmethod
     def of(cls, path: str, threads: int = 1) -> Codec:
@@ -151,28 +152,34 @@ class Codec:
                 _codecs[path] = cls(f.read())
         return _codecs[path]
 
-    def _find(self, words: list[bytes]) -> np.ndarray:
-        """The number of each word in the table, which learns those that it lacks."""
-        found = np.fromiter(map(self.table.get, words, repeat(-1)), np.int64, len(words))
-        lacking = np.flatnonzero(found < 0)
-        if not len(lacking):
-            return found
-        new = list(dict.fromkeys(words[i] for i in lacking.tolist()))
-        if len(self.table) + len(new) > CACHE_WORDS and len(self.table) > CACHE_WORDS // 2:
-            self.table = dict(islice(self.table.items(), CACHE_WORDS // 2))
-            self.bounds = self.bounds[: len(self.table) + 1].copy()
-            self.pool, self.faithful = self.pool[: self.bounds[-1]].copy(), self.faithful[: len(self.table)].copy()
-            return self._find(words)
-        got = [e.ids for e in self.words.encode_batch_fast([MARK + w.decode("utf-8").replace(" ", MARK) for w in new], add_special_tokens=False)]
-        base = len(self.table)
-        fresh = dict(zip(new, range(base, base + len(new)), strict=True))
-        self.table.update(fresh)
-        self.pool = np.concatenate([self.pool, np.fromiter((i for g in got for i in g), np.int32)])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(g) for g in got])])
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of words end to end, how many each has, and whether they decode to it."""
+        plain = [w.decode("utf-8") for w in words]
+        one = np.fromiter((w != "" and " " not in w for w in plain), bool, len(words))  # words whose first piece alone starts with the mark
+        order = np.concatenate([np.flatnonzero(one), np.flatnonzero(~one)]).tolist()
+        n = int(one.sum())
+        stretches = [order[i : min(i + STRETCH, n)] for i in range(0, n, STRETCH)]
+        joint = len(stretches)
+        stretches += [[i] for i in order[n:]]
+        got = [e.ids for e in self.words.encode_batch_fast(["".join(MARK + plain[i].replace(" ", MARK) for i in s) for s in stretches], add_special_tokens=False)]
+        many = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.int32, int(many.sum()))
         back = self.tokenizer.decode_batch(got, skip_special_tokens=False)  # the decoder takes the space before a text away
-        self.faithful = np.concatenate([self.faithful, np.array([b.encode() == w for b, w in zip(back, new, strict=True)], bool)])
-        found[lacking] = [fresh[words[i]] for i in lacking.tolist()]
-        return found
+        good = np.ones(len(words), bool)
+        for s, g, b in zip(stretches, got, back, strict=True):
+            if b != " ".join(plain[i] for i in s):  # some word's ids decode to something else
+                edges = [*np.flatnonzero(self.starts[g]).tolist(), len(g)] if len(s) > 1 else [0, len(g)]
+                each = self.tokenizer.decode_batch([g[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)], skip_special_tokens=False)
+                good[s] = [x == plain[i] for x, i in zip(each, s, strict=True)]
+        past = np.concatenate([[0], np.cumsum(many)])[joint:]  # where the joint stretches end, and each other one
+        at = np.concatenate([np.flatnonzero(self.starts[flat[: past[0]]]), past])
+        size = np.diff(at)
+        if len(size) != len(words):
+            raise ValueError("a word's pieces don't start where the word does")
+        # from the order of encoding back to that of the words
+        rank = np.argsort(order)
+        ends = np.concatenate([[0], np.cumsum(size[rank])])
+        return flat[np.arange(len(flat)) + np.repeat(at[:-1][rank] - ends[:-1], size[rank])], size[rank], good
 
     def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
         """int32 ids of each text (UTF-8), and whether they decode to it. An empty text has none.
@@ -185,13 +192,11 @@ class Codec:
             return ids, np.array([d == p.replace(MARK, " ") for d, p in zip(self.decode(ids), plain, strict=True)], bool)
         mark = MARK.encode()
         rows = [_words(t.replace(mark, b" ")) for t in texts]
-        index = self._find([w for r in rows for w in r])
-        start, size = self.bounds[index], self.bounds[index + 1] - self.bounds[index]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        flat = self.pool[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)]
+        index = self.table.find([w for r in rows for w in r])
+        flat, ends = self.table.ids(index)
         at = ends[np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)]
         good = np.ones(len(texts), bool)
-        good[np.repeat(np.arange(len(rows)), [len(r) for r in rows])[~self.faithful[index]]] = False
+        good[np.repeat(np.arange(len(rows)), [len(r) for r in rows])[~self.table.good[index]]] = False
         return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], good
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:

@@ -139,6 +139,22 @@ def test_sentencepiece_words_are_as_the_whole(text):
         assert codec.tokenizer.encode(text, add_special_tokens=False).ids == ids[0].tolist()
 
 
+def test_sentencepiece_table_holds_bytes_not_words(monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_BYTES", 300_000)
+    with open(path, "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
+    judge = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh中文字🎉<>") for _ in range(60_000)) for _ in range(8)] + [prose(300, rng) + "  x " for _ in range(200)] + [" ", "  ", "a  b", "a ", " a"]
+    for t in [*texts, *texts[:3]]:
+        ids, good = codec.encode([t.encode()])
+        assert ids[0].tolist() == judge.encode(t) and good.all()
+        assert codec.table.cost[-1] < 300_000 + 400_000  # never over by more than a text
+
+
 def test_sentencepiece_unigram_model_is_rebuilt():
     m = sentencepiece_codec.Model([("<unk>", 0.0, 2), ("▁ab", -1.0, 1), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.0, 1), *[(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]], sentencepiece_codec.UNIGRAM, True, b"", True, False, True)
     t = sentencepiece_codec.build(m)
@@ -243,10 +259,10 @@ def test_broken_archive_is_refused():
 # ---------------------------------------------------------------- 5 packing
 
 
-def check_packing(rows, got, context=4096):
+def check_packing(rows, got, context=4096, tokenizer=TOKENIZER):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(TOKENIZER)
+    t = Tokenizer.from_file(tokenizer)
     by = defaultdict(list)
     for r in got:
         by[r["doc_id"]].append(r)
@@ -278,6 +294,24 @@ def test_packing_loses_and_pads_nothing(spark, docs, none):
     assert packing.pack(none, TOKENIZER).count() == 0
 
 
+def test_packing_with_a_vocabulary_that_keeps_white_space(spark):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.WordEncoder.of(TOKENIZER).by_word and not packing.WordEncoder.of(other).by_word
+    rows = [(0, None), (1, "  two  spaces\n\tand Lines "), (2, prose(900)), (3, "中" * 5000 + " x"), (4, "y" * 9000)]
+    check_packing(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), other).collect(), tokenizer=other)
+
+
+def test_packing_table_holds_bytes_not_words():
+    encoder = packing.WordEncoder(TOKENIZER, 200_000)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh中文字") for _ in range(30_000)) for _ in range(12)]
+    ids, at = encoder.encode(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2]]
+    for t in texts:
+        encoder.encode(pa.array([t]))
+    assert encoder.table.cost[-1] < 600_000
+
+
 def test_packer_fills_windows_of_every_tier():
     p = packing.Packer(64, (8, 16, 32, 64))
     rng = random.Random(4)
