@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from itertools import chain
 
 import numpy as np
@@ -150,18 +150,26 @@ class Packer:
 
 
 class Steps:
-    """Deals sequences into groups of STEP_TOKENS, longest first, so that every step but the last of a task has as many tokens."""
+    """Deals sequences into groups of STEP_TOKENS, longest first, each into the fullest group that it fits.
+
+    Sizes are powers of two, so groups close exactly: of a task's groups, all but at most one for each size have STEP_TOKENS.
+    """
 
     def __init__(self):
-        self.group, self.room = 0, STEP_TOKENS
+        self.groups = 0
+        self.open: list[tuple[int, int]] = []  # (room, group), ascending
 
     def deal(self, sizes: list[int]) -> list[int]:
         out = [0] * len(sizes)
         for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-            if sizes[i] > self.room:
-                self.group, self.room = self.group + 1, STEP_TOKENS
-            out[i] = self.group
-            self.room -= sizes[i]
+            k = bisect_left(self.open, (sizes[i], -1))
+            if k < len(self.open):
+                room, out[i] = self.open.pop(k)
+            else:
+                room, out[i] = STEP_TOKENS, self.groups
+                self.groups += 1
+            if room > sizes[i]:
+                insort(self.open, (room - sizes[i], out[i]))
         return out
 
 

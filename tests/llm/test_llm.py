@@ -326,6 +326,18 @@ def test_packer_fills_windows_of_every_tier():
     assert sum(lengths) == sum(sizes) and all(n & (n - 1) == 0 and n <= 64 for n in lengths) and {8, 16, 32, 64} <= set(lengths)
 
 
+@pytest.mark.parametrize("flushes", [1, 6, 40])
+def test_steps_have_as_many_tokens(flushes):
+    rng = random.Random(7)
+    steps, held = packing.Steps(), Counter()
+    for _ in range(flushes):
+        sizes = [rng.choice([512, 512, 1024, 2048, 4096, 4096]) for _ in range(37)]
+        for g, n in zip(steps.deal(sizes), sizes, strict=True):
+            held[g] += n
+    assert max(held.values()) <= packing.STEP_TOKENS and sum(n < packing.STEP_TOKENS for n in held.values()) <= 4
+    assert sorted(held) == list(range(len(held)))
+
+
 # ---------------------------------------------------------------- 6 language
 
 
