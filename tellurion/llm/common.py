@@ -16,10 +16,10 @@ from tellurion.sources.shared import stash
 U64 = np.uint64
 _P = 0xD6E8FEB86659FD93  # odd, so that its powers can be divided out modulo 2**64
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _CHUNK = 1 << 20
 _powers = np.ones(1, dtype=U64)
 
@@ -106,11 +106,11 @@ def word_hashes(column, prefixes: tuple[int, ...] = ()) -> tuple:
     lo = 0
     while lo < n:
         hi = min(n, lo + _CHUNK)
-        while hi < n and not _SPACE[raw[hi]] and not first[hi]:  # a stretch ends where no word goes on
-            step = _SPACE[raw[hi : hi + 4096]] | first[hi : min(n, hi + 4096)]
+        while hi < n and not SPACE[raw[hi]] and not first[hi]:  # a stretch ends where no word goes on
+            step = SPACE[raw[hi : hi + 4096]] | first[hi : min(n, hi + 4096)]
             hi = hi + int(step.argmax()) if step.any() else min(n, hi + 4096)
-        b = _LOWER[raw[lo:hi]]
-        ink = ~_SPACE[b]
+        b = LOWER[raw[lo:hi]]
+        ink = ~SPACE[b]
         start = ink.copy()
         start[1:] &= ~ink[:-1] | first[lo + 1 : hi]
         end = ink.copy()

@@ -10,30 +10,38 @@ partial sums, so no vocabulary is ever in one place.
 
 from __future__ import annotations
 
-import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary, crc_mod, groups, mix, row_of, sliced, stash, text_bytes, word_hashes
+from tellurion.sources.shared import new_path
+
+from .common import SPACE, U64, binary, crc_mod, groups, mix, row_of, sliced, stash, text_bytes, word_hashes
 
 #: The attention starts from about so many training documents, those whose ids hash lowest, and then learns from all of them in ROUNDS rounds, each
 #: document in one; in a round every part of the documents learns by itself, and the parts' weights are averaged.
 FIT_ROWS = 2_000
 ROUNDS, ROUND_RATE = 8, 0.005
-DIM, CLASSES, SPAN, STRIDE = 16, 256, 16, 32
+DIM, CLASSES, GROUPS, SPAN, STRIDE = 16, 256, 16, 16, 32
 #: Ids with rows of their own in the model's tables; the others share SHARED rows by class.
 OWN, SHARED = 4096, 256
 SKETCH, SKETCH_BITS = 24, 24
-EPOCHS, RATE, WINDOWS = 3, 0.02, 128
+EPOCHS, RATE, WINDOWS, LEARN_WINDOWS = 3, 0.02, 256, 256
+#: Ids that a part learns from at a time.
+CHUNK = 400_000
+RUN = 1024
 _encoders: dict[str, Subwords] = {}
 
 
 class Subwords:
-    """Ids of whole texts, A-Z in lower case, by a vocabulary of byte-pair ranks; the number after its last is the end of a text."""
+    """Ids of whole texts, A-Z in lower case, by a vocabulary of byte-pair ranks; the number after its last is the end of a text.
+
+    Runs of bytes that are all white space, or none, are encoded in stretches of RUN bytes at most: the library's time and stack grow with a run.
+    """
 
     def __init__(self, path: str):
         import base64
@@ -45,6 +53,11 @@ class Subwords:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.end = len(ranks)
         self.encoding = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        pieces = [b""] * (self.end + 1)
+        for piece, i in ranks.items():
+            pieces[i] = piece
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.bounds = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
 
     @classmethod
     def of(cls, path: str) -> Subwords:
@@ -55,17 +68,45 @@ class Subwords:
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows end to end, each row's followed by the end, and the rows' n + 1 offsets."""
         raw, at = text_bytes(column)
-        rows = [self.encoding.encode_ordinary(raw[a:b].tobytes().lower().decode("utf-8")) for a, b in zip(at[:-1], at[1:], strict=True)]
-        for r in rows:
-            r.append(self.end)
-        return np.array([i for r in rows for i in r], np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        cuts = _cuts(raw)
+        rows = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            edges = [a, *cuts[np.searchsorted(cuts, a, side="right") : np.searchsorted(cuts, b)].tolist(), b] if len(cuts) else [a, b]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                rows.append(self.encoding.encode_ordinary(raw[lo:hi].tobytes().lower().decode("utf-8")))
+            if len(edges) > 2:
+                rows[1 - len(edges) :] = [[i for r in rows[1 - len(edges) :] for i in r]]
+            rows[-1].append(self.end)
+        ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        return np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1])), ends
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The lower-cased bytes of each row of ids."""
+        size = self.bounds[ids + 1] - self.bounds[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.bytes[np.arange(ends[-1]) + np.repeat(self.bounds[ids] - ends[:-1], size)]
+        return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends[at].astype(np.int64)), pa.py_buffer(data)])
+
+
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Where runs of more than RUN bytes of white space, or of others, are cut: before a character."""
+    space = SPACE[raw]
+    edges = np.concatenate([[0], np.flatnonzero(space[1:] != space[:-1]) + 1, [len(raw)]])
+    out = [np.arange(edges[i] + RUN, edges[i + 1], RUN) for i in np.flatnonzero(np.diff(edges) > RUN)]
+    cuts = np.concatenate(out) if out else np.zeros(0, np.int64)
+    while len(inner := np.flatnonzero((raw[cuts] & 0xC0) == 0x80)):  # within a character
+        cuts[inner] -= 1
+    return cuts
 
 
 _END_WORD = U64(0x5DEECE66D1234567)
 
 
 class Model:
-    """tables of inputs, queries, keys, values by row; bias by distance; output weights; row, class and log10 share of class by id."""
+    """tables of inputs, queries, keys, values by row; bias by distance; output weights; row, class and log10 share of class by id.
+
+    A class is predicted in two steps, its group and then the class among the group's, each a softmax: their product is a distribution over all classes.
+    """
 
     def __init__(self, counts: np.ndarray, ids: np.ndarray, at: np.ndarray, seed: int = 5, sums: np.ndarray | None = None):
         """counts: of every id over the training documents. ids, at: those of the documents to start on, and their offsets. sums: those of the
@@ -74,39 +115,38 @@ class Model:
         self.row = _rows(counts)
         self.begin, self.pad = OWN, OWN + 1  # rows of the begin of a text and of nothing
         rows = OWN + 2 + SHARED
-        self.kind = self._classes(counts, _sketched(ids, at, self.row, _sketches(counts)) if sums is None else sums)
+        self.kind, self.edges = self._classes(counts, _sketched(ids, at, self.row, _sketches(counts)) if sums is None else sums)
         rest = self.row > self.pad
         self.row[rest] = OWN + 2 + self.kind[rest] % SHARED
         smooth = counts + 0.5
-        mass = np.bincount(self.kind, smooth, minlength=CLASSES)
+        mass = np.bincount(self.kind, smooth)
         self.share = np.log10(smooth / mass[self.kind]).astype(np.float32)
+        self.group = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+        whole = np.bincount(self.group, mass)
         scale = 0.3
         self.p = {
             "x": rng.normal(0, scale, (rows, DIM)), "q": rng.normal(0, scale, (rows, DIM)), "k": rng.normal(0, scale, (rows, DIM)), "v": rng.normal(0, scale, (rows, DIM)),
-            "d": np.zeros(SPAN + 1), "o": rng.normal(0, scale, (DIM, CLASSES)), "b": np.log(mass / mass.sum() + 1e-6),
+            "d": np.zeros(SPAN + 1), "o": rng.normal(0, scale, (DIM, len(mass))), "b": np.log(mass / whole[self.group]), "go": rng.normal(0, scale, (DIM, len(whole))), "gb": np.log(whole / whole.sum()),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         if len(ids):
             self.learn(ids, at, rng, EPOCHS, RATE, 0)
 
-    def _classes(self, counts, sums) -> np.ndarray:
-        """Classes of ids that follow alike ids: k-means over the sketches of the ids before them."""
+    def _classes(self, counts, sums) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of ids that follow alike ids, by k-means over the sketches of the ids before them, and the bounds of groups of alike classes."""
         kind = (np.arange(len(counts)) % CLASSES).astype(np.int32)
         size = np.linalg.norm(sums, axis=1)
         seen = np.flatnonzero(size > 0)
         if len(seen) < 2 * CLASSES:
-            return kind
-        x = (sums[seen] / size[seen][:, None]).astype(np.float32)
-        w = counts[seen]
-        centre = x[np.argsort(-w, kind="stable")[:CLASSES]].copy()
-        for _ in range(12):
-            near = (x @ centre.T).argmax(1)
-            weighted = x * np.sqrt(w)[:, None]
-            m = np.stack([np.bincount(near, weighted[:, j], minlength=CLASSES) for j in range(SKETCH)], 1)
-            some = np.bincount(near, minlength=CLASSES) > 0
-            centre[some] = (m / (np.linalg.norm(m, axis=1)[:, None] + 1e-9))[some]
+            some, kind = np.unique(kind, return_inverse=True)
+            return kind.astype(np.int32), np.unique(np.arange(GROUPS + 1) * len(some) // GROUPS)
+        near, centre = _means((sums[seen] / size[seen][:, None]).astype(np.float32), counts[seen], CLASSES)
         kind[seen] = near
-        return kind
+        some, kind = np.unique(kind, return_inverse=True)  # a class without ids would take some of the probability
+        of, _ = _means(centre[some], np.bincount(kind, counts + 0.5), GROUPS)
+        order = np.argsort(of, kind="stable")
+        place = np.argsort(order)
+        return place[kind].astype(np.int32), np.append(np.flatnonzero(np.append(True, np.diff(of[order]) > 0)), len(some))
 
     def copy(self, weights: np.ndarray | None = None) -> Model:
         """The model with weights of its own: the same, or those given end to end."""
@@ -136,94 +176,165 @@ class Model:
     def _mask(self) -> np.ndarray:
         """Added to scores: the bias of the distance, and nothing beyond SPAN or ahead."""
         back = np.arange(STRIDE)[:, None] + SPAN - np.arange(SPAN + STRIDE)[None, :]
-        return np.where((back >= 0) & (back <= SPAN), self.p["d"][np.clip(back, 0, SPAN)], -1e4).astype(np.float32)
+        return np.where((back >= 0) & (back <= SPAN), self.p["d"][np.clip(back, 0, SPAN)], -1e4).astype(self.p["d"].dtype)
 
     def _attend(self, rows):
+        """What each place has from itself and what it attends to: (rows, h, and what the gradient needs)."""
         p = self.p
         here = rows[:, SPAN:]
         q, k, v = p["q"][here] * np.float32(DIM**-0.5), p["k"][rows], p["v"][rows]
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a += self._mask()[None]
-        a += np.where(rows == self.pad, np.float32(-1e4), np.float32(0))[:, None, :]
-        np.clip(a, -1e4, 30, out=a)
+        a += self._mask()
+        start = np.flatnonzero(rows[:, SPAN - 1] == self.pad)  # windows at the begin of a text have nothing before them; what is behind one is masked
+        a[start] += np.where(rows[start] == self.pad, np.float32(-1e4), np.float32(0))[:, None, :]
+        np.minimum(a, 30, out=a)
         np.exp(a, out=a)
-        total = a.sum(2, keepdims=True)
-        total += np.float32(1e-9)
-        return here, q, k, v, a, total
-
-    def _classes_of(self, here, a, total, v):
+        total = a.reshape(-1, SPAN + STRIDE) @ np.ones(SPAN + STRIDE, a.dtype) + a.dtype.type(1e-9)
+        a /= total.reshape(len(a), STRIDE, 1)
         h = np.matmul(a, v)
-        h /= total
-        h += self.p["x"][here]
-        h = h.reshape(-1, DIM)
-        z = h @ self.p["o"]
-        z += self.p["b"]
-        return h, z
+        h += p["x"][here]
+        return here, q, k, v, a, h.reshape(-1, DIM)
+
+    def _sorted(self, target):
+        """(order, classes, ends): places with an id to predict, by the group of its class, those classes, and where each group's end."""
+        at = np.flatnonzero(target >= 0)
+        kind = self.kind[target[at]]
+        group = self.group[kind].astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        return at[order], kind[order], np.searchsorted(group[order], np.arange(len(self.edges)))
+
+    def _logs(self, h, order, kind, ends, grad: bool = False):
+        """The natural log-probability of the class at each place of order; with grad, the softmaxes less what was there, of groups and of each group's classes."""
+        p = self.p
+        h = h[order]
+        z, top = _softmax(h @ p["go"] + p["gb"], self.group[kind], grad)
+        inner = []
+        for g in range(len(self.edges) - 1):
+            s, e = ends[g], ends[g + 1]
+            a, b = self.edges[g], self.edges[g + 1]
+            if e > s and b > a + 1:  # the only class of a group is certain
+                y, own = _softmax(h[s:e] @ p["o"][:, a:b] + p["b"][a:b], kind[s:e] - a, grad)
+                top[s:e] += own
+                inner.append((slice(s, e), slice(a, b), y))
+        return h, top, z, inner
 
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of each document's ids."""
         out = np.zeros(len(at) - 1)
         rows, target, doc = self.windows(ids, at)
         for lo in range(0, len(rows), WINDOWS):
-            here, _, _, v, a, total = self._attend(rows[lo : lo + WINDOWS])
-            _, z = self._classes_of(here, a, total, v)
+            h = self._attend(rows[lo : lo + WINDOWS])[-1]
             t = target[lo : lo + WINDOWS].reshape(-1)
-            ok = t >= 0
-            t = np.where(ok, t, 0)
-            top = z[np.arange(len(z)), self.kind[t]]
-            np.exp(z, out=z)
-            got = (top - np.log(z.sum(1))) * np.float32(1 / np.log(10)) + self.share[t]
-            got[~ok] = 0
-            np.add.at(out, doc[lo : lo + WINDOWS], got.reshape(-1, STRIDE).sum(1, dtype=np.float64))
+            order, kind, ends = self._sorted(t)
+            top = self._logs(h, order, kind, ends)[1]
+            got = np.zeros(len(t))
+            got[order] = top * np.float32(1 / np.log(10)) + self.share[t[order]]
+            np.add.at(out, doc[lo : lo + WINDOWS], got.reshape(-1, STRIDE).sum(1))
         return out
 
-    def learn(self, ids, at, rng, epochs: int, high: float, low: float) -> None:
-        """Steps down the gradient over ids, at a rate that falls from high to low."""
+    def learn(self, ids, at, rng, epochs: int, high: float, low: float, state: dict | None = None) -> None:
+        """Steps down the gradient over ids, at a rate that falls from high to low; state carries the moments from call to call."""
         rows, target, _ = self.windows(ids, at)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
+        state = {} if state is None else state
+        if not state:
+            state |= {"step": 0, "m": {k: np.zeros_like(v) for k, v in self.p.items()}, "s": {k: np.zeros_like(v) for k, v in self.p.items()}}
         for epoch in range(epochs):
             order = rng.permutation(len(rows))
-            for lo in range(0, len(order), WINDOWS):
-                step += 1
-                pick = order[lo : lo + WINDOWS]
-                grad = self._gradient(rows[pick], target[pick])
+            for lo in range(0, len(order), LEARN_WINDOWS):
+                pick = order[lo : lo + LEARN_WINDOWS]
                 rate = high - (high - low) * (epoch * len(order) + lo) / (epochs * len(order) + 1)
-                for k, g in grad.items():
-                    m[k] += 0.1 * (g - m[k])
-                    s[k] += 0.01 * (g * g - s[k])
-                    self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-                np.clip(self.p["b"], -20, 20, out=self.p["b"])
+                self._step(self._gradient(rows[pick], target[pick]), rate, state)
+
+    def _step(self, grad: dict[str, np.ndarray], rate: float, state: dict) -> None:
+        state["step"] += 1
+        up, over = 1 - 0.9 ** state["step"], 1 - 0.99 ** state["step"]
+        for k, g in grad.items():
+            m, s = state["m"][k], state["s"][k]
+            m *= 0.9
+            m += np.float32(0.1) * g
+            s *= 0.99
+            g *= g
+            g *= np.float32(0.01)
+            s += g
+            np.sqrt(s, out=g)
+            g *= np.float32(over**-0.5)
+            g += np.float32(1e-7)
+            np.divide(m, g, out=g)
+            g *= np.float32(rate / up)
+            self.p[k] -= g
+        for k in ("b", "gb"):
+            np.clip(self.p[k], -20, 20, out=self.p[k])
 
     def _gradient(self, rows, target) -> dict[str, np.ndarray]:
         p = self.p
-        here, q, k, v, a, total = self._attend(rows)
-        h, z = self._classes_of(here, a, total, v)
-        w = a / total
+        here, q, k, v, w, h = self._attend(rows)
         t = target.reshape(-1)
-        ok = t >= 0
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        n = max(1, ok.sum())
-        z *= (ok / (n * z.sum(1))).astype(z.dtype)[:, None]
-        dz = z
-        dz[np.arange(len(t)), self.kind[np.where(ok, t, 0)]] -= ok.astype(z.dtype) / n
-        g = {"o": h.T @ dz, "b": dz.sum(0)}
-        dh = (dz @ p["o"].T).reshape(*here.shape, DIM)
-        dw = np.matmul(dh, v.transpose(0, 2, 1))
-        da = w * (dw - (dw * w).sum(2, keepdims=True))
+        order, kind, ends = self._sorted(t)
+        hs, _, z, inner = self._logs(h, order, kind, ends, True)
+        scale = h.dtype.type(1 / max(1, len(order)))
+        z *= scale
+        g = {"go": hs.T @ z, "gb": np.ones(len(z), z.dtype) @ z, "o": np.zeros_like(p["o"]), "b": np.zeros_like(p["b"])}
+        ds = z @ p["go"].T
+        for at, of, y in inner:
+            y *= scale
+            g["o"][:, of] = hs[at].T @ y
+            g["b"][of] = np.ones(len(y), y.dtype) @ y
+            ds[at] += y @ p["o"][:, of].T
+        dh = np.zeros_like(h)
+        dh[order] = ds
+        dh = dh.reshape(*here.shape, DIM)
+        da = np.matmul(dh, v.transpose(0, 2, 1))
+        da -= np.einsum("wij,wij->wi", da, w)[:, :, None]
+        da *= w
         back = np.clip(np.arange(STRIDE)[:, None] + SPAN - np.arange(SPAN + STRIDE)[None, :], 0, SPAN)
-        g["d"] = np.bincount(back.reshape(-1), da.sum(0).reshape(-1), minlength=SPAN + 1).astype(np.float32)
+        g["d"] = np.bincount(back.reshape(-1), da.sum(0).reshape(-1), minlength=SPAN + 1).astype(p["d"].dtype)
         dq = np.matmul(da, k) * np.float32(DIM**-0.5)
-        dk = np.matmul(da.transpose(0, 2, 1), q)
-        dv = np.matmul(w.transpose(0, 2, 1), dh)
-        for name, at, d in (("x", here, dh), ("q", here, dq), ("k", rows, dk), ("v", rows, dv)):
-            flat = at.reshape(-1, 1) * DIM + np.arange(DIM)
-            g[name] = np.bincount(flat.reshape(-1), d.reshape(-1), minlength=p[name].size).reshape(p[name].shape).astype(p[name].dtype)
+        dk, dv = np.matmul(da.transpose(0, 2, 1), q), np.matmul(w.transpose(0, 2, 1), dh)
+        g["x"], g["q"] = _by_row(here, len(p["x"]), dh, dq)
+        g["k"], g["v"] = _by_row(rows, len(p["k"]), dk, dv)
         return g
 
 
+def _by_row(rows, size: int, *grads) -> list[np.ndarray]:
+    """The sum of each gradient's vectors by row."""
+    rows = rows.reshape(-1)
+    order = np.argsort(rows.astype(np.uint16) if size <= 1 << 16 else rows, kind="stable")
+    own = rows[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    out = []
+    for d in grads:
+        total = np.zeros((size, DIM), d.dtype)
+        total[own[first]] = np.add.reduceat(d.reshape(-1, DIM)[order], first, axis=0)
+        out.append(total)
+    return out
+
+
+def _softmax(z, at, grad: bool):
+    """(z, log-probabilities at): with grad, z becomes the softmax less 1 at the place of each row."""
+    np.minimum(z, 60, out=z)  # far beyond what weights of this size give
+    row = np.arange(len(z))
+    top = z[row, at]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)  # faster than a sum along short rows
+    total += z.dtype.type(1e-30)
+    if grad:
+        z /= total[:, None]
+        z[row, at] -= 1
+    return z, top - np.log(total)
+
+
+def _means(x: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means: the cluster of each row, and the clusters' centres."""
+    centre = x[np.argsort(-weight, kind="stable")[:k]].copy()
+    for _ in range(12):
+        near = (x @ centre.T).argmax(1)
+        weighted = x * np.sqrt(weight)[:, None]
+        m = np.stack([np.bincount(near, weighted[:, j], minlength=len(centre)) for j in range(x.shape[1])], 1)
+        some = np.bincount(near, minlength=len(centre)) > 0
+        centre[some] = (m / (np.linalg.norm(m, axis=1)[:, None] + 1e-9))[some]
+    return near, centre
+
+
 def _rows(counts: np.ndarray) -> np.ndarray:
     """The row of each id: its own for the OWN commonest, one of the SHARED by number for the others."""
     row = (OWN + 2 + np.arange(len(counts)) % SHARED).astype(np.int32)
@@ -246,7 +357,7 @@ def _sketched(ids: np.ndarray, at: np.ndarray, row: np.ndarray, sketch: np.ndarr
     return np.stack([np.bincount(ids, sketch[before, j], minlength=len(row)) for j in range(SKETCH)], 1)
 
 
-_IDS = "part int, round int, pick int, place long, ids binary"
+_IDS = "doc_id long, held boolean, round int, pick int, place long, ids binary"
 
 
 def _encoded(tokenizer: str):
@@ -258,11 +369,23 @@ def _encoded(tokenizer: str):
         for b in (x for whole in batches for x in sliced(whole)):
             ids, at = encoder.encode(b.column("text"))
             ids = ids.astype(kind)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), binary([ids[s:e] for s, e in zip(at[:-1], at[1:], strict=True)])], names=[x.split()[0] for x in _IDS.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), binary([ids[s:e] for s, e in zip(at[:-1], at[1:], strict=True)])], names=[x.split()[0] for x in _IDS.split(", ")])
 
     return run
 
 
+def encoded(rows: DataFrame, held: Column, tokenizer: str) -> DataFrame:
+    """_IDS of rows (doc_id, text), written to the shared folder: every text is encoded once. Those held out have the round -1."""
+    place = F.xxhash64("doc_id", "text")
+    keyed = rows.select(
+        "doc_id", held.alias("held"), F.when(held, -1).otherwise(F.pmod(F.xxhash64(place), F.lit(ROUNDS))).cast("int").alias("round"),
+        F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)).cast("int").alias("pick"), place.alias("place"), "text",
+    )
+    path = new_path(rows.sparkSession, "ids")
+    keyed.mapInArrow(_encoded(tokenizer), _IDS).write.partitionBy("round").parquet(path)
+    return rows.sparkSession.read.schema(_IDS).parquet(path)
+
+
 def _kind(size: int):
     return np.uint16 if size <= 1 << 16 else np.int32
 
@@ -317,20 +440,32 @@ def _sketches_summed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), binary([every]), binary([total])], names=["bucket", "ids", "sums"])
 
 
-_NAMES = ("x", "q", "k", "v", "d", "o", "b")
+_NAMES = ("x", "q", "k", "v", "d", "o", "b", "go", "gb")
 _WEIGHTS = "part int, n long, weights binary"
 
 
-def _learnt(model, size: int, high: float, low: float):
-    """Each part's weights after it has learnt from its texts of the round, times the number of their ids."""
+def _learnt(model, size: int, rate: float):
+    """The weights of a part, the texts of a task, after it has learnt from them, times the number of their ids."""
 
     def run(batches):
-        start = model.value
-        for (part,), t in groups(batches, 1):
-            ids, at = _joint(t.column("ids").to_pylist(), size)
-            net = start.copy()
-            net.learn(ids, at, np.random.default_rng(part), 1, high, low)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(ids)]), binary([np.concatenate([net.p[k].reshape(-1) for k in _NAMES]).astype(np.float64) * len(ids)])], names=["part", "n", "weights"])
+        part = TaskContext.get().partitionId()
+        net, rng, state = model.value.copy(), np.random.default_rng(part), {}
+        total, held, waiting = 0, [], 0
+
+        def learn():
+            net.learn(*_joint(held, size), rng, 1, rate, rate, state)
+
+        for text in (x for b in batches for x in b.column("ids").to_pylist()):
+            held.append(text)
+            waiting += len(text)
+            if waiting > CHUNK * _kind(size)().itemsize:
+                learn()
+                total, held, waiting = total + waiting, [], 0
+        if held:
+            learn()
+            total += waiting
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total]), binary([np.concatenate([net.p[k].reshape(-1) for k in _NAMES]).astype(np.float64) * total])], names=["part", "n", "weights"])
 
     return run
 
@@ -343,18 +478,18 @@ def _added(batches):
 
 
 def fit(training: DataFrame, tokenizer: str) -> Model:
-    """The model of training's (doc_id, text) rows: counts and classes of all; attention started on about FIT_ROWS documents in one task, then learnt
-    from all of them in rounds, unless these are all."""
-    spark = training.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """The model of training's (doc_id, text) rows."""
+    return fitted(encoded(training, F.lit(False), tokenizer), tokenizer)
+
+
+def fitted(texts: DataFrame, tokenizer: str) -> Model:
+    """The model of the rows of _IDS that aren't held out: counts and classes of all; attention started on about FIT_ROWS documents in one task, then
+    learnt from all of them in rounds, unless these are all."""
+    spark = texts.sparkSession
+    few = max(1, round(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     end = Subwords.of(tokenizer).end
     size = end + 1
-    place = F.xxhash64("doc_id", "text")
-    keyed = training.select(
-        F.pmod(place, F.lit(parts)).cast("int").alias("part"), F.pmod(F.xxhash64(place), F.lit(ROUNDS)).cast("int").alias("round"),
-        F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)).cast("int").alias("pick"), place.alias("place"), "text",
-    )
-    texts = stash(keyed.mapInArrow(_encoded(tokenizer), _IDS).repartitionById(parts, "part").sortWithinPartitions("round", "place"))
+    texts = texts.where("round >= 0")
     counts = np.zeros(size, np.int64)
     for r in texts.select("ids").mapInArrow(_ids_counted(size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a vocabulary's worth
         counts[r["id"]] = r["n"]
@@ -379,21 +514,15 @@ def fit(training: DataFrame, tokenizer: str) -> Model:
     model = pickle.loads(got[0]["model"]) if got else Model(counts, np.zeros(0, np.int32), np.zeros(1, np.int64), sums=sums)
     if rate == 1:
         return model
-    few = max(1, round(parts**0.5))
     for k in range(ROUNDS):
-        fall = lambda i: ROUND_RATE * (1 - i / ROUNDS)
         start = spark.sparkContext.broadcast(model)
-        learnt = texts.where(F.col("round") == k).select("part", "ids").mapInArrow(_learnt(start, size, fall(k), fall(k + 1)), _WEIGHTS)
+        learnt = texts.where(F.col("round") == k).select("ids").mapInArrow(_learnt(start, size, ROUND_RATE * (1 - k / ROUNDS)), _WEIGHTS)
         total = learnt.repartitionById(few, F.pmod("part", F.lit(few))).mapInArrow(_added, _WEIGHTS).repartition(1).mapInArrow(_added, _WEIGHTS).collect()  # a model's worth
         if total:
             model = model.copy(np.frombuffer(total[0]["weights"]) / total[0]["n"])
     return model
 
 
-def _is_held(doc_ids: list) -> np.ndarray:
-    return np.array([d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d in doc_ids], bool)
-
-
 _ENTRY = "part int, base long, words binary, trained binary, docs_of binary, rows binary, times binary, info binary"
 _ROWS = 65_000
 
@@ -404,13 +533,20 @@ def _dealt(model, tokenizer: str, bits: int):
     def run(batches):
         net, encoder = model.value, Subwords.of(tokenizer)
         number = TaskContext.get().partitionId() << 36
-        for b in (y.slice(lo, _ROWS) for whole in batches for y in sliced(whole, limit=6 << 20) for lo in range(0, y.num_rows, _ROWS)):
+        size = encoder.end + 1
+        for b in (y.slice(lo, _ROWS) for whole in batches for y in sliced(whole, "ids", 4 << 20) for lo in range(0, y.num_rows, _ROWS)):
             doc_ids = b.column("doc_id").to_pylist()
-            held = _is_held(doc_ids)
+            held = b.column("held").to_numpy(zero_copy_only=False)
             base = number
             number += len(doc_ids)
-            score = np.concatenate([net.score(*encoder.encode(s.column("text"))) for s in sliced(b, limit=1 << 19)])
-            h, at = word_hashes(b.column("text"))
+            scores, hashes, many = [], [], []
+            for part in sliced(b, "ids", 1 << 18):
+                ids, ends = _joint(part.column("ids").to_pylist(), size)
+                scores.append(net.score(ids, ends))
+                h, at = word_hashes(encoder.decode(ids, ends))
+                hashes.append(h)
+                many.append(np.diff(at))
+            score, h, at = np.concatenate(scores), np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(many))])
             row = np.concatenate([row_of(at), np.arange(len(doc_ids))])
             words, of = np.unique(np.concatenate([h, np.full(len(doc_ids), _END_WORD)]), return_inverse=True)
             pair, times = np.unique(of.astype(np.int64) << 16 | row, return_counts=True)
@@ -517,8 +653,9 @@ def score(documents: DataFrame, tokenizer: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(6, (2 * parts - 1).bit_length())
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = spark.sparkContext.broadcast(fit(rows.where(F.coalesce(crc_mod("doc_id", 5) != 1, F.lit(True))), tokenizer))  # tables of a fixed size
-    dealt = rows.mapInArrow(_dealt(model, tokenizer, bits), _ENTRY).repartition(parts, "part")
+    texts = encoded(rows, F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False)), tokenizer)
+    model = spark.sparkContext.broadcast(fitted(texts, tokenizer))  # tables of a fixed size
+    dealt = texts.select("doc_id", "held", "ids").mapInArrow(_dealt(model, tokenizer, bits), _ENTRY).repartition(parts, "part")
     partial = stash(dealt.mapInArrow(_summed(parts), _PARTIAL))
     total = partial.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct_words"), F.lit(0)).alias("v")).first()
     whole = partial.drop("distinct_words", "tokens").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_joined, _OUT)

@@ -553,6 +553,37 @@ def test_the_model_tells_256_classes_apart():
     assert len(np.unique(m.kind)) == len(m.p["b"]) == 256
 
 
+def test_scores_are_those_of_attention_place_by_place():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(1, 9, 700)
+    ids, at = rng.integers(0, 700, 400).astype(np.int32), np.array([0, 150, 151, 400])
+    m = lm_score.Model(counts, ids, at)
+    p = {k: v.astype(float) for k, v in m.p.items()}
+
+    def naive(text):
+        rows, total = [m.begin, *m.row[text].tolist()], 0.0
+        for i, x in enumerate(text.tolist()):
+            past = range(max(0, i - lm_score.SPAN), i + 1)
+            w = np.array([math.exp(min(30, p["q"][rows[i]] @ p["k"][rows[j]] / 4 + p["d"][i - j])) for j in past])
+            h = p["x"][rows[i]] + (w / w.sum()) @ np.array([p["v"][rows[j]] for j in past])
+            kind = m.kind[x]
+            g = m.group[kind]
+            a, b = m.edges[g], m.edges[g + 1]
+            total += sum(z[k] - math.log(np.exp(z).sum()) for z, k in ((h @ p["go"] + p["gb"], g), (h @ p["o"][:, a:b] + p["b"][a:b], kind - a)))
+            total += math.log((counts[x] + 0.5) / (counts + 0.5)[m.kind == kind].sum())
+        return total / math.log(10)
+
+    assert m.score(ids, at) == pytest.approx([naive(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], rel=1e-4)
+
+
+def test_subwords_of_very_long_runs():
+    encoder = lm_score.Subwords.of(RANKS)
+    texts = [" " * 5_000_000, "\n" * 3_000_000 + "x", "\t" * 1_000_000, "中" * 300_000, "ab" * 500_000, "", "A plain text,  with spaces"]
+    ids, at = encoder.encode(pa.array(texts))
+    assert [x.as_py().decode() for x in encoder.decode(ids, at)] == [t.lower() for t in texts]
+    assert ids[at[-2] : -1].tolist() == encoder.encoding.encode_ordinary(texts[-1].lower())
+
+
 def test_gradient_is_that_of_the_loss():
     counts = np.full(80, 3)
     rng = np.random.default_rng(1)
@@ -562,11 +593,8 @@ def test_gradient_is_that_of_the_loss():
     rows, target, _ = m.windows(ids, at)
 
     def loss():
-        here, _, _, v, a, total = m._attend(rows)
-        _, z = m._classes_of(here, a, total, v)
-        t = target.reshape(-1)
-        ok = t >= 0
-        return -(z[np.arange(len(z)), m.kind[np.where(ok, t, 0)]] - np.log(np.exp(z).sum(1)))[ok].mean()
+        h = m._attend(rows)[-1]
+        return -m._logs(h, *m._sorted(target.reshape(-1)))[1].mean()
 
     g = m._gradient(rows, target)
     for name in m.p:
