@@ -354,7 +354,16 @@ def _sketched(ids: np.ndarray, at: np.ndarray, row: np.ndarray, sketch: np.ndarr
     """Of each id, the sum of the sketches of the rows before it."""
     before = np.concatenate([[OWN], row[ids[:-1]]]) if len(ids) else np.zeros(0, np.int32)
     before[at[:-1][at[:-1] < len(ids)]] = OWN
-    return np.stack([np.bincount(ids, sketch[before, j], minlength=len(row)) for j in range(SKETCH)], 1)
+    kind = np.uint32 if len(row) * len(sketch) < 1 << 32 else np.uint64
+    pair = np.sort(ids.astype(kind) * kind(len(sketch)) + before.astype(kind))  # each pair once, with how often it comes
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(pair)))
+    of, before = np.divmod(pair[first], kind(len(sketch)))
+    start = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    out = np.zeros((len(row), SKETCH))
+    if len(start):
+        out[of[start]] = np.add.reduceat(sketch[before] * times[:, None], start, axis=0)
+    return out
 
 
 _IDS = "doc_id long, held boolean, round int, pick int, place long, ids binary"
