@@ -5,7 +5,8 @@ code length: -log2 of its share among the bytes seen in the longest known contex
 (method C: as many escapes as there are distinct bytes there), down to equal shares of all 256 bytes. The language whose tree
 codes the text shortest is predicted.
 
-Scoring walks no tree: the contexts of all trees are the states of one automaton, so each order is one gather over the whole text.
+Scoring walks no tree: the code lengths of every gram that any tree has seen are worked out once, for all languages, and kept in a table of
+hashes; a text's bytes are looked up there all at once, first with the longest context, then those not found with shorter ones.
 """
 
 from __future__ import annotations
@@ -16,13 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import sliced, text_bytes, tidy
+from .common import U64, sliced, text_bytes, tidy
 
 MAX_ORDER = 4
-#: About as many documents a language are learnt from at most, chosen by the hash of their ids.
-TRAIN_ROWS = 1_500
-#: Contexts seen less often than this in every language are left out of the trees, and no more than MAX_STATES are kept.
-MIN_COUNT, MAX_STATES = 24, 30_000
+#: About as many documents of a language, and bytes of them, are learnt from at most, chosen by the hash of their ids.
+TRAIN_ROWS, TRAIN_BYTES = 1_500, 6_000_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -54,76 +53,81 @@ def _grams(b: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     return key[row[order:] == row[: len(b) - order]]
 
 
-def count_grams(batches):
-    """(lang, order, gram, n) partial counts of each batch."""
-    for b in (x for whole in batches for x in sliced(whole, limit=1 << 20)):
-        langs = b.column("lang").to_pylist()
-        for lang in sorted(set(langs)):
-            bytes_, at = fold(*text_bytes(b.column("text").filter(pa.array([x == lang for x in langs]))))
-            for order in range(MAX_ORDER + 1):
-                gram, n = np.unique(_grams(bytes_, at, order), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), order, np.int32)), pa.array(gram), pa.array(n.astype(np.int64))], names=["lang", "order", "gram", "n"])
+def count_grams(langs: list[str]):
+    """(lang, order, gram, n) partial counts of each batch; lang is the place in langs."""
+
+    def run(batches):
+        for b in (x for whole in batches for x in sliced(whole, limit=1 << 20)):
+            of = np.array([langs.index(x) for x in b.column("lang").to_pylist()])
+            for lang in np.unique(of).tolist():
+                bytes_, at = fold(*text_bytes(b.column("text").filter(pa.array(of == lang))))
+                for order in range(MAX_ORDER + 1):
+                    gram, n = np.unique(_grams(bytes_, at, order), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), lang, np.int32)), pa.array(np.full(len(gram), order, np.int32)), pa.array(gram), pa.array(n.astype(np.int64))], names=["lang", "order", "gram", "n"])
+
+    return run
+
+
+class Hashed:
+    """Where each of some distinct numbers stands, by open addressing in a table at most half full."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
+        self.keys, self.at = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        waiting, cell = np.arange(len(keys)), self._cell(keys)
+        while len(waiting):
+            free = self.at[cell] < 0
+            self.at[cell[free]] = waiting[free]  # of several for one cell, one stays
+            won = self.at[cell] == waiting
+            self.keys[cell[won]] = keys[waiting[won]]
+            waiting, cell = waiting[~won], cell[~won] + 1 & self.mask
+
+    def _cell(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(U64) * U64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 for those that aren't there."""
+        cell = self._cell(keys)
+        there = self.keys[cell]
+        out = np.where(there == keys, self.at[cell], np.int32(-1))
+        rest = np.flatnonzero((there != keys) & (there >= 0))
+        while len(rest):
+            cell_ = cell[rest] = cell[rest] + 1 & self.mask
+            there = self.keys[cell_]
+            hit = there == keys[rest]
+            out[rest[hit]] = self.at[cell_[hit]]
+            rest = rest[~hit & (there >= 0)]
+        return out
 
 
 class Trees:
-    """The frozen trees as tables: step[k][state, byte], and cost[state, byte, language] in bits."""
+    """The frozen trees of all languages. By order: the grams that any has seen, with their code lengths in bits by language; and the contexts, with
+    the lengths of their escapes. A gram that a language hasn't seen after its context costs an escape and what the shorter context gives."""
 
     def __init__(self, langs: list[str], grams: list[list[tuple[np.ndarray, np.ndarray]]]):
-        """grams[language][order]: grams and counts."""
+        """grams[language][order]: ascending grams and their counts."""
         self.langs = langs
-        seen = np.zeros(256, bool)
-        for per in grams:
-            if len(per[0][0]):
-                seen[per[0][0]] = True
-        self.code = np.full(256, seen.sum(), np.int64)  # bytes that no tree knows are one symbol
-        self.code[seen] = np.arange(seen.sum())
-        width = int(seen.sum()) + 1
-        contexts = [{0: 0}]  # of each order: context to state
-        states = 1
-        for order in range(1, MAX_ORDER + 1):
-            weight: dict[int, int] = {}
-            for per in grams:
-                key, n = per[order]
-                ctx, at = np.unique(key >> 8, return_inverse=True)
-                for c, x in zip(ctx.tolist(), np.bincount(at, n).tolist() if len(key) else [], strict=True):
-                    weight[c] = max(weight.get(c, 0), x)
-            good = sorted((c for c, x in weight.items() if x >= MIN_COUNT and (c & ((1 << 8 * (order - 1)) - 1)) in contexts[-1]), key=lambda c: (-weight[c], c))
-            good = good[: max(0, MAX_STATES - states)]
-            contexts.append({c: states + i for i, c in enumerate(good)})
-            states += len(good)
-        self.cost = np.zeros((states, width, len(langs)), np.float32)
-        unseen = 256 - width + 1
-        for li, per in enumerate(grams):
-            self.cost[0, :, li] = 8.0
-            for order in range(MAX_ORDER + 1):
-                key, n = per[order]
-                known = contexts[order]
-                state = np.array([known.get(c, -1) for c in (key >> 8).tolist()], np.int64)
-                key, n, state = key[state >= 0], n[state >= 0], state[state >= 0]
-                if order:  # a context starts with what the shorter one says
-                    mine = np.array(list(known.values()), np.int64)
-                    shorter = np.array([contexts[order - 1][c & ((1 << 8 * (order - 1)) - 1)] for c in known], np.int64)
-                    if len(mine):
-                        self.cost[mine, :, li] = self.cost[shorter, :, li]
-                total, kinds = np.bincount(state, n, minlength=states), np.bincount(state, minlength=states)
-                has = np.flatnonzero(total)
-                self.cost[has, :, li] -= np.log2(kinds[has] / (total[has] + kinds[has]))[:, None]
-                self.cost[state, self.code[key & 255], li] = -np.log2(n / (total[state] + kinds[state]))
-        self.cost[:, width - 1, :] = np.maximum(self.cost[:, width - 1, :], np.log2(max(1, unseen)))
-        self.step = []
-        back = [{s: c for c, s in level.items()} for level in contexts]
-        for order in range(1, MAX_ORDER + 1):  # the state after byte b, where the state before it has an order of order - 1 at most
-            low = sum(map(len, contexts[:order]))
-            table = np.zeros((low, width), np.int32)
-            for o in range(order):
-                for s, c in back[o].items():
-                    for byte in np.flatnonzero(seen).tolist():
-                        full = c << 8 | byte
-                        for k in range(o + 1, -1, -1):
-                            if (to := contexts[k].get(full & ((1 << 8 * k) - 1))) is not None:
-                                table[s, self.code[byte]] = to
-                                break
-            self.step.append(table)
+        self.cost, self.escape, self.grams, self.contexts = [], [], [], []
+        keys = None
+        for order in range(MAX_ORDER + 1 if langs else 0):
+            shorter, keys = keys, np.unique(np.concatenate([per[order][0] for per in grams]))
+            context = np.unique(keys >> 8)
+            cost = np.full((len(keys), len(langs)), 8.0) if not order else self.cost[-1][np.searchsorted(shorter, keys & ((1 << 8 * order) - 1))].astype(float)
+            escape = np.zeros((len(context), len(langs)))
+            of = np.searchsorted(context, keys >> 8)
+            for li, per in enumerate(grams):
+                gram, n = per[order]
+                own = np.searchsorted(context, gram >> 8)
+                total, kinds = np.bincount(own, n, minlength=len(context)), np.bincount(own, minlength=len(context))
+                known = total > 0
+                escape[known, li] = -np.log2(kinds[known] / (total[known] + kinds[known]))
+                cost[:, li] += escape[of, li]
+                cost[np.searchsorted(keys, gram), li] = -np.log2(n / (total[own] + kinds[own]))
+            self.cost.append(cost.astype(np.float32))
+            self.escape.append(escape.astype(np.float32))
+            self.grams.append(Hashed(keys))
+            self.contexts.append(Hashed(context))
 
     def lengths(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(bits a row and language, coded bytes a row) of whole texts."""
@@ -133,42 +137,65 @@ class Trees:
         out = np.zeros((n, len(self.langs)))
         if not len(b) or not self.langs:
             return out, np.diff(at)
-        sym = self.code[b]
         lo = 0
         while lo < n:  # a few texts at a time, so that tables stay near
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 400_000, side="right")) - 1)
-            x, start = sym[at[lo] : at[hi]], at[lo:hi] - at[lo]
-            state = np.zeros(len(x), np.int64)  # before each byte
-            for table in self.step:
-                after = table[state, x] if len(table) > 1 else table[0][x]
-                state = np.concatenate([[0], after[:-1]])
-                state[start] = 0
-            bits = self.cost[state, x]
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 200_000, side="right")) - 1)
+            x, start = b[at[lo] : at[hi]], at[lo:hi] - at[lo]
+            bits = self._bits(x, start)
             bits[start] = 0  # the space put before each text
             out[lo:hi] = np.add.reduceat(bits, start, axis=0, dtype=np.float64)
             lo = hi
         return out, np.diff(at) - 1
 
-
-def fit(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
+    def _bits(self, x: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """(bytes, languages): the code length of each byte."""
+        key = np.zeros(len(x), np.int64)
+        for j in range(MAX_ORDER + 1):
+            key[j:] |= x[: len(x) - j].astype(np.int64) << 8 * j
+        reach = np.full(len(x), MAX_ORDER)  # bytes of its text before each
+        for j in range(MAX_ORDER):
+            at = start + j
+            reach[at[at < np.append(start[1:], len(x))]] = j
+        bits = np.zeros((len(x), len(self.langs)), np.float32)
+        left = np.arange(len(x))
+        for order in range(MAX_ORDER, -1, -1):
+            able = left if order == 0 else left[reach[left] >= order]
+            gram = key[able] & ((1 << 8 * order + 8) - 1)
+            found = self.grams[order].find(gram)
+            hit = found >= 0
+            bits[able[hit]] += self.cost[order][found[hit]]
+            lost = able[~hit]
+            context = self.contexts[order].find(gram[~hit] >> 8)
+            known = context >= 0
+            bits[lost[known]] += self.escape[order][context[known]]
+            left = lost if len(able) == len(left) else np.concatenate([left[reach[left] < order], lost])
+        bits[left] += 8
+        return bits
+
+
+def fit(documents: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Trees:
     """Trees from documents (doc_id, text, lang). Rows with a null in any of them teach nothing.
 
-    How many rows a language has sets the share of its ids that are learnt from, so about train_rows of each, whatever the size. The
-    grams of so bounded a sample are counted in parallel and gathered; rare ones are left out before that.
+    How many rows and bytes a language has sets the share of its ids that are learnt from, so about train_rows of each, or train_bytes, whatever the
+    size. Every gram of so bounded a sample is counted, in parallel, and gathered.
     """
     rows = documents.select("doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null")
-    share = rows.groupBy("lang").count().collect()
-    if not share:
+    share = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
+    langs = sorted(r["lang"] for r in share)
+    if not langs:
         return Trees([], [])
-    rate = F.create_map(*[F.lit(x) for r in share for x in (r["lang"], min(1.0, train_rows / r["count"]))])
+    rate = F.create_map(*[F.lit(x) for r in share for x in (r["lang"], min(1.0, train_rows / r["n"], train_bytes / max(1, r["size"])))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30))
-    grams = sample.select("lang", "text").mapInArrow(tidy(count_grams), "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
-    table = grams.where("n > 1 or order < 2").toPandas()
-    langs = sorted(r["lang"] for r in share)
+    grams = sample.select("lang", "text").mapInArrow(tidy(count_grams(langs)), "lang int, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    lang, order, gram, n = (c.to_numpy() for c in grams.toArrow().columns)
     out = []
-    for lang in langs:
-        own = table[table["lang"] == lang].sort_values(["order", "gram"])
-        out.append([(g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for g in (own[own["order"] == k] for k in range(MAX_ORDER + 1))])
+    for li in range(len(langs)):
+        per = []
+        for k in range(MAX_ORDER + 1):
+            at = np.flatnonzero((lang == li) & (order == k))
+            at = at[np.argsort(gram[at])]
+            per.append((gram[at], n[at]))
+        out.append(per)
     return Trees(langs, out)
 
 
@@ -177,7 +204,7 @@ def predict(documents: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
 
     lang_pred is `und` with score 0 where the text is null or has no letter, or nothing was learnt.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(trees)  # bounded by MAX_STATES
+    shared = documents.sparkSession.sparkContext.broadcast(trees)  # the grams of a bounded sample
 
     def predicted(batches):
         model = shared.value

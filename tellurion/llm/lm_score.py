@@ -178,7 +178,12 @@ class Model:
         back = np.arange(STRIDE)[:, None] + SPAN - np.arange(SPAN + STRIDE)[None, :]
         return np.where((back >= 0) & (back <= SPAN), self.p["d"][np.clip(back, 0, SPAN)], -1e4).astype(self.p["d"].dtype)
 
-    def _attend(self, rows):
+    def _most(self) -> float:
+        """No score of attention is larger."""
+        length = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
+        return length(self.p["q"]) * length(self.p["k"]) * DIM**-0.5 + float(self.p["d"].max())
+
+    def _attend(self, rows, grad: bool = False, cap: bool = True):
         """What each place has from itself and what it attends to: (rows, h, and what the gradient needs)."""
         p = self.p
         here = rows[:, SPAN:]
@@ -187,12 +192,15 @@ class Model:
         a += self._mask()
         start = np.flatnonzero(rows[:, SPAN - 1] == self.pad)  # windows at the begin of a text have nothing before them; what is behind one is masked
         a[start] += np.where(rows[start] == self.pad, np.float32(-1e4), np.float32(0))[:, None, :]
-        np.minimum(a, 30, out=a)
+        if grad or cap:
+            np.minimum(a, 30, out=a)
         np.exp(a, out=a)
-        total = a.reshape(-1, SPAN + STRIDE) @ np.ones(SPAN + STRIDE, a.dtype) + a.dtype.type(1e-9)
-        a /= total.reshape(len(a), STRIDE, 1)
+        total = (a.reshape(-1, SPAN + STRIDE) @ np.ones(SPAN + STRIDE, a.dtype) + a.dtype.type(1e-9)).reshape(len(a), STRIDE, 1)
         h = np.matmul(a, v)
+        h /= total
         h += p["x"][here]
+        if grad:
+            a /= total
         return here, q, k, v, a, h.reshape(-1, DIM)
 
     def _sorted(self, target):
@@ -222,8 +230,9 @@ class Model:
         """log10 probability of each document's ids."""
         out = np.zeros(len(at) - 1)
         rows, target, doc = self.windows(ids, at)
+        cap = self._most() > 30
         for lo in range(0, len(rows), WINDOWS):
-            h = self._attend(rows[lo : lo + WINDOWS])[-1]
+            h = self._attend(rows[lo : lo + WINDOWS], cap=cap)[-1]
             t = target[lo : lo + WINDOWS].reshape(-1)
             order, kind, ends = self._sorted(t)
             top = self._logs(h, order, kind, ends)[1]
@@ -267,7 +276,7 @@ class Model:
 
     def _gradient(self, rows, target) -> dict[str, np.ndarray]:
         p = self.p
-        here, q, k, v, w, h = self._attend(rows)
+        here, q, k, v, w, h = self._attend(rows, True)
         t = target.reshape(-1)
         order, kind, ends = self._sorted(t)
         hs, _, z, inner = self._logs(h, order, kind, ends, True)
@@ -557,8 +566,13 @@ def _dealt(model, tokenizer: str, bits: int):
                 many.append(np.diff(at))
             score, h, at = np.concatenate(scores), np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(many))])
             row = np.concatenate([row_of(at), np.arange(len(doc_ids))])
-            words, of = np.unique(np.concatenate([h, np.full(len(doc_ids), _END_WORD)]), return_inverse=True)
-            pair, times = np.unique(of.astype(np.int64) << 16 | row, return_counts=True)
+            coded = pa.array(np.concatenate([h, np.full(len(doc_ids), _END_WORD)])).dictionary_encode()
+            words = coded.dictionary.to_numpy()
+            order = np.argsort(words)
+            words, rank = words[order], np.argsort(order)
+            pair = np.sort(rank[coded.indices.to_numpy()].astype(U64) << U64(16) | row.astype(U64))
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            times, pair = np.diff(np.append(first, len(pair))), pair[first].astype(np.int64)
             of, row = pair >> 16, pair & 0xFFFF
             trained = np.bincount(of, times * ~held[row], minlength=len(words)).astype(np.uint32)
             docs_of = np.bincount(of, minlength=len(words)).astype(np.uint32)

@@ -360,18 +360,26 @@ def test_language_edge_cases(spark, docs, none):
     assert {r["lang_pred"] for r in language.predict(docs, empty, ["doc_id"]).collect()} == {"und"}
 
 
-def test_code_lengths_are_those_of_the_escape_rule(monkeypatch):
-    monkeypatch.setattr(language, "MIN_COUNT", 1)
-    text = "abab abba"
-    b, at = language.fold(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
-    grams = [[np.unique(language._grams(b, at, k), return_counts=True) for k in range(language.MAX_ORDER + 1)]]
-    trees = language.Trees(["x"], grams)
-    counts = [defaultdict(Counter) for _ in range(language.MAX_ORDER + 1)]
-    raw = bytes(b)
-    for k in range(language.MAX_ORDER + 1):
-        for i in range(k, len(raw)):
-            counts[k][raw[i - k : i]][raw[i]] += 1
-
+def test_code_lengths_are_those_of_the_escape_rule(spark):
+    rng = random.Random(8)
+    rows = [(i, lang, " ".join(rng.choice(words) + rng.choice(["", "s", "é", "!"]) for _ in range(rng.randrange(1, 90)))) for i in range(30) for lang, words in (("en", WORDS), ("fr", WORDS[:5] + ["là", "chat"]))]
+    rows += [(100, "en", "once"), (101, "fr", ""), (102, "en", "q")]
+    trees = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    folded = lambda t: bytes(language.fold(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0])
+    texts = [prose(40, rng), "zzz once là", "", "q", *[t for _, _, t in rows[:6]], "中文 chat"]
+    bits, size = trees.lengths(pa.array(texts))
+    assert size.tolist() == [max(0, len(folded(t)) - 1) for t in texts]
+    for li, lang in enumerate(trees.langs):
+        counts = [defaultdict(Counter) for _ in range(language.MAX_ORDER + 1)]
+        for raw in (folded(t) for _, x, t in rows if x == lang):
+            for k in range(language.MAX_ORDER + 1):
+                for i in range(k, len(raw)):
+                    counts[k][raw[i - k : i]][raw[i]] += 1
+        want = [sum(escape_cost(counts, raw[:i], raw[i]) for i in range(1, len(raw))) for raw in map(folded, texts)]
+        assert bits[:, li] == pytest.approx(want, abs=1e-2)
+
+
+def escape_cost(counts, past, s):
     def cost(past, s):
         bits = 0.0
         for k in range(min(len(past), language.MAX_ORDER), -1, -1):
@@ -384,9 +392,7 @@ def test_code_lengths_are_those_of_the_escape_rule(monkeypatch):
             bits -= math.log2(len(seen) / total)
         return bits + 8
 
-    new = b" abba bab"
-    want = sum(cost(new[:i], new[i]) for i in range(1, len(new)))
-    assert trees.lengths(pa.array(["abba bab"]))[0][0, 0] == pytest.approx(want, abs=1e-3)
+    return cost(past, s)
 
 
 # ---------------------------------------------------------------- 7 fingerprints
