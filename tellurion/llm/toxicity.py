@@ -14,12 +14,10 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from .common import U64, mix, row_of, sliced, tidy, word_hashes
 
 BITS = 22
-#: No more labelled documents than this are learnt from: those whose id hashes lowest.
-TRAIN_ROWS = 10_000
+#: No more labelled documents than this are learnt from, and no more than so many bytes of their features: those whose id hashes lowest.
+TRAIN_ROWS, TRAIN_BYTES = 16_000, 400_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.2
-#: Features of fewer of the documents learnt from than this aren't learnt: L1 would leave most of them at 0.
-MIN_ROWS = 3
 #: (distance of each word from the first) of the features: words, pairs, and pairs that skip one or two words.
 SHAPES = ((0,), (0, 1), (0, 2), (0, 3))
 #: Beside the whole words, their first so many bytes, for inflected forms that were never seen.
@@ -78,37 +76,40 @@ def _examples(batches):
         key = np.unique(row.astype(np.int64) << 32 | index)
         ends = np.searchsorted(key >> 32, np.arange(b.num_rows + 1))
         index = (key & 0xFFFFFFFF).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([index[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["y", "x"])
-
-
-def _train(batches):
-    y, x = [], []
-    for b in batches:
-        y += b.column("y").to_pylist()
-        _, offsets, data = b.column("x").buffers()  # read in place
-        at = np.frombuffer(offsets, np.int32)[b.column("x").offset : b.column("x").offset + b.num_rows + 1]
-        x += [np.frombuffer(data, np.int32, (e - s) // 4, s) if e > s else np.zeros(0, np.int32) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    rows = np.zeros(1 << BITS, np.int16)  # TRAIN_ROWS at most
-    for v in x:
-        rows[v] += 1
-    for i, v in enumerate(x):  # in place, so that what is left out is freed
-        x[i] = v[rows[v] >= MIN_ROWS]
-    order = sorted(range(len(y)), key=lambda i: (len(x[i]), x[i].tobytes(), y[i]))  # rows come in no order of their own
-    index, weight, bias = fit_ftrl([x[i] for i in order], np.array([y[i] for i in order], float)) if y else (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
-    yield pa.RecordBatch.from_arrays([pa.array([index.tobytes()]), pa.array([weight.tobytes()]), pa.array([bias])], names=["index", "weight", "bias"])
-
-
-def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+        yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("y"), pa.array([index[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["rank", "y", "x"])
+
+
+def _train(train_bytes: int):
+    """Learns from rows of (rank, y, x) sorted by rank, up to train_bytes."""
+
+    def run(batches):
+        y, x, size = [], [], 0
+        for b in batches:
+            _, offsets, data = b.column("x").buffers()  # read in place
+            at = np.frombuffer(offsets, np.int32)[b.column("x").offset : b.column("x").offset + b.num_rows + 1]
+            for label, s, e in zip(b.column("y").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                size += e - s
+                if size <= train_bytes or not y:
+                    y.append(label)
+                    x.append(np.frombuffer(data, np.int32, (e - s) // 4, s) if e > s else np.zeros(0, np.int32))
+        index, weight, bias = fit_ftrl(x, np.array(y, float)) if y else (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
+        yield pa.RecordBatch.from_arrays([pa.array([index.tobytes()]), pa.array([weight.tobytes()]), pa.array([bias])], names=["index", "weight", "bias"])
+
+    return run
+
+
+def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray, float]:
     """Learns from labels (doc_id, toxic) of documents (doc_id, text), at most train_rows ids by lowest hash.
 
     Null ids and labels are passed over; an id labelled twice counts as toxic if any label says so; one that stands for several
-    texts is learnt by its first text in order. One task learns; its input is bounded by train_rows, its output by the hash size.
+    texts is learnt by its first text in order. One task learns; its input is bounded by train_rows and train_bytes, its output by the hash size.
     """
+    rank = F.xxhash64(F.col("doc_id").cast("long"))
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(train_rows)
+    chosen = chosen.orderBy(rank, "doc_id").limit(train_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    shaped = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text").mapInArrow(tidy(_examples), "y int, x binary")
-    best = shaped.repartition(1).mapInArrow(tidy(_train), "index binary, weight binary, bias double").first()
+    shaped = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select(rank.alias("rank"), "y", "text").mapInArrow(tidy(_examples), "rank long, y int, x binary")
+    best = shaped.repartition(1).sortWithinPartitions("rank").mapInArrow(tidy(_train(train_bytes)), "index binary, weight binary, bias double").first()
     return (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0) if best is None else (np.frombuffer(best["index"], np.int32), np.frombuffer(best["weight"], np.float32), best["bias"])
 
 

@@ -110,6 +110,39 @@ def test_ftrl_leaves_useless_features_at_zero():
     assert w[1] > 0 > w.get(2, -1) and set(w) <= {1, 2, 5}
 
 
+def test_ftrl_follows_its_rule_coordinate_by_coordinate():
+    rng = np.random.default_rng(4)
+    x = [np.unique(rng.integers(0, 40, rng.integers(0, 9))) for _ in range(150)]
+    y = rng.integers(0, 2, 150).astype(float)
+    index, weight, bias = toxicity.fit_ftrl(x, y, bits=6)
+    a, beta, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight_of(k):
+        bound = 0.0 if k == "bias" else l1
+        return 0.0 if abs(z[k]) <= bound else -(z[k] - math.copysign(bound, z[k])) / ((beta + math.sqrt(n[k])) / a + l2)
+
+    for epoch in range(toxicity.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(150):
+            w = {k: weight_of(k) for k in [*x[i].tolist(), "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y[i]
+            for k in w:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / a * w[k]
+                n[k] += g * g
+    want = {k: weight_of(k) for k in range(40) if weight_of(k)}
+    assert dict(zip(index.tolist(), weight.tolist(), strict=True)) == pytest.approx(want, rel=1e-3, abs=1e-4)
+    assert bias == pytest.approx(weight_of("bias"), rel=1e-3, abs=1e-5)
+
+
+def test_toxicity_learns_from_no_more_than_it_may_hold(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(500)) + (" idiot" if i % 2 else "")) for i in range(60)]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")  # noqa: E741
+    full = toxicity.fit(d, l)
+    one = toxicity.fit(d, l, train_bytes=1)
+    assert len(full[0]) > 0 and not np.array_equal(full[0], one[0])
+    assert toxicity.score(d, one, ["doc_id"]).count() == 60
+
+
 # ---------------------------------------------------------------- 2 sentencepiece
 
 
