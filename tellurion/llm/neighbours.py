@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Vectors are centred, turned by learned rotations (iterative quantisation) and cut to a bit a coordinate. A code is split into substrings, and
-each substring value indexes the codes that have it. Two codes within RADIUS bits have a substring within RADIUS // substrings bits, so
-probing every substring's values at that distance retrieves every code within RADIUS, whatever the data; those are ranked by their floats.
+each substring value indexes the codes that have it. Two codes within r bits have a substring within r // substrings bits, so
+probing every substring's values at that distance retrieves every code within r, whatever the data; those are ranked by their floats.
 
 Queries meet the indexed rows block by block: each block has its own index in memory, answers all queries of a query block with its nearest
 K, and those are merged. Equal vectors are indexed once, with as many of their smallest ids as can be asked for.
@@ -10,6 +10,8 @@ K, and those are merged. Equal vectors are indexed once, with as many of their s
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +25,8 @@ ROTATIONS = 2
 FIT_ROWS = 5_000
 ITERATIONS = 30
 SUBSTRING_BITS = 8
-#: Codes within this share of their bits are retrieved.
-RADIUS = 0.47
+#: The radius is that within which so large a share of the nearest K of some of the sample's rows are: wide where vectors have no structure, else narrow.
+RECALL, ASKED = 0.98, 250
 #: Rows of a block of the index, and of a block of queries, about.
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 4_096
 
@@ -51,6 +53,21 @@ class Coder:
         return np.packbits(np.concatenate([(x - self.mean) @ r > 0 for r in self.turn], axis=1), axis=1)
 
 
+def fitted_radius(coder: Coder, sample: np.ndarray, k: int) -> int:
+    """The bits within which RECALL of the k nearest rows of the sample are, of up to ASKED of its rows. In a whole table the nearest are nearer still."""
+    n = len(sample)
+    if n < 2:
+        return coder.bits
+    codes = coder.codes(sample)
+    bits = []
+    for q in range(0, n, max(1, n // ASKED)):
+        d = ((sample - sample[q]) ** 2).sum(1)
+        d[q] = np.inf
+        near = np.argpartition(d, min(k, n - 1) - 1)[: min(k, n - 1)]
+        bits.append(_POP[codes[near] ^ codes[q]].sum(1, dtype=np.int64))
+    return int(np.quantile(np.concatenate(bits), RECALL, method="higher"))
+
+
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -90,25 +107,27 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
 
 
-def search(embeddings: DataFrame, is_query, k: int = 10, radius: float = RADIUS) -> DataFrame:
+def search(embeddings: DataFrame, is_query, k: int = 10, radius: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query holds for, the k nearest found of all other rows, by Euclidean distance.
 
-    Ties go to the smaller vec_id. score is the distance of the original vectors in double precision. Where fewer than k lie within the radius of a
-    query in all, and there are more candidates, it is asked again without a radius, so every query has min(k, candidates) rows. Rows of one vec_id with
-    several vectors count by each; a row is no candidate of its own id. Vectors of different lengths are never near: the commonest length takes part.
+    Ties go to the smaller vec_id. score is the distance of the original vectors in double precision. Where fewer than k lie within the radius (bits of
+    the codes, fitted to the sample unless given) of a query in all, and there are more candidates, it is asked again without a radius, so every query has
+    min(k, candidates) rows. Rows of one vec_id with several vectors count by each; a row is no candidate of its own id. Only vectors of one length have
+    a distance: those of each length are searched by themselves.
     """
-    spark = embeddings.sparkSession
-    rows = valid(embeddings)
-    common = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    out = "query_id long, rank int, vec_id long, score double"
-    if common is None:
-        return spark.createDataFrame([], out)
-    rows = rows.where(F.size("vector") == common["dim"])
+    rows = stash(valid(embeddings))
+    lengths = sorted(r[0] for r in rows.select(F.size("vector")).distinct().collect())
+    found = [_search(rows.where(F.size("vector") == n), is_query, k, radius) for n in lengths]
+    return functools.reduce(DataFrame.unionByName, found) if found else embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(rows: DataFrame, is_query, k: int, radius: int | None) -> DataFrame:
+    spark = rows.sparkSession
     sample = rows.groupBy(F.xxhash64("vector").alias("h")).agg(F.first("vector").alias("vector")).orderBy("h").limit(FIT_ROWS).select("vector").toArrow()
-    coder = Coder(_matrix(sample.column(0)))
-    reach = int(radius * coder.bits)
+    x = _matrix(sample.column(0))
+    coder = Coder(x)
+    reach = fitted_radius(coder, x, k) if radius is None else radius
     # one row for equal vectors, with the smallest ids: one more than can be asked for, as one may be the query's own
-    rows = stash(rows)
     ids = rows.groupBy("vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     heads = rows.select("vec_id", "vector").distinct()
     single = ids.where("n = 1").select("vector", F.array("least").alias("ids"))

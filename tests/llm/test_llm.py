@@ -677,6 +677,31 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert neighbours.search(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize(("spread", "most"), [(0.0, 0.45), (3.0, 0.12)])
+def test_the_radius_follows_the_structure_of_the_vectors(spread, most):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 32)) + spread * rng.normal(size=(40, 32))[rng.integers(0, 40, 4000)]
+    coder = neighbours.Coder(x[:2000])
+    radius = neighbours.fitted_radius(coder, x[:2000], 10)
+    index, codes = neighbours.Index(coder.codes(x)), coder.codes(x)
+    seen = hit = 0
+    for q in range(0, 4000, 80):
+        rows = index.within(codes[q], radius)
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(np.intersect1d(np.argsort(d)[:10], rows))
+        seen += len(rows)
+    assert hit >= 0.95 * 500 and seen < most * 50 * 4000  # the share of rows compared
+
+
+def test_vectors_are_searched_by_length(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3 if i % 3 else 5).tolist()) for i in range(90)] + [(300, [1.0] * 9)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=4).collect()
+    assert Counter(r["query_id"] for r in got) == dict.fromkeys(range(0, 90, 10), 4)
+    assert all((r["query_id"] % 3 == 0) == (r["vec_id"] % 3 == 0) for r in got)
+
+
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(8)
     codes = rng.integers(0, 256, (500, 4)).astype(np.uint8)
