@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tellurion.sources.shared import stash
+
 from .focal import EIGHT, neighbours, window_sums
+from .timeline import around
 from .zonal import with_totals
 
 CELL = ["row", "col"]
@@ -34,13 +37,35 @@ def burned_classes(px: DataFrame, features: list[str], label: Column, positive:
     return out.withColumn("burned", F.coalesce(F.col("probability") >= positive, F.lit(False))).drop("label_", *aggs)
 
 
-def height_above_drainage(px: DataFrame, elev: str, is_drainage: Column, reach: int = 3) -> DataFrame:
-    """hand: how far a cell is above the nearest drainage cell within reach rows and columns, not under 0; ties go to the lower one."""
-    offsets = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
-    shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(float(a * a + b * b)).alias("d")) for a, b in offsets])
-    sent = px.where(is_drainage).select("row", "col", F.col(elev).alias("e_"), F.explode(shifts).alias("s")).select((F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), "s.d", "e_")
-    near = sent.groupBy(*CELL).agg(F.min(F.struct("d", "e_")).alias("n_"))
-    return px.join(near, CELL, "left").withColumn("hand", F.when(F.col("n_").isNotNull(), F.greatest(F.lit(0.0), F.col(elev) - F.col("n_.e_")))).drop("n_")
+def height_above_drainage(px: DataFrame, elev: str, is_drainage: Column) -> DataFrame:
+    """hand: how far a cell is above the nearest drainage cell, however far that is, not under 0; of equally near ones, the lowest. NULL if there is none.
+
+    A distance transform in two passes: along each row the nearest drainage cell on either side, by running lasts; then along each column the least
+    sum of squares. The second pass widens ring by ring, and only for cells that a nearer row might still improve, so near drainage costs few rounds.
+    """
+    drained = px.where(is_drainage).select(*CELL, F.struct(F.col("col").alias("c"), F.col(elev).cast("double").alias("e")).alias("s_"))
+    edge = px.agg(F.min("col").alias("lo_"), F.max("col").alias("hi_"))
+    whole = drained.select("row").distinct().crossJoin(F.broadcast(edge)).select("row", F.explode(F.sequence("lo_", "hi_")).alias("col"))  # cells that px lacks pass drainage on too
+    sides = around(whole.join(drained, CELL, "left"), ["row"], "s_", "col", 512.0)
+    best = F.array_min(F.filter(F.array(*[F.struct(F.pow(F.col("col") - F.col(f"{x}.c"), 2).alias("d"), F.col(f"{x}.e").alias("e")) for x in ("before_", "after_")]), lambda x: x["d"].isNotNull()))
+    known = stash(sides.select(*CELL, best.alias("own")))  # of each cell of a row with drainage, the nearest of its row: squared distance and elevation
+    if known.isEmpty():
+        return px.withColumn("hand", F.lit(None).cast("double"))
+    span = px.agg(F.max("row") - F.min("row")).first()[0]
+    done, lo, width = px.select(*CELL).join(known, CELL, "left").withColumnRenamed("own", "n_"), 1, 2
+    while lo <= span:
+        hi = min(span, lo + width - 1)
+        reach = F.array(*[F.lit(k) for k in range(lo, hi + 1)])
+        open_ = done.where(F.col("n_").isNull() | (F.col("n_.d") >= float(lo * lo)))  # a row lo away may be as near
+        if open_.isEmpty():
+            break
+        asks = open_.select("row", "col", F.explode(F.array_union(reach, F.transform(reach, lambda k: -k))).alias("k"))
+        asks = asks.select("row", "col", (F.col("row") + F.col("k")).alias("other"), F.pow("k", 2).alias("k2"))
+        met = asks.join(known.select(F.col("row").alias("other"), "col", "own"), ["other", "col"])
+        nearer = met.groupBy("row", "col").agg(F.min(F.struct((F.col("own.d") + F.col("k2")).alias("d"), F.col("own.e").alias("e"))).alias("m_"))
+        done = done.join(nearer, CELL, "left").select(*CELL, F.when(F.col("m_").isNull() | (F.col("n_") <= F.col("m_")), F.col("n_")).otherwise(F.col("m_")).alias("n_"))
+        done, lo, width = stash(done), hi + 1, min(64, 2 * width)
+    return px.join(done, CELL, "left").withColumn("hand", F.when(F.col("n_").isNotNull(), F.greatest(F.lit(0.0), F.col(elev) - F.col("n_.e")))).drop("n_")
 
 
 def zones(px: DataFrame, value: str, n: int) -> DataFrame:
@@ -92,12 +117,9 @@ def apply_to_tiles(tiled: DataFrame, f: Callable, schema: StructType | str) -> D
 
 def gap_fillers(primary: DataFrame, fillers: DataFrame, keys: list[str], most: float, at: str = "hours") -> DataFrame:
     """Fillers strictly inside the primary series' gaps of over most hours: both series' instants run as one, each filler between its neighbours."""
-    from pyspark.sql import Window
-
     both = primary.select(*keys, at, F.lit(None).cast("long").alias("filler"), F.col(at).alias("p_")).unionByName(fillers.select(*keys, at, F.col("id").cast("long").alias("filler"), F.lit(None).cast("double").alias("p_")))
-    w = Window.partitionBy(*keys).orderBy(at)
-    both = both.withColumn("b_", F.last("p_", True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("a_", F.first("p_", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
-    return both.where(F.col("filler").isNotNull() & (F.col("a_") - F.col("b_") > most) & (F.col(at) > F.col("b_")) & (F.col(at) < F.col("a_"))).select(*keys, F.col("filler").alias("id"), at)
+    both = around(both, keys, "p_", at)
+    return both.where(F.col("filler").isNotNull() & (F.col("after_") - F.col("before_") > most) & (F.col(at) > F.col("before_")) & (F.col(at) < F.col("after_"))).select(*keys, F.col("filler").alias("id"), at)
 
 
 def tagged(products: DataFrame, tags: list[str], every: bool) -> DataFrame:

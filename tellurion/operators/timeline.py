@@ -1,7 +1,6 @@
 """Series in time: bins, resampling, as-of lookups, gaps, runs and checks.
 
-Windows are partitioned by the series' keys, never global. A lookup across two series is one union and one running last or first over the keys, which
-shuffles each row once and joins nothing. Instants are hours as double (column hours) beside the timestamp.
+Windows are partitioned by the series' keys, never global. A lookup across two series is one union and running lasts over stretches of the keys' time. Instants are hours as double (column hours) beside the timestamp.
 """
 
 from __future__ import annotations
@@ -40,18 +39,37 @@ def calendar_bins(df: DataFrame, keys: list[str], unit: str, value: str = "value
     return df.groupBy(*keys, F.date_trunc(unit, at).cast("timestamp_ntz").alias("start")).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def as_of(targets: DataFrame, samples: DataFrame, keys: list[str], at: str = "hours", value: str = "value") -> DataFrame:
+#: A series is dealt to tasks by stretches of so many hours.
+STRETCH_HOURS = 24.0
+
+
+def around(rows: DataFrame, keys: list[str], sample: str, at: str = "hours", stretch: float = STRETCH_HOURS) -> DataFrame:
+    """rows with before_ and after_: the sample (a column that orders by time, NULL in rows without one) last at or before each row, first at or after it.
+
+    Keys are split into stretches of time, so a key with most of the rows is many groups; frames only grow, one over rising and one over falling time. What
+    a row's stretch lacks comes from the stretches around it, of which a window over one row a stretch keeps account.
+    """
+    cut = rows.withColumn("stretch_", F.floor(F.col(at) / stretch))
+    up, down = (Window.partitionBy(*keys, "stretch_").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc(at), F.desc(at)))
+    own = cut.withColumn("before_", F.last(sample, True).over(up)).withColumn("after_", F.last(sample, True).over(down))
+    edges = cut.groupBy(*keys, "stretch_").agg(F.min(sample).alias("low_"), F.max(sample).alias("high_"))
+    past, future = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("stretch_"), F.desc("stretch_")))
+    edges = edges.select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("stretch_").alias("stretch__"), F.last("high_", True).over(past).alias("past_"), F.last("low_", True).over(future).alias("future_"))
+    same = F.col("stretch_") == F.col("stretch__")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
+    out = own.join(edges, same, "left").withColumn("before_", F.coalesce("before_", "past_")).withColumn("after_", F.coalesce("after_", "future_"))
+    return out.drop("stretch_", "stretch__", "past_", "future_", *[f"{k}__" for k in keys])
+
+
+def as_of(targets: DataFrame, samples: DataFrame, keys: list[str], at: str = "hours", value: str = "value", stretch: float = STRETCH_HOURS) -> DataFrame:
     """Each target's last sample at or before it and first at or after it: before_at, before_value, after_at, after_value."""
     pack = F.struct(F.col(at).alias("at"), F.col(value).alias("v"))
     names = [c for c in targets.columns if c not in (*keys, at)]
     left = targets.select(*keys, at, F.struct(*[F.col(c) for c in names], F.lit(1).alias("is_target")).alias("t_"), F.lit(None).cast(samples.select(pack.alias("s")).schema["s"].dataType).alias("s_"))
     right = samples.select(*keys, at, F.lit(None).cast(left.schema["t_"].dataType).alias("t_"), pack.alias("s_"))
-    w = Window.partitionBy(*keys).orderBy(at)
-    both = left.unionByName(right)
-    # peers at one instant count for both sides
-    both = both.withColumn("b_", F.last("s_", True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("a_", F.first("s_", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
-    both = both.where("t_ is not null")
-    return both.select(*keys, at, *[F.col(f"t_.{c}").alias(c) for c in names], F.col("b_.at").alias("before_at"), F.col("b_.v").alias("before_value"), F.col("a_.at").alias("after_at"), F.col("a_.v").alias("after_value"))
+    both = around(left.unionByName(right), keys, "s_", at, stretch).where("t_ is not null")  # peers at one instant count for both sides
+    return both.select(*keys, at, *[F.col(f"t_.{c}").alias(c) for c in names], F.col("before_.at").alias("before_at"), F.col("before_.v").alias("before_value"), F.col("after_.at").alias("after_at"), F.col("after_.v").alias("after_value"))
 
 
 def interpolate(found: DataFrame, at: str = "hours", method: str = "linear", max_gap: float | None = None) -> DataFrame:

@@ -33,9 +33,9 @@ def burned_area_classifier(spark, d):
     return composite.burned_classes(px, list(_FE), label).select(*CELL, r("probability", F.col("probability"), 5), "burned")
 
 
-@query("with n as (select a.row, a.col, a.elev, b.elev as e, row_number() over (partition by a.row, a.col order by power(a.row - b.row, 2) + power(a.col - b.col, 2), b.elev) as rn from px_static a join px_static b on b.elev <= 5 and abs(a.row - b.row) <= 3 and abs(a.col - b.col) <= 3) select row, col, greatest(0, elev - e)::double as hand from n where rn = 1", "px_static")
+@query("with n as (select a.row, a.col, a.elev, b.elev as e, row_number() over (partition by a.row, a.col order by power(a.row - b.row, 2) + power(a.col - b.col, 2), b.elev) as rn from px_static a join px_static b on b.elev <= 5) select row, col, greatest(0, elev - e)::double as hand from n where rn = 1", "px_static")
 def height_above_drainage(spark, d):
-    return composite.height_above_drainage(px_static(spark, d), "elev", F.col("elev") <= 5).where("hand is not null").select(*CELL, "hand")
+    return composite.height_above_drainage(px_static(spark, d), "elev", F.col("elev") <= 5).select(*CELL, "hand")
 
 
 @query("with q as (select quantile_cont(elev, [0.25, 0.5, 0.75]) as q from px_static) select len(list_filter(q, lambda x: x <= elev))::int as zone, count(*) as n, round(avg(elev), 6) as mean, round(stddev_pop(elev), 6) as std, min(elev) as min, max(elev) as max from px_static cross join q group by 1", "px_static")

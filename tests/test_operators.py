@@ -1,11 +1,13 @@
 """Edge cases of the engine's operators: NULL cells, ties, empty tables, wrong names, cycles."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tellurion.functions import geodesy, spectral
 from tellurion.functions.base import clip, normal_cdf, ratio
-from tellurion.operators import detect, focal, fuse, graph, stats, timeline
+from tellurion.operators import composite, detect, focal, fuse, graph, stats, timeline
 from tellurion.sources import catalog as sources
 from tellurion.streaming import windows
 
@@ -154,3 +156,30 @@ def test_stream_and_batch_agree(spark, tmp_path):
     q.awaitTermination()
     cut = lambda df: sorted((str(r["start"]), r["event_type"], r["n"]) for r in df.collect())
     assert cut(spark.table("tumbled")) == cut(run(events))
+
+
+def test_drainage_is_found_however_far_and_across_missing_cells(spark):
+    rng = random.Random(3)
+    cells = {(r, c): float(rng.randrange(6, 60)) for r in range(23) for c in range(31) if rng.random() < 0.7}
+    for far in ((0, 0), (22, 30), (21, 2)):
+        cells[far] = float(rng.randrange(6))
+    px = spark.createDataFrame([(r, c, e) for (r, c), e in cells.items()], "row int, col int, elev double")
+    got = {(r["row"], r["col"]): r["hand"] for r in composite.height_above_drainage(px, "elev", F.col("elev") <= 5).collect()}
+    low = {k: e for k, e in cells.items() if e <= 5}
+    for (r, c), e in cells.items():
+        near = min(((r - a) ** 2 + (c - b) ** 2, x) for (a, b), x in low.items())[1]
+        assert got[r, c] == max(0.0, e - near)
+    assert {r["hand"] for r in composite.height_above_drainage(px, "elev", F.lit(False)).collect()} == {None}
+
+
+def test_as_of_is_the_same_in_any_stretch(spark):
+    rng = random.Random(5)
+    targets = [("a" if i % 3 else None, rng.randrange(400) / 4, i) for i in range(120)]
+    samples = sorted({("a" if rng.random() < 0.8 else None, rng.randrange(400) / 4) for _ in range(60)}, key=str)
+    t = spark.createDataFrame(targets, "k string, hours double, id int")
+    s = spark.createDataFrame([(k, h, float(i)) for i, (k, h) in enumerate(samples)], "k string, hours double, value double")
+    for stretch in (1.0, 24.0, 1e6):
+        for r in timeline.as_of(t, s, ["k"], stretch=stretch).collect():
+            own = [h for k, h in samples if k == r["k"]]
+            assert r["before_at"] == max((h for h in own if h <= r["hours"]), default=None)
+            assert r["after_at"] == min((h for h in own if h >= r["hours"]), default=None)
