@@ -37,22 +37,23 @@ def burned_classes(px: DataFrame, features: list[str], label: Column, positive:
     return out.withColumn("burned", F.coalesce(F.col("probability") >= positive, F.lit(False))).drop("label_", *aggs)
 
 
-def height_above_drainage(px: DataFrame, elev: str, is_drainage: Column) -> DataFrame:
-    """hand: how far a cell is above the nearest drainage cell, however far that is, not under 0; of equally near ones, the lowest. NULL if there is none.
+def nearest(asked: DataFrame, known: DataFrame, value: str) -> DataFrame:
+    """asked's cells with n_: (squared distance d, value e) of the nearest known cell, however far, of equally near ones the least e; NULL if there is none.
 
-    A distance transform in two passes: along each row the nearest drainage cell on either side, by running lasts; then along each column the least
-    sum of squares. The second pass widens ring by ring, and only for cells that a nearer row might still improve, so near drainage costs few rounds.
+    A distance transform in two passes: along each row the nearest known cell on either side, by running lasts; then along each column the least sum of
+    squares. The second pass widens ring by ring, and only for cells that a further row might still improve, so near cells cost few rounds.
     """
-    drained = px.where(is_drainage).select(*CELL, F.struct(F.col("col").alias("c"), F.col(elev).cast("double").alias("e")).alias("s_"))
-    edge = px.agg(F.min("col").alias("lo_"), F.max("col").alias("hi_"))
-    whole = drained.select("row").distinct().crossJoin(F.broadcast(edge)).select("row", F.explode(F.sequence("lo_", "hi_")).alias("col"))  # cells that px lacks pass drainage on too
-    sides = around(whole.join(drained, CELL, "left"), ["row"], "s_", "col", 512.0)
+    cells = asked.select(*CELL).unionByName(known.select(*CELL))
+    edge = cells.agg(F.min("col").alias("lo_"), F.max("col").alias("hi_"))
+    told = known.select(*CELL, F.struct(F.col("col").alias("c"), F.col(value).alias("e")).alias("s_"))
+    whole = told.select("row").distinct().crossJoin(F.broadcast(edge)).select("row", F.explode(F.sequence("lo_", "hi_")).alias("col"))  # cells that aren't there pass on too
+    sides = around(whole.join(told, CELL, "left"), ["row"], "s_", "col", 512.0)
     best = F.array_min(F.filter(F.array(*[F.struct(F.pow(F.col("col") - F.col(f"{x}.c"), 2).alias("d"), F.col(f"{x}.e").alias("e")) for x in ("before_", "after_")]), lambda x: x["d"].isNotNull()))
-    known = stash(sides.select(*CELL, best.alias("own")))  # of each cell of a row with drainage, the nearest of its row: squared distance and elevation
-    if known.isEmpty():
-        return px.withColumn("hand", F.lit(None).cast("double"))
-    span = px.agg(F.max("row") - F.min("row")).first()[0]
-    done, lo, width = px.select(*CELL).join(known, CELL, "left").withColumnRenamed("own", "n_"), 1, 2
+    own = stash(sides.select(*CELL, best.alias("own")))  # of each cell of a row with known cells, the nearest of its row
+    done, lo, width = asked.select(*CELL).join(own, CELL, "left").withColumnRenamed("own", "n_"), 1, 2
+    if own.isEmpty():
+        return done
+    span = cells.agg(F.max("row") - F.min("row")).first()[0]
     while lo <= span:
         hi = min(span, lo + width - 1)
         reach = F.array(*[F.lit(k) for k in range(lo, hi + 1)])
@@ -61,11 +62,17 @@ def height_above_drainage(px: DataFrame, elev: str, is_drainage: Column) -> Data
             break
         asks = open_.select("row", "col", F.explode(F.array_union(reach, F.transform(reach, lambda k: -k))).alias("k"))
         asks = asks.select("row", "col", (F.col("row") + F.col("k")).alias("other"), F.pow("k", 2).alias("k2"))
-        met = asks.join(known.select(F.col("row").alias("other"), "col", "own"), ["other", "col"])
+        met = asks.join(own.select(F.col("row").alias("other"), "col", "own"), ["other", "col"])
         nearer = met.groupBy("row", "col").agg(F.min(F.struct((F.col("own.d") + F.col("k2")).alias("d"), F.col("own.e").alias("e"))).alias("m_"))
         done = done.join(nearer, CELL, "left").select(*CELL, F.when(F.col("m_").isNull() | (F.col("n_") <= F.col("m_")), F.col("n_")).otherwise(F.col("m_")).alias("n_"))
         done, lo, width = stash(done), hi + 1, min(64, 2 * width)
-    return px.join(done, CELL, "left").withColumn("hand", F.when(F.col("n_").isNotNull(), F.greatest(F.lit(0.0), F.col(elev) - F.col("n_.e")))).drop("n_")
+    return done
+
+
+def height_above_drainage(px: DataFrame, elev: str, is_drainage: Column) -> DataFrame:
+    """hand: how far a cell is above the nearest drainage cell, however far that is, not under 0; of equally near ones, the lowest. NULL if there is none."""
+    near = nearest(px, px.where(is_drainage).select(*CELL, F.col(elev).cast("double").alias("e_")), "e_")
+    return px.join(near, CELL, "left").withColumn("hand", F.when(F.col("n_").isNotNull(), F.greatest(F.lit(0.0), F.col(elev) - F.col("n_.e")))).drop("n_")
 
 
 def zones(px: DataFrame, value: str, n: int) -> DataFrame:

@@ -61,3 +61,40 @@ def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
         if i % 4 == 0:  # one table, so that the plan doesn't grow with the distance
             seen = stash(seen)
     return seen if seen is not None else front.withColumn("distance", F.lit(0))
+
+
+def critical_path(edges: DataFrame, nodes: DataFrame, depth: int = 50) -> DataFrame:
+    """(node, distance, place) of the longest path by the nodes' cost (node, cost), place 0 its end; of equally long ones the smallest nodes.
+
+    Levels are settled one after another, so each node's distance is final when it is passed on; the path is then followed back, a row at a time.
+    """
+    order = levels(edges, depth)
+    placed = stash(nodes.join(order, "node", "left").select("node", "cost", F.coalesce("level", F.lit(0)).alias("level")))
+    top = placed.agg(F.max("level")).first()[0] or 0
+    done = stash(placed.where("level = 0").select("node", F.col("cost").alias("distance"), F.lit(None).cast("long").alias("via")))
+    for i in range(1, top + 1):
+        mine = placed.where(F.col("level") == i)
+        into = mine.join(edges, mine["node"] == edges["v"]).select("node", "cost", "u").join(done.select(F.col("node").alias("u"), "distance"), "u")
+        best = into.groupBy("node", "cost").agg(F.max(F.struct("distance", (-F.col("u")).alias("m"))).alias("b"))
+        done = done.unionByName(best.select("node", (F.col("cost") + F.col("b.distance")).alias("distance"), (-F.col("b.m")).alias("via")))
+        if i % 4 == 0:
+            done = stash(done)
+    done = stash(done)
+    at = done.orderBy(F.desc("distance"), "node").first()
+    path = []
+    while at is not None:  # no longer than depth
+        path.append((at["node"], at["distance"], len(path)))
+        at = done.where(F.col("node") == at["via"]).first() if at["via"] is not None else None
+    return edges.sparkSession.createDataFrame(path, "node long, distance double, place int")
+
+
+def fingerprint(edges: DataFrame) -> DataFrame:
+    """One row: n and a hash of a graph's edges that no order of theirs bears on; edges are hashed one by one and summed, so none are gathered."""
+    part = lambda i: F.conv(F.substring(F.sha2(F.concat_ws(">", F.col("u").cast("string"), F.col("v").cast("string")), 256), 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")
+    return edges.distinct().agg(F.count("*").alias("n"), F.sha2(F.concat_ws(",", *[F.sum(part(i)).cast("string") for i in range(4)]), 256).alias("hash"))
+
+
+def delete_with_dependents(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes (node) less the roots and all that depends on them."""
+    gone = descendants(edges, roots).select("node").union(roots.select("node")).distinct()
+    return nodes.join(gone, "node", "left_anti")

@@ -11,7 +11,7 @@ from .fixtures import CTES
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("detection", "fusion", "statistics", "temporal", "catalog", "spatial", "quality", "forecast", "streams", "composites", "selection", "validation")
+_MODULES = ("detection", "fusion", "statistics", "temporal", "catalog", "spatial", "quality", "forecast", "streams", "composites", "selection", "validation", "grids")
 
 
 def query(sql: str | None = None, views: str = ""):
