@@ -52,3 +52,20 @@ def normal_cdf(z: Column) -> Column:
     poly = t * (b[0] + t * (b[1] + t * (b[2] + t * (b[3] + t * b[4]))))
     tail = F.exp(-z * z / 2) * 0.3989422804014327 * poly
     return F.when(z.isNull(), None).when(z >= 0, 1 - tail).otherwise(tail)
+
+
+def normal_cdf_sql(z: str) -> str:
+    """The same in SQL."""
+    t = f"(1 / (1 + 0.2316419::double * abs({z})))"
+    poly = f"{t} * (0.319381530::double + {t} * (-0.356563782::double + {t} * (1.781477937::double + {t} * (-1.821255978::double + {t} * 1.330274429::double))))"
+    tail = f"(exp(-({z}) * ({z}) / 2) * 0.3989422804014327::double * {poly})"
+    return f"(case when ({z}) >= 0 then 1 - {tail} else {tail} end)"
+
+
+def uniform(*keys: Column) -> Column:
+    """A draw from [0, 1) that the keys alone decide: 32 bits of a digest of their texts, so a task that runs again draws alike."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in keys]).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def uniform_sql(*keys: str) -> str:
+    return f"(('0x' || left(md5(concat_ws('|', {', '.join(keys)})), 8))::bigint / 4294967296.0::double)"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import normal_cdf, ratio
+from .base import normal_cdf, ratio, uniform
 
 
 def add(sa: Column, sb: Column, rho: float = 0.0, sign: int = 1) -> Column:
@@ -60,3 +60,8 @@ def exceedance(x: Column, s: Column, threshold: float) -> Column:
 
 def interpolation(before: Column, after: Column, fraction: Column) -> Column:
     return 2 * F.abs(fraction - 0.5) * F.abs(after - before) * 0.5
+
+
+def normal_draw(*keys: Column) -> Column:
+    """A draw from the standard normal distribution that the keys alone decide (Box and Muller)."""
+    return F.sqrt(-2 * F.log(1 - uniform(*keys, F.lit(1)))) * F.cos(2 * F.pi() * uniform(*keys, F.lit(2)))

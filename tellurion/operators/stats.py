@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellurion.functions.base import uniform
+
 from .zonal import with_group_totals, with_totals
 
 PERCENTILES = (2, 5, 25, 50, 75, 95, 98)
@@ -51,10 +53,10 @@ def sample_metrics(df: DataFrame, keys: list[str], value: str = "value") -> Data
     return j.select(*keys, "n", "mean", "std", se.alias("se"), F.when(F.col("mean") != 0, F.col("std") / F.abs(F.col("mean"))).alias("cv"), skew.alias("skewness"), kurt.alias("kurtosis"), (F.col("q3") - F.col("q1")).alias("iqr"), *[(F.col("mean") + s * zz * se).alias(f"{side}{k}") for k, zz in z.items() for side, s in (("low", -1), ("high", 1))])
 
 
-def bootstrap(df: DataFrame, keys: list[str], statistic: Column, value: str = "value", resamples: int = 200, low: float = 0.025, high: float = 0.975, seed: int = 1) -> DataFrame:
-    """Percentile interval of a statistic of value. Each row takes part in a resample as often as a Poisson draw of its hash says, so a resample is one
+def bootstrap(df: DataFrame, keys: list[str], statistic: Column, value: str = "value", resamples: int = 200, low: float = 0.025, high: float = 0.975, seed: int = 1, names: list[str] | None = None) -> DataFrame:
+    """Percentile interval of a statistic of value. Each row takes part in a resample as often as a Poisson draw of a digest of it (or of names) says, so a resample is one
     conditional aggregate and rows aren't copied per resample beyond that."""
-    u = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns], F.col("draw_"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = uniform(*[F.col(c) for c in (names or df.columns)], F.col("draw_"), F.lit(seed))
     # Poisson(1) by its distribution function; fixed values
     times = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).otherwise(5)
     drawn = df.withColumn("draw_", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("times_", times).where("times_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_"))))

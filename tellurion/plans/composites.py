@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tellurion.functions import spectral as S
-from tellurion.functions.base import normal_cdf, rounded
+from tellurion.functions.base import normal_cdf, normal_cdf_sql, rounded
 from tellurion.operators import composite, focal, fuse
 
 from .fixtures import candidates, px_bands, px_layers, px_pre_post, px_static, px_votes, series, table
@@ -100,9 +100,9 @@ def search_tags(spark, d):
     return composite.tagged(t, ["sar", "open"], False).join(every, "dataset_id", "left").select("dataset_id", F.coalesce("e", F.lit(False)).alias("every"))
 
 
-@query(None)
+@query(f"with m as (select avg(post) as mu, stddev_pop(post) as sd from px_pre_post where post is not null), z as (select row, col, abs((post - mu) / sd) as z from px_pre_post cross join m where post is not null), p as (select row, col, 1 - {normal_cdf_sql('z')} as p from z) select row, col, round(case when p > 0 then least(10000, 1 / (p * 12)) else 10000 end, 3) as years from p", "px_pre_post")
 def return_periods(spark, d):
-    """Years between values as far out as each cell's, with 12 values a year; DuckDB has no normal distribution function."""
+    """Years between values as far out as each cell's, with 12 values a year."""
     from tellurion.operators.zonal import z_scores
 
     z = z_scores(px_pre_post(spark, d).where("post is not null"), "post")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tellurion.functions import spectral as S
 from tellurion.functions import uncertainty as U
-from tellurion.functions.base import clip, rounded
+from tellurion.functions.base import clip, normal_cdf_sql, rounded, uniform_sql
 from tellurion.operators import correct, detect
 
 from .fixtures import px_bands, px_layers, px_pre_post, px_static
@@ -231,16 +231,19 @@ def aggregate_uncertainty(spark, d):
     return px_layers(spark, d).groupBy(*CELL).agg(r("geometric", F.exp(F.avg(F.log(v)))), r("harmonic", F.count("*") / F.sum(1 / v)), r("median_uncertainty", 1.253 * 0.1 * F.avg(v) / F.sqrt(F.count("*"))))
 
 
-@query(None)
+@query(f"select row, col, round({normal_cdf_sql('-((25 - post) / (0.1::double * post))')}, 6) + 0.0 as p, round(abs((sin(post + 0.0001::double) - sin(post - 0.0001::double)) / 0.0002::double) * 0.1::double * post, 4) + 0.0 as sine from px_pre_post where post is not null", "px_pre_post")
 def exceedance_probability(spark, d):
-    """P(value > 25) of each cell; DuckDB has no normal distribution function."""
+    """P(value > 25) of each cell under a normal error."""
     px = px_pre_post(spark, d).where("post is not null")
     return px.select(*CELL, r("p", U.exceedance(F.col("post"), 0.1 * F.col("post"), 25.0)), r("sine", U.function(F.col("post"), 0.1 * F.col("post"), F.sin), 4))
 
 
-@query(None)
+_DRAW = f"sqrt(-2 * ln(1 - {uniform_sql('row', 'col', 'draw', '1')})) * cos(2 * pi() * {uniform_sql('row', 'col', 'draw', '2')})"
+
+
+@query(f"with d as (select row, col, post, unnest(range(1, 65)) as draw from px_pre_post where post is not null), x as (select row, col, post * (1 + 0.1::double * {_DRAW}) as x from d) select row, col, round(avg(x * x), 5) as mean, round(stddev_samp(x * x), 5) as std from x group by 1, 2", "px_pre_post")
 def monte_carlo(spark, d):
-    """Mean and spread of the square of each cell's value under a normal error, of 64 draws from a seed."""
+    """Mean and spread of the square of each cell's value under a normal error, of 64 draws that the cell and their number decide."""
     px = px_pre_post(spark, d).where("post is not null").select(*CELL, "post").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(64))))
-    x = F.col("post") * (1 + 0.1 * F.randn(7))
-    return px.withColumn("y", x * x).groupBy(*CELL).agg(F.avg("y").alias("mean"), F.stddev("y").alias("std"))
+    x = F.col("post") * (1 + 0.1 * U.normal_draw(F.col("row"), F.col("col"), F.col("draw")))
+    return px.withColumn("y", x * x).groupBy(*CELL).agg(r("mean", F.avg("y"), 5), r("std", F.stddev("y"), 5))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tellurion.functions.base import rounded
+from tellurion.functions.base import rounded, uniform_sql
 from tellurion.operators import stats
 
 from .fixtures import binary_labels, forecast, members, px_layers, px_obs, px_static, series
@@ -53,10 +53,14 @@ def sample_metrics(spark, d):
     return s.select("sensor", "n", *[r(c, F.col(c)) for c in ("mean", "std", "se", "cv", "iqr", "low95", "high99")], r("skewness", F.col("skewness"), 5), r("kurtosis", F.col("kurtosis"), 4))
 
 
-@query(None)
+_TIMES = "case when u < 0.36787944 then 0 when u < 0.73575888 then 1 when u < 0.91969860 then 2 when u < 0.98101184 then 3 when u < 0.99634015 then 4 else 5 end"
+
+
+@query(f"with d as (select sensor, id, value, unnest(range(1, 51)) as draw from series), u as (select sensor, value, draw, {uniform_sql('id', 'draw', '1')} as u from d), t as (select sensor, draw, value, unnest(range({_TIMES})) as k from u), s as (select sensor, draw, median(value) as s from t group by 1, 2) select sensor, round(avg(s), 6) as mean, round(quantile_cont(s, 0.025), 6) as low, round(quantile_cont(s, 0.975), 6) as high from s group by 1", "series")
 def bootstrap_interval(spark, d):
     """Interval of each sensor's median from 50 resamples."""
-    return stats.bootstrap(series(spark, d).select("sensor", "id", "value"), ["sensor"], F.median("value"), resamples=50)
+    b = stats.bootstrap(series(spark, d).select("sensor", "id", "value"), ["sensor"], F.median("value"), resamples=50, names=["id"])
+    return b.select("sensor", r("mean", F.col("mean")), r("low", F.col("low")), r("high", F.col("high")))
 
 
 @query("with s as (select cell, avg(value) as mean, stddev_samp(value) as std, max(value) - min(value) as spread, quantile_cont(value, 0.025) as low, quantile_cont(value, 0.975) as high, avg((value > 0.05)::double) as p from members group by 1) select cell, round(mean, 6) + 0.0 as mean, round(std, 6) as std, round(spread, 6) as spread, round(low, 6) + 0.0 as low, round(high, 6) + 0.0 as high, round(greatest(p, 1 - p), 6) as agreement, round(case when p <= 0 or p >= 1 then 0 else -(p * log2(p) + (1 - p) * log2(1 - p)) end, 6) + 0.0 as entropy from s", "members")
