@@ -162,7 +162,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     runs = stash(runs)
     total = runs.count()
     n = max(1, -(-total // RANGE_ENTRIES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 2000)))
-    picked = runs.where(F.pmod(F.xxhash64("archive", "record_offset"), F.lit(max(1, total // (40 * n)))) == 0).select(*_ENTRY.names[:6]).collect()
+    picked = runs.where(F.pmod(F.xxhash64("archive", "record_offset"), F.lit(max(1, total // (12 * n)))) == 0).select(*_ENTRY.names[:6]).collect()
     keys = sorted(_order(tuple(r)) for r in picked)
     bounds = [keys[len(keys) * i // n] for i in range(1, n)] if len(keys) >= n else keys
 

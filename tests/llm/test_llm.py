@@ -252,6 +252,31 @@ def test_join_is_exact_on_a_chain_of_near_copies(spark, monkeypatch, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got} == {i: (*want[i], links[i]) for i in want}
 
 
+@pytest.mark.parametrize("cells", [4, 20])
+def test_join_is_exact_whatever_the_order(spark, monkeypatch, cells):
+    monkeypatch.setattr(ngram_join, "LEAST_CELL_BITS", cells)
+    monkeypatch.setattr(ngram_join, "MOST_CELL_BITS", max(6, cells))
+    rng = random.Random(15)
+    shared = prose(30, rng)  # a passage that every document has
+    rows = []
+    for i in range(60):
+        own = prose(60, rng).split()
+        rows += [(10 * i, shared + " " + " ".join(own)), (10 * i + 1, shared + " " + " ".join(own[:-1] + ["x"])), (10 * i + 2, " ".join(own[:30]) + " " + shared)]
+    want, links = brute_components(rows, 4, 85)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got} == {i: (*want[i], links[i]) for i in want}
+
+
+def test_fragments_of_the_order_hold_alike_many_grams():
+    rng = np.random.default_rng(1)
+    table = np.minimum(255, 1 + 8 * np.log2(1 + rng.pareto(1.0, 1 << 16))).astype(np.uint8)
+    bounds = ngram_join.order_bounds(table)
+    weight = 2.0 ** ((table - 1) / 8)
+    place = np.searchsorted(bounds, table.astype(np.uint64) << np.uint64(56) | rng.integers(0, 1 << 56, len(table)).astype(np.uint64))
+    share = np.bincount(place, weight, minlength=ngram_join.FRAGMENTS) / weight.sum()
+    assert len(share) == ngram_join.FRAGMENTS and share.max() < 0.4 and share.min() > 0.1
+
+
 def test_join_of_nothing(none):
     assert ngram_join.join(none).count() == 0
 
