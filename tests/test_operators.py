@@ -183,3 +183,16 @@ def test_as_of_is_the_same_in_any_stretch(spark):
             own = [h for k, h in samples if k == r["k"]]
             assert r["before_at"] == max((h for h in own if h <= r["hours"]), default=None)
             assert r["after_at"] == min((h for h in own if h >= r["hours"]), default=None)
+
+
+def test_tables_of_steps_are_discarded(spark):
+    import os
+
+    from tellurion.sources import shared
+
+    a = shared.stash(spark.range(5))
+    path = shared._paths[a]
+    assert a.count() == 5 and os.path.isdir(path)
+    shared.discard(a)
+    shared.discard(a)  # once is enough
+    assert not os.path.exists(path)
