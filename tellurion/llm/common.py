@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurion.sources.shared import stash
+from tellurion.sources.shared import discard, stash
 
 U64 = np.uint64
 _P = 0xD6E8FEB86659FD93  # odd, so that its powers can be divided out modulo 2**64
@@ -393,7 +393,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = stash(small)
+        last, edges = edges, stash(small)
+        discard(last)
         after = mark(edges)
         if after == before:
             break
