@@ -123,11 +123,11 @@ def radiometric_score(spark, d):
 _SEV = "case when max(value) - min(value) > 40 then 'critical' when max(value) - min(value) > 30 then 'high' when max(value) - min(value) > 20 then 'medium' when max(value) - min(value) > 10 then 'low' else 'none' end"
 
 
-@query(f"with g as (select row, col, avg(confidence) as c, {_SEV} as severity from px_layers group by 1, 2) select row, col, severity, round(c * case severity when 'critical' then 0.3::double when 'high' then 0.6::double when 'medium' then 0.8::double when 'low' then 0.95::double else 1 end, 6) as confidence from g", "px_layers")
+@query(f"with g as (select row, col, avg(confidence) as c, {_SEV} as severity from px_layers group by 1, 2) select row, col, severity, round(c * case severity when 'critical' then 0.3::double when 'high' then 0.6::double when 'medium' then 0.8::double when 'low' then 0.95::double else 1 end, 9) as confidence from g", "px_layers")
 def conflict_confidence(spark, d):
     span = F.max("value") - F.min("value")
     g = px_layers(spark, d).groupBy(*CELL).agg(F.avg("confidence").alias("c"), F.when(span > 40, "critical").when(span > 30, "high").when(span > 20, "medium").when(span > 10, "low").otherwise("none").alias("severity"))
-    return g.select(*CELL, "severity", r("confidence", V.after_conflict(F.col("c"), F.col("severity"))))
+    return g.select(*CELL, "severity", r("confidence", V.after_conflict(F.col("c"), F.col("severity")), 9))
 
 
 @query("select row, col, round(avg(value), 6) as mean, round(sum(value * confidence * confidence) / sum(confidence * confidence), 6) as weighted, round(sum(confidence * confidence * confidence) / sum(confidence * confidence), 6) as weighted_confidence, round(median(value), 6) as median, round(arg_min(value, (-confidence, value)), 6) as surest from px_layers group by 1, 2", "px_layers")
