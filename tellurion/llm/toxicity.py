@@ -65,9 +65,10 @@ def fit_ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, e
             n[x] = nx + g * g
             zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / ALPHA * wb
             nb += g * g
-    w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
-    index = np.flatnonzero(w)
-    return index.astype(np.int32), w[index].astype(np.float32), float(-zb / ((BETA + np.sqrt(nb)) / ALPHA + L2))
+    index = np.flatnonzero(np.abs(z) > L1)  # the others are 0: no array of all weights is made
+    z, n = z[index], n[index]
+    w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
+    return index.astype(np.int32), w.astype(np.float32), float(-zb / ((BETA + np.sqrt(nb)) / ALPHA + L2))
 
 
 def _examples(batches):
