@@ -71,7 +71,7 @@ def neighbours(px: DataFrame, value: str, offsets: list[tuple[int, int]]) -> Dat
     """A row for each cell and neighbour that is there: row, col, value, d_row, d_col, other."""
     shifts = F.array(*[F.struct(F.lit(a).alias("d_row"), F.lit(b).alias("d_col")) for a, b in offsets])
     sent = px.select("row", "col", F.col(value).alias("other"), F.explode(shifts).alias("s")).select((F.col("row") - F.col("s.d_row")).alias("row"), (F.col("col") - F.col("s.d_col")).alias("col"), "s.d_row", "s.d_col", "other")
-    return px.select("row", "col", value).join(sent, ["row", "col"])
+    return px.select("row", "col", value).join(sent.hint("merge"), ["row", "col"])  # Spark takes sent for as small as px, and would broadcast all of it
 
 
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]

@@ -196,3 +196,11 @@ def test_tables_of_steps_are_discarded(spark):
     shared.discard(a)
     shared.discard(a)  # once is enough
     assert not os.path.exists(path)
+
+
+def test_neighbours_are_never_broadcast(spark, tmp_path):
+    """Eight times the cells are no smaller than the table that they come from."""
+    spark.range(400).select((F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20).cast("int").alias("col"), (F.col("id") * 7 % 11).cast("double").alias("elev")).write.parquet(str(tmp_path / "px"))
+    n = focal.neighbours(spark.read.parquet(str(tmp_path / "px")), "elev", focal.EIGHT)
+    assert "Broadcast" not in n._jdf.queryExecution().executedPlan().toString()
+    assert n.count() == 2 * (19 * 20 * 2) + 4 * 19 * 19
