@@ -6,6 +6,8 @@ never detected and count in nothing.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,9 +105,10 @@ def structural_score(brightness: Column, texture: Column, coherence: Column | No
 
 def damage_grade(score: Column, grades: int = 4, low: float = 0.15, high: float = 0.7) -> Column:
     """0 to grades: how many of the evenly spaced thresholds are reached."""
-    out = F.lit(0)
+    out, span = F.lit(0), float(Decimal(str(high)) - Decimal(str(low)))  # 0.55 for 0.7 and 0.15, not a double's 0.5499999999999999
     for i in range(grades):
-        out = out + (score >= low + (high - low) * i / max(1, grades - 1)).cast("int")
+        at = high if i and i == grades - 1 else low + span * i / max(1, grades - 1)
+        out = out + (score >= at).cast("int")
     return F.when(score.isNotNull(), out)
 
 

@@ -1,5 +1,6 @@
 """Edge cases of the engine's operators: NULL cells, ties, empty tables, wrong names, cycles."""
 
+import math
 import random
 
 import pytest
@@ -204,3 +205,10 @@ def test_neighbours_are_never_broadcast(spark, tmp_path):
     n = focal.neighbours(spark.read.parquet(str(tmp_path / "px")), "elev", focal.EIGHT)
     assert "Broadcast" not in n._jdf.queryExecution().executedPlan().toString()
     assert n.count() == 2 * (19 * 20 * 2) + 4 * 19 * 19
+
+
+def test_damage_grades_begin_where_the_sql_says(spark):
+    edges = [0.15, 0.15 + 0.55 / 3, 0.15 + 0.55 * 2 / 3, 0.7]
+    rows = [(x, i + 1) for i, x in enumerate(edges)] + [(math.nextafter(x, 0), i) for i, x in enumerate(edges)]
+    df = spark.createDataFrame(rows, "s double, want int").withColumn("got", detect.damage_grade(F.col("s")))
+    assert [(r["s"], r["got"]) for r in df.collect()] == rows
