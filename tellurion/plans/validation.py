@@ -138,7 +138,7 @@ def combined_layers(spark, d):
 
 @query("with g as (select row, col, avg(value) as first, median(value) as second, avg(confidence) as c, stddev_pop(value) as sd, avg((abs(value - 25) < 12)::int) as agreement from px_layers group by 1, 2) select row, col, round(case when c < 0.96 then second else first end, 6) as value, c < 0.96 as second_taken, round(agreement * c, 6) as confidence, round(sd * (1 - agreement * c), 6) as uncertainty from g", "px_layers")
 def second_choice(spark, d):
-    g = px_layers(spark, d).groupBy(*CELL).agg(F.avg("value").alias("first"), F.median("value").alias("second"), F.avg("confidence").alias("c"), F.stddev_pop("value").alias("sd"), F.avg((F.abs(F.col("value") - 25) < 12).cast("double")).alias("agreement"))
+    g = px_layers(spark, d).groupBy(*CELL).agg(F.avg("value").alias("first"), F.median("value").alias("second"), F.avg(F.col("confidence").cast("decimal(38,20)")).cast("double").alias("c"), F.stddev_pop("value").alias("sd"), F.avg((F.abs(F.col("value") - 25) < 12).cast("double")).alias("agreement"))
     value, taken = V.with_second_choice(F.col("first"), F.col("c"), F.col("second"), 0.96)
     sure = F.col("agreement") * F.col("c")
     return g.select(*CELL, r("value", value), taken.alias("second_taken"), r("confidence", sure), r("uncertainty", F.col("sd") * (1 - sure)))
