@@ -36,21 +36,45 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+_remembered: dict[str, dict] = {}
+
+
+def remembered(module: str) -> dict:
+    """What a worker process remembers from task to task of a module; a tidy task of another module has it forgotten."""
+    return _remembered.setdefault(module, {})
+
+
+def forget_others(module: str) -> None:
+    """Empties what modules other than this one remember in this process: a worker that served one operator may serve another next."""
+    kept = [x for name, x in _remembered.items() if x and name != module]
+    for x in kept:
+        x.clear()
+    if kept:
+        give_back()
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(f):
-    """f, a function over the Arrow batches of a task, giving free memory back when the task ends: idle workers share a machine with busy ones."""
+    """f, a function over the Arrow batches of a task, without what other operators remember in the worker, and giving free memory back when the task
+    ends: idle workers share a machine with busy ones."""
+    module = f.__module__
 
     def run(batches):
+        forget_others(module)  # a function of a module is pickled by name, so this is the worker's own table
         try:
             yield from f(batches)
         finally:
-            import ctypes
-            import gc
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return run
 
@@ -142,7 +166,7 @@ def _inverse(n: int) -> np.uint64:
     return U64(pow(pow(_P, -1, 1 << 64), n, 1 << 64))
 
 
-def sliced(batch, column: str = "text", limit: int = 2 << 20):
+def sliced(batch, column: str = "text", limit: int = 1 << 19):
     """Stretches of a batch with about so many bytes of text, a row at least: what is worked out from texts is held for no more at once."""
     texts = batch.column(column)
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tellurion.sources.shared import new_path
 
-from .common import SPACE, U64, binary, crc_mod, groups, mix, row_of, sliced, stash, text_bytes, word_hashes
+from .common import SPACE, U64, binary, crc_mod, groups, mix, remembered, row_of, sliced, stash, text_bytes, word_hashes
 
 #: The attention starts from about so many training documents, those whose ids hash lowest, and then learns from all of them in ROUNDS rounds, each
 #: document in one; in a round every part of the documents learns by itself, and the parts' weights are averaged.
@@ -34,7 +34,7 @@ EPOCHS, RATE, WINDOWS, LEARN_WINDOWS = 3, 0.02, 256, 256
 #: Ids that a part learns from at a time.
 CHUNK = 400_000
 RUN = 1024
-_encoders: dict[str, Subwords] = {}
+_encoders: dict[str, Subwords] = remembered(__name__)
 
 
 class Subwords:

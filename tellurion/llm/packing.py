@@ -20,7 +20,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import WordTable, sliced, text_bytes, tidy
+from .common import WordTable, remembered, sliced, text_bytes, tidy
 
 CONTEXT = 4096
 TIERS = (512, 1024, 2048, 4096)
@@ -45,7 +45,7 @@ def by_word(vocabulary: dict) -> bool:
     return "Lowercase" in normal and set(normal) <= {"NFC", "Replace", "Lowercase"} and drops and not any(x["lstrip"] or x["rstrip"] for x in vocabulary["added_tokens"])
 
 
-_encoders: dict[tuple[str, int], WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = remembered(__name__)
 
 
 class WordEncoder:
@@ -211,7 +211,7 @@ def pack(documents: DataFrame, tokenizer: str, key: str = "doc_id", context: int
         count, kind = 0, pa.int64()
         for b in batches:
             kind = b.schema.field(key).type
-            for part in sliced(b):
+            for part in sliced(b, limit=2 << 20):
                 keys = part.column(key).to_pylist()
                 ids, at = encoder.encode(part.column("text"))
                 for i, name in enumerate(keys):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import WordTable, sliced, text_bytes
+from .common import WordTable, remembered, sliced, text_bytes
 
 MARK = "▁"
 #: Bytes of words and their ids that a worker process remembers, whatever the words' lengths.
@@ -128,7 +128,7 @@ def _words(text: bytes) -> list[bytes]:
     return text.split(b" ") if text else []
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = remembered(__name__)
 
 
 class Codec:

@@ -17,6 +17,8 @@ BITS = 22
 #: No more labelled documents than this are learnt from, and no more than so many bytes of their features: those whose id hashes lowest.
 TRAIN_ROWS, TRAIN_BYTES = 16_000, 400_000_000
 EPOCHS = 3
+#: Texts whose features are held at a time, in bytes: a byte of text has some 60 bytes of features and keys.
+PART_BYTES = 1 << 18
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.2
 #: (distance of each word from the first) of the features: words, pairs, and pairs that skip one or two words.
 SHAPES = ((0,), (0, 1), (0, 2), (0, 3))
@@ -71,10 +73,20 @@ def fit_ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, e
     return index.astype(np.int32), w.astype(np.float32), float(-zb / ((BETA + np.sqrt(nb)) / ALPHA + L2))
 
 
+def _distinct(key: np.ndarray) -> np.ndarray:
+    """The distinct keys, ascending; key is sorted in place, for which np.unique would take several times its memory."""
+    key.sort()
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return key[new]
+
+
 def _examples(batches):
-    for b in (x for whole in batches for x in sliced(whole)):
-        row, index = features(b.column("text"))
-        key = np.unique(row.astype(np.int64) << 32 | index)
+    for b in (x for whole in batches for x in sliced(whole, limit=PART_BYTES)):
+        key, index = features(b.column("text"))
+        key <<= 32
+        key |= index
+        key = _distinct(key)
         ends = np.searchsorted(key >> 32, np.arange(b.num_rows + 1))
         index = (key & 0xFFFFFFFF).astype(np.int32)
         yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("y"), pa.array([index[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["rank", "y", "x"])
@@ -123,11 +135,11 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], kee
         dense = np.zeros(1 << bits, np.float32)
         at, value = shared.value
         dense[at] = value
-        for b in (x for whole in batches for x in sliced(whole)):
+        for b in (x for whole in batches for x in sliced(whole, limit=PART_BYTES)):
             total = np.full(b.num_rows, bias)
             row, ix = features(b.column("text"))
             hit = np.flatnonzero(dense[ix])
-            key = np.unique(row[hit].astype(np.int64) << bits | ix[hit])
+            key = _distinct(row[hit] << bits | ix[hit])
             np.add.at(total, key >> bits, dense[key & ((1 << bits) - 1)].astype(float))
             p = 1 / (1 + np.exp(-np.clip(total, -700, 700)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])

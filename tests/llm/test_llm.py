@@ -143,6 +143,33 @@ def test_toxicity_learns_from_no_more_than_it_may_hold(spark):
     assert toxicity.score(d, one, ["doc_id"]).count() == 60
 
 
+def test_toxicity_holds_the_features_of_little_text_at_once():
+    import tracemalloc
+
+    rng = random.Random(3)
+    texts = [prose(400, rng) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array([0] * 1500, pa.int32()), pa.array(texts)], names=["rank", "y", "text"])
+    tracemalloc.start()
+    rows = [x for b in toxicity._examples([batch]) for x in b.column("x").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1] - sum(map(len, rows))
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    for text, x in zip(texts[::100], rows[::100], strict=True):
+        assert np.array_equal(np.frombuffer(x, np.int32), np.unique(toxicity.features(pa.array([text]))[1]))
+
+
+def test_a_worker_forgets_what_other_operators_remember():
+    own, other = common.remembered("tests.own"), common.remembered("tests.other")
+    own["a"] = other["a"] = packing._encoders["a", 1] = 1
+
+    def f(batches):
+        yield from batches
+
+    f.__module__ = "tests.own"
+    assert list(common.tidy(f)([1, 2])) == [1, 2]
+    assert own and not other and not packing._encoders and packing._encoders is common.remembered(packing.__name__)
+
+
 # ---------------------------------------------------------------- 2 sentencepiece
 
 
