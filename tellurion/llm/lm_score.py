@@ -174,9 +174,8 @@ class Model:
         return rows, target, doc
 
     def _mask(self) -> np.ndarray:
-        """Added to scores: the bias of the distance, and nothing beyond SPAN or ahead."""
-        back = np.arange(STRIDE)[:, None] + SPAN - np.arange(SPAN + STRIDE)[None, :]
-        return np.where((back >= 0) & (back <= SPAN), self.p["d"][np.clip(back, 0, SPAN)], -1e4).astype(self.p["d"].dtype)
+        """Added to scores of a block: the bias of the distance, and nothing beyond SPAN or ahead."""
+        return np.where((_BACK >= 0) & (_BACK <= SPAN), self.p["d"][np.clip(_BACK, 0, SPAN)], -1e4).astype(self.p["d"].dtype)
 
     def _most(self) -> float:
         """No score of attention is larger."""
@@ -184,24 +183,28 @@ class Model:
         return length(self.p["q"]) * length(self.p["k"]) * DIM**-0.5 + float(self.p["d"].max())
 
     def _attend(self, rows, grad: bool = False, cap: bool = True):
-        """What each place has from itself and what it attends to: (rows, h, and what the gradient needs)."""
+        """What each place has from itself and what it attends to: (rows, h, and what the gradient needs). Blocks of SPAN places attend to twice SPAN."""
         p = self.p
         here = rows[:, SPAN:]
-        q, k, v = p["q"][here] * np.float32(DIM**-0.5), p["k"][rows], p["v"][rows]
-        a = np.matmul(q, k.transpose(0, 2, 1))
+        q, k, v = p["q"].take(here, axis=0), p["k"].take(rows, axis=0), p["v"].take(rows, axis=0)
+        q *= np.float32(DIM**-0.5)
+        q, k, v = q.reshape(len(rows), -1, SPAN, DIM), _blocks(k), _blocks(v)
+        a = np.matmul(q, k.transpose(0, 1, 3, 2))
         a += self._mask()
         start = np.flatnonzero(rows[:, SPAN - 1] == self.pad)  # windows at the begin of a text have nothing before them; what is behind one is masked
-        a[start] += np.where(rows[start] == self.pad, np.float32(-1e4), np.float32(0))[:, None, :]
+        a[start, 0] += np.where(rows[start, : 2 * SPAN] == self.pad, np.float32(-1e4), np.float32(0))[:, None, :]
         if grad or cap:
             np.minimum(a, 30, out=a)
         np.exp(a, out=a)
-        total = (a.reshape(-1, SPAN + STRIDE) @ np.ones(SPAN + STRIDE, a.dtype) + a.dtype.type(1e-9)).reshape(len(a), STRIDE, 1)
+        total = (a.reshape(-1, 2 * SPAN) @ np.ones(2 * SPAN, a.dtype) + a.dtype.type(1e-9)).reshape(*a.shape[:-1], 1)
+        np.reciprocal(total, out=total)
         h = np.matmul(a, v)
-        h /= total
-        h += p["x"][here]
+        h *= total
+        h = h.reshape(-1, DIM)
+        h += p["x"].take(here.reshape(-1), axis=0)
         if grad:
-            a /= total
-        return here, q, k, v, a, h.reshape(-1, DIM)
+            a *= total
+        return here, q, k, v, a, h
 
     def _sorted(self, target):
         """(order, classes, ends): places with an id to predict, by the group of its class, those classes, and where each group's end."""
@@ -214,14 +217,18 @@ class Model:
     def _logs(self, h, order, kind, ends, grad: bool = False):
         """The natural log-probability of the class at each place of order; with grad, the softmaxes less what was there, of groups and of each group's classes."""
         p = self.p
-        h = h[order]
-        z, top = _softmax(h @ p["go"] + p["gb"], self.group[kind], grad)
+        h = h.take(order, axis=0)
+        z = h @ p["go"]
+        z += p["gb"]
+        z, top = _softmax(z, self.group[kind], grad)
         inner = []
         for g in range(len(self.edges) - 1):
             s, e = ends[g], ends[g + 1]
             a, b = self.edges[g], self.edges[g + 1]
             if e > s and b > a + 1:  # the only class of a group is certain
-                y, own = _softmax(h[s:e] @ p["o"][:, a:b] + p["b"][a:b], kind[s:e] - a, grad)
+                y = h[s:e] @ p["o"][:, a:b]
+                y += p["b"][a:b]
+                y, own = _softmax(y, kind[s:e] - a, grad)
                 top[s:e] += own
                 inner.append((slice(s, e), slice(a, b), y))
         return h, top, z, inner
@@ -256,20 +263,20 @@ class Model:
 
     def _step(self, grad: dict[str, np.ndarray], rate: float, state: dict) -> None:
         state["step"] += 1
-        up, over = 1 - 0.9 ** state["step"], 1 - 0.99 ** state["step"]
+        # the moments are kept 10 and 100 times as large: their means need no product with each gradient
+        size = np.float32((0.01 / (1 - 0.99 ** state["step"])) ** 0.5)
+        pace = np.float32(rate * 0.1 / (1 - 0.9 ** state["step"])) / size
         for k, g in grad.items():
             m, s = state["m"][k], state["s"][k]
-            m *= 0.9
-            m += np.float32(0.1) * g
-            s *= 0.99
+            m *= np.float32(0.9)
+            m += g
+            s *= np.float32(0.99)
             g *= g
-            g *= np.float32(0.01)
             s += g
             np.sqrt(s, out=g)
-            g *= np.float32(over**-0.5)
-            g += np.float32(1e-7)
+            g += np.float32(1e-7) / size
             np.divide(m, g, out=g)
-            g *= np.float32(rate / up)
+            g *= pace
             self.p[k] -= g
         for k in ("b", "gb"):
             np.clip(self.p[k], -20, 20, out=self.p[k])
@@ -291,19 +298,39 @@ class Model:
             ds[at] += y @ p["o"][:, of].T
         dh = np.zeros_like(h)
         dh[order] = ds
-        dh = dh.reshape(*here.shape, DIM)
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        da -= np.einsum("wij,wij->wi", da, w)[:, :, None]
+        part = dh.reshape(q.shape)
+        da = np.matmul(part, v.transpose(0, 1, 3, 2))
+        da -= np.einsum("wbij,wbij->wbi", da, w)[..., None]
         da *= w
-        back = np.clip(np.arange(STRIDE)[:, None] + SPAN - np.arange(SPAN + STRIDE)[None, :], 0, SPAN)
-        g["d"] = np.bincount(back.reshape(-1), da.sum(0).reshape(-1), minlength=SPAN + 1).astype(p["d"].dtype)
-        dq = np.matmul(da, k) * np.float32(DIM**-0.5)
-        dk, dv = np.matmul(da.transpose(0, 2, 1), q), np.matmul(w.transpose(0, 2, 1), dh)
+        g["d"] = np.bincount(np.clip(_BACK, 0, SPAN).reshape(-1), da.sum((0, 1)).reshape(-1), minlength=SPAN + 1).astype(p["d"].dtype)
+        dq = np.matmul(da, k)
+        dq *= np.float32(DIM**-0.5)
+        dk, dv = _folded(np.matmul(da.transpose(0, 1, 3, 2), q)), _folded(np.matmul(w.transpose(0, 1, 3, 2), part))
         g["x"], g["q"] = _by_row(here, len(p["x"]), dh, dq)
         g["k"], g["v"] = _by_row(rows, len(p["k"]), dk, dv)
         return g
 
 
+#: How far back each place that a block attends to is from each place of the block.
+_BACK = np.arange(SPAN)[:, None] + SPAN - np.arange(2 * SPAN)[None, :]
+
+
+def _blocks(x: np.ndarray) -> np.ndarray:
+    """What each block of SPAN places of a window attends to, itself and the SPAN before it, without a copy."""
+    step = x.strides
+    return np.lib.stride_tricks.as_strided(x, (len(x), STRIDE // SPAN, 2 * SPAN, DIM), (step[0], SPAN * step[1], *step[1:]), writeable=False)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """The sums by place of what blocks have for the places that they attend to."""
+    out = np.empty((len(x), SPAN + STRIDE, DIM), x.dtype)
+    out[:, : 2 * SPAN] = x[:, 0]
+    for b in range(1, x.shape[1]):
+        out[:, b * SPAN : (b + 1) * SPAN] += x[:, b, :SPAN]
+        out[:, (b + 1) * SPAN : (b + 2) * SPAN] = x[:, b, SPAN:]
+    return out
+
+
 def _by_row(rows, size: int, *grads) -> list[np.ndarray]:
     """The sum of each gradient's vectors by row."""
     rows = rows.reshape(-1)
@@ -313,7 +340,7 @@ def _by_row(rows, size: int, *grads) -> list[np.ndarray]:
     out = []
     for d in grads:
         total = np.zeros((size, DIM), d.dtype)
-        total[own[first]] = np.add.reduceat(d.reshape(-1, DIM)[order], first, axis=0)
+        total[own[first]] = np.add.reduceat(d.reshape(-1, DIM).take(order, axis=0), first, axis=0)
         out.append(total)
     return out
 

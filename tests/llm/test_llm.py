@@ -692,6 +692,31 @@ def test_scores_are_those_of_attention_place_by_place():
     assert m.score(ids, at) == pytest.approx([naive(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], rel=1e-4)
 
 
+def test_gradients_are_slopes_and_places_meet_twice_the_span():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(1, 9, 700)
+    ids, at = rng.integers(0, 700, 130).astype(np.int32), np.array([0, 5, 75, 130])
+    m = lm_score.Model(counts, np.zeros(0, np.int32), np.zeros(1, np.int64))
+    m.p = {k: v.astype(float) + rng.normal(0, 0.1, v.shape) for k, v in m.p.items()}
+    rows, target, _ = m.windows(ids, at)
+    assert m._attend(rows, True)[4].size == rows.shape[0] * lm_score.STRIDE * 2 * lm_score.SPAN
+
+    def loss():
+        order, kind, ends = m._sorted(target.reshape(-1))
+        return -m._logs(m._attend(rows, True)[-1], order, kind, ends)[1].sum() / len(order)
+
+    for name, g in m._gradient(rows, target).items():
+        flat, some = m.p[name].reshape(-1), np.argsort(-np.abs(g.reshape(-1)))[:12:3]
+        for i in some:
+            was = flat[i]
+            flat[i] = was + 1e-5
+            up = loss()
+            flat[i] = was - 1e-5
+            down = loss()
+            flat[i] = was
+            assert (up - down) / 2e-5 == pytest.approx(g.reshape(-1)[i], rel=1e-3)
+
+
 def test_subwords_of_very_long_runs():
     encoder = lm_score.Subwords.of(RANKS)
     texts = [" " * 5_000_000, "\n" * 3_000_000 + "x", "\t" * 1_000_000, "中" * 300_000, "ab" * 500_000, "", "A plain text,  with spaces"]
