@@ -64,33 +64,48 @@ def _distinct(batches):
             yield np.array(list(out), U64), list(out.values())
 
 
+_BASE, _BASE_2, _BASE_4 = (U64(pow(0x9E3779B97F4A7C15, n, 1 << 64)) for n in (1, 2, 4))
+
+
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the character shingles of each line, A-Z in lower case; a line shorter than a shingle is one."""
+    """(how many each line has, hashes end to end) of the character shingles of each line, A-Z in lower case; a line shorter than a shingle is one."""
     chars = np.frombuffer(b"\n".join(texts).lower().decode("utf-8").encode("utf-32-le"), np.uint32)
-    row = np.cumsum(chars == 10)
-    k = np.zeros(len(chars), U64)
-    for j in range(SHINGLE):
-        k[: len(chars) - j] = k[: len(chars) - j] * U64(0x9E3779B97F4A7C15) + chars[j:] + U64(1)
-    n = len(chars) - SHINGLE + 1
-    whole = (row[:n] == row[SHINGLE - 1 :]) & (chars[:n] != 10) if n > 0 else np.zeros(0, bool)
-    rows, hashes = row[: len(whole)][whole], mix(k[: len(whole)][whole])
-    size = np.bincount(row[chars != 10], minlength=len(texts))
+    ends = np.append(np.flatnonzero(chars == 10), len(chars))
+    size = np.diff(ends, prepend=-1) - 1
+    c = chars.astype(U64)
+    c += U64(1)
+    n = max(0, len(c) - SHINGLE + 1)
+    two = c[:-1] * _BASE  # the polynomial of six characters from those of two
+    two += c[1:]
+    k = two[:n] * _BASE_4
+    k += two[2 : n + 2] * _BASE_2
+    k += two[4 : n + 4]
+    over = (ends[:, None] - np.arange(SHINGLE)[None, :]).ravel()  # what begins here isn't within a line
+    inside = np.ones(n, bool)
+    inside[over[(over >= 0) & (over < n)]] = False
+    hashes, many = mix(k[inside]), np.maximum(size - SHINGLE + 1, 0)
     short = np.flatnonzero(size < SHINGLE)
     if len(short):
         import xxhash
 
-        rows = np.concatenate([rows, short])
-        hashes = np.concatenate([hashes, np.array([xxhash.xxh64_intdigest(texts[i].lower()) for i in short], U64)])
-    return rows, hashes
+        hashes = np.insert(hashes, np.cumsum(many)[short], np.array([xxhash.xxh64_intdigest(texts[i].lower()) for i in short], U64))
+        many[short] = 1
+    return many, hashes
 
 
 def band_keys(texts: list[bytes]) -> np.ndarray:
     """(lines, BANDS) 64-bit keys."""
-    row, h = shingles(texts)
+    many, h = shingles(texts)
     empty = np.uint32(0xFFFFFFFF)
     sig = np.full(len(texts) * _BINS, empty, np.uint32)
-    bins = ((h >> U64(32)) * U64(_BINS) >> U64(32)).astype(np.int64)
-    np.minimum.at(sig, row * _BINS + bins, np.minimum(h & U64(0xFFFFFFFF), U64(0xFFFFFFFE)).astype(np.uint32))
+    low = h.astype(np.uint32)
+    np.minimum(low, np.uint32(0xFFFFFFFE), out=low)
+    h >>= U64(32)
+    h *= U64(_BINS)
+    h >>= U64(32)
+    bins = h.view(np.int64)
+    bins += np.repeat(np.arange(len(texts)) * _BINS, many)
+    np.minimum.at(sig, bins, low)
     sig = sig.reshape(-1, _BINS)
     own, filled = sig, sig.copy()
     rows = np.flatnonzero((sig == empty).any(1))
@@ -193,7 +208,8 @@ def _bitmap(spark, members: DataFrame) -> np.ndarray:
 
 def _shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
     """(keys, sizes, bits): the distinct shingles of all lines as ascending numbers, the line above so many bits of the shingle's hash."""
-    row, h = shingles(texts)
+    many, h = shingles(texts)
+    row = np.repeat(np.arange(len(texts)), many)
     bits = 64 - max(1, (len(texts) - 1).bit_length())
     key = np.sort(row.astype(U64) << U64(bits) | h >> U64(64 - bits))
     key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
@@ -250,7 +266,7 @@ def _few_links(texts: list[bytes], group: np.ndarray, left: np.ndarray) -> tuple
     key, size, bits = _shingle_sets(texts)
     low = 64 - bits  # of the line's place
     row = (key >> U64(bits)).astype(np.int64)
-    key = np.sort(mix(key & U64((1 << bits) - 1) ^ mix(group[row].astype(U64))) >> U64(low) << U64(low) | row.astype(U64))
+    key = np.sort(mix(key & U64((1 << bits) - 1) ^ mix(group.astype(U64))[row]) >> U64(low) << U64(low) | row.astype(U64))
     row, run = (key & U64((1 << low) - 1)).astype(np.int64), key >> U64(low)
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     many = np.diff(np.append(first, len(group)))
@@ -277,7 +293,7 @@ _ROW = "centre long, block int, head boolean, id long, text binary"
 def _star_compare(batches):
     """Links of lines with their group's centre, from rows of _ROW sorted by centre and block, a group's head first."""
     last = None  # the head of the group that goes on in the next rows
-    for b in (x for whole in batches for x in sliced(whole, limit=1 << 20)):
+    for b in (x for whole in batches for x in sliced(whole, limit=1 << 18)):
         centre, block = b.column("centre").to_numpy(), b.column("block").to_numpy()
         ids, texts = b.column("id").to_numpy(), b.column("text").to_pylist()
         head = b.column("head").to_numpy(zero_copy_only=False)
@@ -294,10 +310,10 @@ _PAIR = "bucket long, chunk int, block int, side int, id long, text binary"
 
 
 def _whole(batches):
-    """Tables of whole groups, rows with the same first three columns, of about 1 MB of text or a group."""
+    """Tables of whole groups, rows with the same first three columns, of about 256 KB of text or a group."""
     held: list[pa.RecordBatch] = []
     tail = None  # the group of the last row held
-    for b in (x for whole in batches for x in sliced(whole, limit=1 << 20)):
+    for b in (x for whole in batches for x in sliced(whole, limit=1 << 18)):
         keys = [b.column(i).to_numpy() for i in range(3)]
         before, tail = tail, tuple(k[-1] for k in keys)
         other = np.flatnonzero(np.logical_or.reduce([k != t for k, t in zip(keys, tail, strict=True)]))

@@ -606,6 +606,22 @@ def test_lines_that_resemble_one_before_them_go(spark, docs, none):
     assert line_dedup.dedup(docs).count() == len(cases()) and line_dedup.dedup(none).count() == 0
 
 
+def test_texts_of_fewer_characters_than_a_shingle(spark):
+    assert [x.tolist() for x in line_dedup._shingle_sets([b"ab"])[:2]][1] == [1] and line_dedup.band_keys([b"ab"]).shape == (1, line_dedup.BANDS)
+    d = spark.createDataFrame([(1, "ab"), (2, " ab\t")], "doc_id long, text string")
+    assert {r["doc_id"]: r["removed_lines"] for r in line_dedup.report(d).collect()} == {1: [], 2: [0]}
+
+
+def test_few_lines_are_compared_with_two_hashes_a_shingle(monkeypatch):
+    rng, done = random.Random(5), []
+    texts = [(prose(12, rng) + " ab").encode() for _ in range(60)]
+    texts = [x for t in texts for x in (t, t + b" c")]
+    monkeypatch.setattr(line_dedup, "mix", lambda h: done.append(len(h)) or common.mix(h))
+    i, j = line_dedup._few_links(texts, np.arange(120) // 4, np.arange(120) % 4 == 0)
+    assert {(a, a + 1) for a in range(0, 120, 4)} <= set(zip(i.tolist(), j.tolist(), strict=True))
+    assert sum(done) < 2.2 * sum(len(t) for t in texts)
+
+
 # ---------------------------------------------------------------- 9 language model
 
 
