@@ -16,6 +16,17 @@ def _cell(key):
     return [F.floor(F.col(key) / 50).cast("int").alias("row"), (F.col(key) % 50).cast("int").alias("col")]
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """With each row's place in its table as at."""
+    place = F.col("_metadata.row_index")
+    return df.withColumn("at", place if len(df.inputFiles()) == 1 else F.struct("_metadata.file_path", place.alias("row_index")))
+
+
+def _in_order(df: DataFrame) -> DataFrame:
+    """A cell's rows together, in the order of at. Sums of doubles depend on their order, so this makes them the same however the table is split."""
+    return df.repartition("row", "col").sortWithinPartitions("row", "col", "at")
+
+
 def px_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of cells by five sources: row, col, source_id, ts, value, quality, confidence."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
@@ -31,7 +42,7 @@ def px_pre_post(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def px_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five reflectances of each cell, NULL where a band is missing."""
-    l = table(spark, sf_dir, "lineitem").select(*_cell("l_partkey"), "l_linenumber", (F.col("l_quantity") / 50).alias("v"))  # noqa: E741
+    l = _in_order(_numbered(table(spark, sf_dir, "lineitem")).select(*_cell("l_partkey"), "l_linenumber", (F.col("l_quantity") / 50).alias("v"), "at"))  # noqa: E741
     return l.groupBy("row", "col").agg(*[F.avg(F.when(F.col("l_linenumber") == i, F.col("v"))).alias(b) for i, b in enumerate(("blue", "green", "red", "nir", "swir"), 1)])
 
 

@@ -221,3 +221,34 @@ def test_second_choice_takes_means_in_no_order(spark, monkeypatch):
     rows = [(0, 0, i, 10.0 * i, 1.0, c) for i, c in enumerate((0.93, 0.95, 0.97, 0.97, 0.98))]
     monkeypatch.setattr(validation, "px_layers", lambda spark, d: spark.createDataFrame(rows, LAYERS).coalesce(1))
     assert not registry.queries()["second_choice"](spark, "").first()["second_taken"]
+
+
+@pytest.fixture(scope="module")
+def split_lineitem(spark, tmp_path_factory):
+    """A table that is read in many splits, with DuckDB on one thread beside it."""
+    import duckdb
+    import pyarrow.parquet as pq
+
+    d = tmp_path_factory.mktemp("split")
+    pq.write_table(pq.read_table("/root/testdata/sf0.001/lineitem.parquet"), d / "lineitem.parquet", row_group_size=250)
+    con = duckdb.connect()
+    con.sql("set threads=1")
+    con.sql(f"create view lineitem as select * from '{d}/lineitem.parquet'")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    yield str(d), con
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@pytest.mark.parametrize("view", ["px_bands"])
+def test_sums_follow_the_order_of_the_file_in_any_splits(spark, split_lineitem, view):
+    from tellurion.plans import fixtures
+
+    d, con = split_lineitem
+    assert fixtures.table(spark, d, "lineitem").rdd.getNumPartitions() > 4
+    df = getattr(fixtures, view)(spark, d)
+    names = [v for v in ("px_obs", "px_layers") if view == "px_layers"] or [view]
+    sql = "with " + ", ".join(f"{v} as ({fixtures.CTES[v][1]})" for v in names) + f" select {', '.join(df.columns)} from {view}"
+    # to the last bit, and each cell's sources in the order that the SQL has them in
+    by_cell = lambda rows: sorted(map(tuple, rows), key=lambda r: r[:2])
+    assert str(by_cell(df.collect())) == str(by_cell(con.sql(sql).fetchall()))
