@@ -27,10 +27,13 @@ def _in_order(df: DataFrame) -> DataFrame:
     return df.repartition("row", "col").sortWithinPartitions("row", "col", "at")
 
 
+def _obs(lineitem: DataFrame, *more: str) -> DataFrame:
+    return lineitem.select(*_cell("l_partkey"), (F.col("l_suppkey") % 5).cast("int").alias("source_id"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("value"), F.when(F.col("l_discount") >= 0.1, 0.0).otherwise(1 - 10 * F.col("l_discount")).alias("quality"), (1 - F.col("l_tax")).alias("confidence"), *more)
+
+
 def px_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of cells by five sources: row, col, source_id, ts, value, quality, confidence."""
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    return l.select(*_cell("l_partkey"), (F.col("l_suppkey") % 5).cast("int").alias("source_id"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("value"), F.when(F.col("l_discount") >= 0.1, 0.0).otherwise(1 - 10 * F.col("l_discount")).alias("quality"), (1 - F.col("l_tax")).alias("confidence"))
+    return _obs(table(spark, sf_dir, "lineitem"))
 
 
 def px_pre_post(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +55,10 @@ def px_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def px_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One value, quality and confidence for each cell and source."""
-    return px_obs(spark, sf_dir).groupBy("row", "col", "source_id").agg(F.avg("value").alias("value"), F.avg("quality").alias("quality"), F.avg("confidence").alias("confidence"))
+    """One value, quality and confidence for each cell and source; a cell's sources in the order of their first rows."""
+    obs = _in_order(_obs(_numbered(table(spark, sf_dir, "lineitem")), "at"))
+    layers = obs.groupBy("row", "col", "source_id").agg(F.avg("value").alias("value"), F.avg("quality").alias("quality"), F.avg("confidence").alias("confidence"), F.min("at").alias("at"))
+    return layers.sortWithinPartitions("row", "col", "at").drop("at")
 
 
 def px_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,7 +240,7 @@ def split_lineitem(spark, tmp_path_factory):
     spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
-@pytest.mark.parametrize("view", ["px_bands"])
+@pytest.mark.parametrize("view", ["px_bands", "px_layers"])
 def test_sums_follow_the_order_of_the_file_in_any_splits(spark, split_lineitem, view):
     from tellurion.plans import fixtures
 
