@@ -57,10 +57,10 @@ def majority(votes: DataFrame, value: str = "class") -> DataFrame:
     return counts.groupBy(*CELL).agg(best.alias("b"), F.sum("votes").alias("all")).select(*CELL, F.col("b.value").alias("value"), F.col("b.votes").alias("votes"), (F.col("b.votes") / F.col("all")).alias("confidence"), F.col("b.source_id").alias("source_id"))
 
 
-def weighted_vote(votes: DataFrame, value: str = "class") -> DataFrame:
-    """The value with the greatest weight; its source is the weightiest that voted for it."""
+def weighted_vote(votes: DataFrame, value: str = "class", place: str = "source_id") -> DataFrame:
+    """The value with the greatest weight; its source is the weightiest that voted for it, of several the one with the least place."""
     w = F.coalesce("quality", F.lit(1.0)) * F.coalesce("confidence", F.lit(1.0))
-    sums = votes.where(F.col(value).isNotNull()).withColumn("w", w).groupBy(*CELL, value).agg(F.sum("w").alias("w"), F.max(F.struct("w", (-F.col("source_id")).alias("low"), "source_id")).alias("top"))
+    sums = votes.where(F.col(value).isNotNull()).withColumn("w", w).groupBy(*CELL, value).agg(F.sum("w").alias("w"), F.max(F.struct("w", (-F.col(place)).alias("low"), "source_id")).alias("top"))
     best = F.max(F.struct("w", (-F.col(value)).alias("low"), F.col(value).alias("value"), F.col("top.source_id").alias("source_id")))
     out = sums.groupBy(*CELL).agg(best.alias("b"), F.sum("w").alias("all"))
     return out.select(*CELL, F.col("b.value").alias("value"), F.when(F.col("all") > 0, F.col("b.w") / F.col("all")).otherwise(0.0).alias("confidence"), F.col("b.source_id").alias("source_id"))

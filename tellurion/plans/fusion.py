@@ -47,7 +47,8 @@ def conflict_majority(spark, d):
 
 @query("with k as (select row, col, class, sum(quality * confidence) as w, arg_max(source_id, quality * confidence) as source_id from px_votes group by 1, 2, 3), x as (select *, sum(w) over (partition by row, col) as n, row_number() over (partition by row, col order by w desc, class) as rn from k) select row, col, class as value, round(w / n, 6) as confidence, source_id from x where rn = 1", "px_votes")
 def conflict_weighted_vote(spark, d):
-    return fuse.weighted_vote(px_votes(spark, d)).select(*CELL, "value", r("confidence", F.col("confidence")), "source_id")
+    votes = px_votes(spark, d).withColumn("place", F.monotonically_increasing_id())  # a cell's votes lie in one task, in order
+    return fuse.weighted_vote(votes, place="place").select(*CELL, "value", r("confidence", F.col("confidence")), "source_id")
 
 
 _PICK = "select row, col, round(value, 7) as value, source_id from (select *, row_number() over (partition by row, col order by {}, source_id) as rn from px_layers) where rn = 1"

@@ -252,3 +252,12 @@ def test_sums_follow_the_order_of_the_file_in_any_splits(spark, split_lineitem,
     # to the last bit, and each cell's sources in the order that the SQL has them in
     by_cell = lambda rows: sorted(map(tuple, rows), key=lambda r: r[:2])
     assert str(by_cell(df.collect())) == str(by_cell(con.sql(sql).fetchall()))
+
+
+def test_equal_votes_go_to_the_source_that_comes_first(spark, tmp_path):
+    from tellurion.plans import registry
+
+    rows = [(1, 7, s, i, 20.0, 1.0, 0.05, 0.02) for i, s in enumerate((4, 1, 3), 1)]
+    line = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double").coalesce(1)
+    line.withColumn("l_shipdate", F.lit("1998-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert values(registry.queries()["conflict_weighted_vote"](spark, str(tmp_path)), "row") == [(0, 7, 1, 1.0, 4)]
