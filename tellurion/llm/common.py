@@ -79,6 +79,29 @@ def tidy(f):
     return run
 
 
+#: What a roomy task's process may keep of freed memory at its heap's end, and the size from which an array is mapped by itself.
+ROOM, MAPPED = 64 << 20, 32 << 20
+
+
+def keep_freed() -> bool:
+    """Whether memory that is freed now stays with this process, ROOM bytes at most: by default the C library gives it back and has its pages zeroed anew,
+    again and again, where arrays of some 100 KB to megabytes come and go."""
+    import ctypes
+
+    choose = getattr(ctypes.CDLL(None), "mallopt", None)  # not every C library has it
+    return choose is not None and choose(-3, MAPPED) == 1 and choose(-1, ROOM) == 1  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+
+
+def roomy(f):
+    """f, a function over the Arrow batches of a task, in a process that keeps freed memory."""
+
+    def run(batches):
+        keep_freed()
+        yield from f(batches)
+
+    return run
+
+
 # ---------------------------------------------------------------- words
 
 
