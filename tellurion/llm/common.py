@@ -115,6 +115,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def within(x: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Which bytes lie from low to high: a few passes over bytes take a fifth of the time of a look-up by byte."""
+    return x - np.uint8(low) <= np.uint8(high - low)
+
+
+def lower(raw: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return raw + (within(raw, 65, 90).view(np.uint8) << np.uint8(5))
+
+
+def space(x: np.ndarray) -> np.ndarray:
+    return within(x, 0x09, 0x0D) | (x == 32)
+
+
 def _pow(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
@@ -156,8 +170,8 @@ def word_hashes(column, prefixes: tuple[int, ...] = ()) -> tuple:
         while hi < n and not SPACE[raw[hi]] and not first[hi]:  # a stretch ends where no word goes on
             step = SPACE[raw[hi : hi + 4096]] | first[hi : min(n, hi + 4096)]
             hi = hi + int(step.argmax()) if step.any() else min(n, hi + 4096)
-        b = LOWER[raw[lo:hi]]
-        ink = ~SPACE[b]
+        b = lower(raw[lo:hi])
+        ink = ~space(b)
         start = ink.copy()
         start[1:] &= ~ink[:-1] | first[lo + 1 : hi]
         end = ink.copy()
@@ -166,11 +180,11 @@ def word_hashes(column, prefixes: tuple[int, ...] = ()) -> tuple:
         if len(s):
             power = _pow(len(b) + 1)
             run = np.cumsum((b.astype(U64) + U64(1)) * power[: len(b)], dtype=U64)
-            total = run[e]
-            total[1:] -= run[s[1:] - 1]
+            total = run.take(e)
+            total[1:] -= run.take(s[1:] - 1)
             if s[0]:
                 total[:1] -= run[s[0] - 1]
-            hashes.append(mix(total * power[len(b) - s] * _inverse(len(b))))
+            hashes.append(mix(total * power.take(len(b) - s) * _inverse(len(b))))
             begins.append(s + lo)
             if prefixes:
                 before = np.where(s > 0, run[s - 1], U64(0))
